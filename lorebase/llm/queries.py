@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import exact_dedup, mixing, sharding
+from lorebase.llm import embedding_dedup, exact_dedup, mixing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard_documents(docs, 40)
@@ -29,6 +33,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 SQL_OP6 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -82,9 +90,11 @@ FROM n WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_int8_embedding_dedup": op2_int8_embedding_dedup,
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
         "op6_pareto_mixing": op6_pareto_mixing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_simhash_popcount": op10_simhash_popcount,
     }
 
 
