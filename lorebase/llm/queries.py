@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import embedding_dedup, exact_dedup, mixing, sharding, simhash
+from lorebase.llm import embedding_dedup, exact_dedup, mixing, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,18 @@ def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_ids(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -92,7 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_int8_embedding_dedup": op2_int8_embedding_dedup,
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
+        "op4_toxicity_lexicon": op4_toxicity_lexicon,
         "op6_pareto_mixing": op6_pareto_mixing,
+        "op8_warc_packages": op8_warc_packages,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_simhash_popcount": op10_simhash_popcount,
     }
