@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import embedding_dedup, exact_dedup, mixing, sharding, simhash, toxicity, warc
+from lorebase.llm import embedding_dedup, exact_dedup, mixing, pieces, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_ids(_table(spark, sf_dir, "documents"))
 
 
+def op7_piece_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
         "op4_toxicity_lexicon": op4_toxicity_lexicon,
         "op6_pareto_mixing": op6_pareto_mixing,
+        "op7_piece_merge_dropout": op7_piece_merge_dropout,
         "op8_warc_packages": op8_warc_packages,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_simhash_popcount": op10_simhash_popcount,
