@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import embedding_dedup, exact_dedup, mixing, pieces, sharding, simhash, toxicity, warc
+from lorebase.llm import embedding_dedup, exact_dedup, mixing, pieces, sharding, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_ids(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_int8_embedding_dedup": op2_int8_embedding_dedup,
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
         "op4_toxicity_lexicon": op4_toxicity_lexicon,
+        "op5_prefix_doubling_dedup": op5_prefix_doubling_dedup,
         "op6_pareto_mixing": op6_pareto_mixing,
         "op7_piece_merge_dropout": op7_piece_merge_dropout,
         "op8_warc_packages": op8_warc_packages,
