@@ -11,9 +11,10 @@ first thinned in a way that loses none:
 * Round 2 ranks them at a longer offset: by all bytes of all windows that took the position.
   Positions of one rank share all their windows, so each such rank is settled as repeated,
   and one position stands for it.
-* Round 3 ranks single window starts, only of positions whose gram is shared and whose
-  longer string is not: spans of 16 starts by the bytes common to the span first, and what
-  is still shared by the ``length`` bytes from each start.
+* Round 3 does the same for spans of 16 window starts, only around positions whose gram is
+  shared and whose longer string is not: a span whose common bytes are unique is unique,
+  one whose windows' bytes are all shared is settled.
+* Round 4 ranks what is still open, single starts by the ``length`` bytes from each.
 
 Ranks are 128-bit fingerprints of the bytes in place of pairs of integers; Spark sorts and
 groups (rank, position) rows in each round, and positions drop out as soon as they are
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import short_batches, written
+from lorebase.llm.common import drop_written, short_batches, written
 
 _STEP = 16  # starts in a span of round 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,32 +127,25 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sample(batches):
         for b in batches:
-            k1, k2, pos, lo, hi, g, r1, r2 = [], [], [], [], [], [], [], []
+            k1, k2, pos, lo, hi, g, r = [], [], [], [], [], [], []
             for a, c, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 at, h, first, last = anchors(data, length, gram)
                 for x, y in zip(first.tolist(), last.tolist(), strict=True):
-                    d = xxhash.xxh3_128_intdigest(data[x : y + length])
-                    r1.append(d & 0xFFFFFFFFFFFFFFFF), r2.append(d >> 64)
+                    r.append(xxhash.xxh3_64_intdigest(data[x : y + length]))
                 k1 += [a] * len(at)
                 k2 += [c] * len(at)
                 pos.append(at), lo.append(first), hi.append(last), g.append(h)
             cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
             big = lambda x: np.array(x, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(cat(pos, np.int32)), pa.array(cat(lo, np.int32)), pa.array(cat(hi, np.int32)), pa.array(cat(g, np.uint64).view(np.int64)), pa.array(big(r1)), pa.array(big(r2))], names=["k1", "k2", "pos", "lo", "hi", "g", "r1", "r2"])
-
-    # round 1 and 2: grams, and all bytes around them
-    sampled = written(texts.select("k1", "k2", "__text").mapInArrow(sample, "k1 long, k2 long, pos int, lo int, hi int, g long, r1 long, r2 long"), "substring-anchors")
-    where = F.struct("k1", "k2", "pos", "lo", "hi")
-    longer = sampled.groupBy("g", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("one"))
-    longer = written(longer, "substring-ranks")
-    shared = longer.groupBy("g").agg(F.count(F.lit(1)).alias("ranks"), F.sum("n").alias("all")).where("all > 1")
-    alive = written(longer.join(shared, "g"), "substring-alive")
-    settled = alive.where("n > 1").select("g", "r1", "r2")
-    runs = sampled.join(settled, ["g", "r1", "r2"]).select("k1", "k2", "lo", "hi")
-
-    # round 3: single starts, where a gram is shared by different longer strings
-    unsettled = alive.where("ranks > 1").select("one.*", (F.col("n") > 1).alias("twice"))
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(cat(pos, np.int32)), pa.array(cat(lo, np.int32)), pa.array(cat(hi, np.int32)), pa.array(cat(g, np.uint64).view(np.int64)), pa.array(big(r))], names=["k1", "k2", "pos", "lo", "hi", "g", "r"])
+
+    # rounds 1 and 2: grams, and all bytes around them (with the gram's hash, 128 bits tell them)
+    sampled = written(texts.select("k1", "k2", "__text").mapInArrow(sample, "k1 long, k2 long, pos int, lo int, hi int, g long, r long"), "substring-anchors")
+    alive = _alive(sampled.withColumn("twice", F.lit(False)), ["g"], "r", ["k1", "k2", "pos", "lo", "hi"])
+    runs = _settled(sampled, alive, ["g", "r"])
+    drop_written(sampled)
+    unsettled = alive.where("ranks > 1").select("one.*", "twice")
     ask = unsettled.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lo", "hi", "twice")).alias("ask"))
     # of equal texts one row is read: that of the smallest id (repeated ids change nothing,
     # as a place is told by its text)
@@ -170,15 +164,17 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for n in range((q["pos"] - q["hi"]) // _STEP, (q["pos"] - q["lo"]) // _STEP + 1):
                         # starts _STEP * n to _STEP * n + _STEP - 1 before the position have these bytes in common
                         c = q["pos"] - _STEP * n
-                        rows.append((*_name(b"%d " % n + data[c : c + length - _STEP + 1]), k1, k2, max(q["lo"], c - _STEP + 1), min(q["hi"], c), q["twice"]))
-            yield _batch(rows, ["s1", "s2", "k1", "k2", "lo", "hi"], "twice")
+                        lo, hi = max(q["lo"], c - _STEP + 1), min(q["hi"], c)
+                        every = _name(b"%d %d " % (c - lo, c - hi) + data[lo : hi + length])[0]
+                        rows.append((*_name(b"%d " % n + data[c : c + length - _STEP + 1]), every, k1, k2, lo, hi, q["twice"]))
+            yield _batch(rows, ["s1", "s2", "r", "k1", "k2", "lo", "hi"], "twice")
 
     kinds = "k1 long, k2 long, lo long, hi long, twice boolean"
-    core = written(of_texts(ask).mapInArrow(spans, f"s1 long, s2 long, {kinds}"), "substring-spans")
-    place = F.struct("k1", "k2", "lo")
-    again = lambda t, a, b: t.groupBy(a, b).agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("twice").alias("z")).where("z OR x <> y").select(a, b)
-    left = core.join(again(core, "s1", "s2"), ["s1", "s2"])
-    ask = written(left.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "twice")).alias("ask")), "substring-left")
+    core = written(of_texts(ask).mapInArrow(spans, f"s1 long, s2 long, r long, {kinds}"), "substring-spans")
+    open_ = _alive(core, ["s1", "s2"], "r", ["k1", "k2", "lo", "hi"])
+    more = _settled(core, open_, ["s1", "s2", "r"])
+    drop_written(core, alive)
+    ask = open_.where("ranks > 1").select("one.*", "twice").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi", "twice")).alias("ask"))
 
     def starts(batches):
         for b in batches:
@@ -190,8 +186,33 @@ def repeated_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield _batch(rows, ["s1", "s2", "k1", "k2", "lo", "hi"], "twice")
 
     single = written(of_texts(ask).mapInArrow(starts, f"s1 long, s2 long, {kinds}"), "substring-starts")
-    found = single.join(again(single, "s1", "s2"), ["s1", "s2"]).select("k1", "k2", "lo", "hi")
-    return runs.select("k1", "k2", F.col("lo").cast("long"), F.col("hi").cast("long")).unionByName(found)
+    place = F.struct("k1", "k2", "lo")
+    again = single.groupBy("s1", "s2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("twice").alias("z")).where("z OR x <> y").select("s1", "s2")
+    found = single.join(again, ["s1", "s2"]).select("k1", "k2", "lo", "hi")
+    return runs.unionByName(more).unionByName(found)
+
+
+def _alive(rows: DataFrame, core: list[str], outer: str, place: list[str]) -> DataFrame:
+    """The ranks (core, outer) whose core is shared: one place of each, and whether it is settled.
+
+    twice: the outer string is at two places at least, or known to be; ranks: outer strings
+    of the core.  Equal places (of copies of a text that were read twice) count once, but a
+    text sampled from several rows counts for each row.
+    """
+    at = F.struct(*place)
+    ranked = rows.groupBy(*core, outer).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("one"), F.max(at).alias("other"), F.max("twice").alias("known"))
+    counts_rows = "pos" in place
+    ranked = written(ranked.select(*core, outer, "one", (F.col("known") | (F.col("n") > 1 if counts_rows else F.col("one") != F.col("other"))).alias("twice")), "substring-ranks")
+    shared = ranked.groupBy(*core).agg(F.count(F.lit(1)).alias("ranks"), F.max("twice").alias("any")).where("ranks > 1 OR any")
+    alive = written(ranked.join(shared, core).drop("any"), "substring-alive")
+    drop_written(ranked)
+    return alive
+
+
+def _settled(rows: DataFrame, alive: DataFrame, name: list[str]) -> DataFrame:
+    """Window starts of every place whose outer string is settled."""
+    runs = rows.join(alive.where("twice").select(*name), name)
+    return written(runs.select("k1", "k2", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).distinct(), "substring-settled")
 
 
 def _batch(rows: list[tuple], longs: list[str], flag: str) -> pa.RecordBatch:
