@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: ``[\x20\x09-\x0D]+`` as a Java regular expression: the white space of all word rules here.
@@ -38,6 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_scan(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` itself if it is a plain scan of files, else written and read again.
+
+    Row numbers and locators of a scan are the same each time it is read.
+    """
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException as e:
+        if "UNRESOLVED" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
+            raise
+        return written(docs, name)
+    return docs
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Delete tables of :func:`written` that nothing reads any more."""
     for df in tables:

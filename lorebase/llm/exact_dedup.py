@@ -13,7 +13,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import SPACE, scratch_path, written
+from lorebase.llm.common import SPACE, as_scan, scratch_path, written
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -109,12 +109,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    try:
-        docs.select("_metadata.file_path", "_metadata.row_index").schema
-    except Exception as e:  # not a plain scan: write it, so that rows have a locator
-        if "UNRESOLVED" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
-            raise
-        docs = written(docs, "dedup-docs")
+    docs = as_scan(docs, "dedup-docs")
     log = written(digest_log(docs, id_col, text_col), "dedup-log")
     home = scratch_path(spark, "dedup-state")
     path = log.inputFiles()[0].rsplit("/", 1)[0]

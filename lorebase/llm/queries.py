@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import embedding_dedup, exact_dedup, mixing, pieces, sharding, simhash, substrings, toxicity, warc
+from lorebase.llm import embedding_dedup, exact_dedup, mixing, paragraphs, pieces, sharding, simhash, substrings, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.dedup_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op2_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dedup(_table(spark, sf_dir, "embeddings"))
 
@@ -106,6 +110,7 @@ FROM n WINDOW g AS (PARTITION BY t)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_paragraph_minhash": op1_paragraph_minhash,
         "op2_int8_embedding_dedup": op2_int8_embedding_dedup,
         "op3_hash_tree_sharding": op3_hash_tree_sharding,
         "op4_toxicity_lexicon": op4_toxicity_lexicon,

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import scratch_path, short_batches, written
+from lorebase.llm.common import as_scan, scratch_path, short_batches, written
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
@@ -277,7 +277,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    planned = plan_records(pages, id_col, url_col, html_col, least_bytes)
+    planned = plan_records(as_scan(pages, "warc-pages"), id_col, url_col, html_col, least_bytes)
     read = read_packages(write_packages(planned, folder), folder, keep_payload=False)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<{_ID}(-?[0-9]+)>$', 1) as long)")
     revisit = F.col("record_type") == "revisit"
