@@ -110,16 +110,16 @@ def _entries(text: str | None) -> set[str]:
     for w in set(folded(text).split()):
         if len(w) >= 4:
             found.add(f" {w} ")
-            found.update(f" {w[:k]}" for k in range(4, min(7, len(w)) + 1))
+            found.update(f" {w[:k]}" for k in range(4, min(9, len(w)) + 1))
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, entries: int = 4_000, least_g2: float = 24.0, least_odds: float = 2.5) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 30_000, entries: int = 4_000, least_g2: float = 16.0, least_odds: float = 2.5) -> Lexicon:
     """Fit a lexicon on at most ``sample`` labelled rows that are not held out.
 
     The rows of the sample are those whose id has the smallest hash, so it doesn't depend
     on the order of files; labels other than 0 and 1 and rows without one are left out.
-    Entries are whole words and word beginnings of 4 to 7 letters.  One is taken if it is
+    Entries are whole words and word beginnings of 4 to 9 letters.  One is taken if it is
     more frequent among toxic rows by ``least_odds`` (log odds) and by a likelihood ratio of
     ``least_g2``, and dropped if a shorter beginning does as well; ``entries`` at most stay.
     Exceptions are two-word phrases around an entry that are found among clean rows only
