@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -105,23 +107,28 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _entries(text: str | None) -> set[str]:
-    found = set()
-    for w in set(folded(text).split()):
+def _entries(text: str | None) -> set[tuple[str, int]]:
+    """Words and word beginnings of a text, each with a 16-bit hash of the word before."""
+    found, before = set(), ""
+    for w in folded(text).split():
         if len(w) >= 4:
-            found.add(f" {w} ")
-            found.update(f" {w[:k]}" for k in range(4, min(9, len(w)) + 1))
+            at = zlib.crc32(before.encode()) & 0xFFFF
+            found.add((f" {w} ", at))
+            found.update((f" {w[:k]}", at) for k in range(4, min(9, len(w)) + 1))
+        before = w
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 30_000, entries: int = 4_000, least_g2: float = 16.0, least_odds: float = 2.5) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 30_000, candidates: int = 100_000, entries: int = 4_000, least_g2: float = 16.0, least_odds: float = 2.5) -> Lexicon:
     """Fit a lexicon on at most ``sample`` labelled rows that are not held out.
 
     The rows of the sample are those whose id has the smallest hash, so it doesn't depend
     on the order of files; labels other than 0 and 1 and rows without one are left out.
+    Of the entries of toxic rows, the ``candidates`` most frequent are counted in clean rows.
     Entries are whole words and word beginnings of 4 to 9 letters.  One is taken if it is
     more frequent among toxic rows by ``least_odds`` (log odds) and by a likelihood ratio of
-    ``least_g2``, and dropped if a shorter beginning does as well; ``entries`` at most stay.
+    ``least_g2``, where toxic rows count once for each word before the entry, so that near
+    copies of one toxic text don't make all of its words toxic; and dropped if a shorter beginning does as well; ``entries`` at most stay.
     Exceptions are two-word phrases around an entry that are found among clean rows only
     and at least five times.  What reaches the driver: an entry or bin each, bounded by the
     parameters.  Without rows of both classes the lexicon is empty and scores are low.
@@ -136,15 +143,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n0 or not n1:
         return Lexicon({})
 
-    def count(batches):
+    def among_toxic(batches):
         for b in batches:
-            seen: dict[str, list[int]] = {}
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for e in _entries(t):
-                    seen.setdefault(e, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["e", "c0", "c1"])
+            seen: Counter[tuple[str, int]] = Counter()
+            for t in b.column(0).to_pylist():
+                found = _entries(t)
+                seen.update(dict(found).items())  # a document counts once for an entry
+                seen.update(dict.fromkeys(found, 0))
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["e", "at", "n"])
+
+    # near copies repeat a word after the same word: what they share counts once
+    toxic = rows.where("__y = 1").select("__text").mapInArrow(among_toxic, "e string, at int, n long").groupBy("e", "at").agg(F.sum("n").alias("n"))
+    toxic = toxic.groupBy("e").agg(F.least(F.count(F.lit(1)), F.sum("n")).alias("c1")).where("c1 >= 3")
+    toxic = written(toxic.orderBy(F.desc("c1"), "e").limit(candidates), "toxic-candidates")
+    known = frozenset(r["e"] for r in toxic.select("e").toLocalIterator())
+    shared = spark.sparkContext.broadcast(known)
+
+    def among_clean(batches):
+        for b in batches:
+            seen = Counter(e for t in b.column(0).to_pylist() for e in {e for e, _ in _entries(t)} & shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["e", "c0"])
 
-    counts = rows.select("__text", "__y").mapInArrow(count, "e string, c0 long, c1 long").groupBy("e").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    clean = rows.where("__y = 0").select("__text").mapInArrow(among_clean, "e string, c0 long").groupBy("e").agg(F.sum("c0").alias("c0"))
+    counts = toxic.join(clean, "e", "left").select("e", "c1", F.coalesce("c0", F.lit(0)).alias("c0"))
     odds = F.ln((F.col("c1") + 0.5) / (n1 - F.col("c1") + 0.5)) - F.ln((F.col("c0") + 0.5) / (n0 - F.col("c0") + 0.5))
     seen = F.col("c0") + F.col("c1")
     part = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.ln(F.col(c) / (seen * n / (n0 + n1)))).otherwise(0.0)
