@@ -53,9 +53,12 @@ def hash_embedding(text: Column, bits: int = 6) -> Column:
     size = 1 << bits
     tokens = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
     slots = F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 29, 4), 16, 10).cast("int") % size))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    # a one-element array holds each step's value, so that it is made once
+    one = lambda value, f: F.transform(F.array(value), f)[0]
+    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda c: one(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+    return one(slots, lambda s: one(count(s), scaled))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -60,8 +60,9 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     n_p = F.broadcast(points.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("np")))
     p = points.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(n_p).withColumn("pb", F.pmod(F.xxhash64("id"), F.col("np")).cast("int")).drop("np")
     q = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("qv")).where("qv IS NOT NULL").crossJoin(n_p)
-    q = q.withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).drop("np").withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(64)).cast("int"))
-    p = p.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    n_q = F.broadcast(queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("nq")))
+    q = q.crossJoin(n_q).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).drop("np", "nq")
+    p = p.crossJoin(n_q).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq")
     kind = dict(points.dtypes)[id_col]
 
     def unit(v) -> np.ndarray:

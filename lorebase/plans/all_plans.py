@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "streams")
 
 
 def load() -> None:

@@ -15,7 +15,7 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     body = F.col(html_col)
     for e in DROPPED:
         body = F.regexp_replace(body, f"(?is)<{e}(\\s[^>]*)?>.*?</{e}>", " ")
-    lines = F.transform(F.split(F.regexp_replace(body, "(?s)<[^>]*>", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(body, "(?s)<[^>]*>", "\n"), "\n"), lambda x: F.trim(x))
     content = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     return pages.select(id_col, title.alias("title"), content.alias("c")).select(id_col, "title", F.length("c").cast("long").alias("chars"), F.md5("c").alias("digest"))
 
