@@ -129,8 +129,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     more frequent among toxic rows by ``least_odds`` (log odds) and by a likelihood ratio of
     ``least_g2``, where toxic rows count once for each word before the entry, so that near
     copies of one toxic text don't make all of its words toxic; and dropped if a shorter beginning does as well; ``entries`` at most stay.
-    Exceptions are two-word phrases around an entry that are found among clean rows only
-    and at least five times.  What reaches the driver: an entry or bin each, bounded by the
+    Exceptions are two-word phrases around an entry that are found among clean rows only,
+    so often that the entry's own share of toxic rows makes that a chance of one in a million.  What reaches the driver: an entry or bin each, bounded by the
     parameters.  Without rows of both classes the lexicon is empty and scores are low.
     """
     spark = docs.sparkSession
@@ -186,21 +186,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             seen: dict[str, list[int]] = {}
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words, mine = folded(t), set()
-                for end, (_, _, n) in automaton.iter(words):
+                for end, (k, _, n) in automaton.iter(words):
                     begin = end - n + 1
                     stop = words.index(" ", begin + 1)
                     before, after = words.rfind(" ", 0, begin), words.find(" ", stop + 1)
                     if before >= 0:
-                        mine.add(words[before : stop + 1])
+                        mine.add((words[before : stop + 1], k))
                     if after >= 0:
-                        mine.add(words[begin : after + 1])
+                        mine.add((words[begin : after + 1], k))
                 for p in mine:
                     seen.setdefault(p, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["p", "c0", "c1"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["p", "e", "c0", "c1"])
 
     if weights:
-        excuses = rows.select("__text", "__y").mapInArrow(phrases, "p string, c0 long, c1 long").groupBy("p").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-        lexicon.exceptions = [r["p"] for r in excuses.where("c1 = 0 AND c0 >= 5").orderBy(F.desc("c0"), "p").limit(entries).collect()]
+        excuses = rows.select("__text", "__y").mapInArrow(phrases, "p string, e string, c0 long, c1 long").groupBy("p", "e").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+        share = {r["e"]: min(r["c1"] / (r["c0"] + r["c1"]), 0.999) for r in picked}
+        rare = {e: math.log(1e-6) / math.log(1 - s) for e, s in share.items()}
+        found = excuses.where("c1 = 0 AND c0 >= 5").orderBy(F.desc("c0"), "p").limit(entries).collect()
+        lexicon.exceptions = sorted({r["p"] for r in found if r["c0"] >= rare[r["e"]]})
         automaton = lexicon.automaton()
 
     def bins(batches):

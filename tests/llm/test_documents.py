@@ -214,7 +214,8 @@ def test_substrings(spark):
 
 def test_toxicity(spark):
     rng = random.Random(1)
-    clean = [f"{a}{b}" for a in ("mar", "tel", "bon", "sif", "kor") for b in ("ado", "ile", "une", "ast", "oth")]
+    heads = [f"{a}{b}" for a in "mtbskdnlrp" for b in ("ar", "el", "on", "if")]
+    clean = [f"{a}{b}" for a in heads for b in ("ado", "ile", "une", "ast", "oth")]
     data, labels = [], []
     for i in range(900):
         w = [rng.choice(clean) for _ in range(40)]
