@@ -3,6 +3,7 @@
 import random
 
 from lorebase.llm import near_documents
+from lorebase.llm.simhash import _fingerprint
 from tests.llm.fixtures import docs, empty, union
 
 
@@ -17,6 +18,8 @@ def test_keep_one(spark):
         data.append((i, " ".join(w)))
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in data)]
     near = [(i, j) for i in range(50) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    bits = [_fingerprint(t, 5, 42) & (1 << 64) - 1 for _, t in data]
+    near += [(i, j) for i in range(50) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 3]
     got = sorted(r["doc_id"] for r in near_documents.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect())
     assert got == sorted(set(union(50, near)))
 
