@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "streams")
+MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "rules", "streams")
 
 
 def load() -> None:
