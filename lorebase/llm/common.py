@@ -64,8 +64,9 @@ def drop_written(*tables: DataFrame) -> None:
 
 
 def short_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, so that batches of very long texts stay small."""
+    """Bound the rows and bytes of an Arrow batch, so that batches of very long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
 
 
 def free_name(taken: list[str], name: str) -> str:

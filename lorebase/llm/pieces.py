@@ -5,8 +5,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -227,15 +227,15 @@ class Encoder:
     no merge crosses a unit's border (checked for the model at hand; where it doesn't hold,
     units are only cut before spaces).  ``variants`` segmentations of a unit can occur;
     which one an occurrence gets is a keyed hash of its document and its place.
-    Segmentations are remembered, two generations of ``memory`` at most, and each follows
-    from its key alone, so forgetting one changes nothing.
+    Segmentations are remembered as packed 32-bit ids, two generations of ``memory`` at most
+    (some 70 MB in all), and each follows from its key alone, so forgetting one changes nothing.
     """
 
-    def __init__(self, pieces: Pieces, drop: float, seed: int, variants: int = 4, memory: int = 400_000):
+    def __init__(self, pieces: Pieces, drop: float, seed: int, variants: int = 4, memory: int = 150_000):
         self.pieces, self.drop, self.seed = pieces, drop, seed
         self.variants, self.memory = variants if drop > 0 else 1, memory
-        self.young: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.size = 0
         if any(SPACE in p.lstrip(SPACE) for p in pieces.ids):
             raise ValueError("a piece of this model spans a space")
@@ -266,16 +266,16 @@ class Encoder:
             if ids is not None:
                 self.young[key[1]][key[0]] = ids
             elif len(key[0]) > 512 or SPACE in key[0]:
-                self.young[key[1]][key[0]] = self._spelled(*key)
+                self.young[key[1]][key[0]] = array("i", self._spelled(*key)).tobytes()
             else:
                 todo.setdefault(max(3, (len(key[0]) - 1).bit_length()), []).append(key)
         for bits, keys in todo.items():
-            step = max(1, (1 << 19) >> bits)
+            step = max(1, (1 << 17) >> bits)
             for at in range(0, len(keys), step):
                 block = keys[at : at + step]
                 found = self.pieces.segment_many([x.replace(" ", SPACE) for x, _ in block], self.drop, [self.seed * 1009 + v for _, v in block])
                 for (x, v), ids in zip(block, found, strict=True):
-                    self.young[v][x] = ids
+                    self.young[v][x] = array("i", ids).tobytes()
         self.size += len(missing)
 
     def encode_many(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
@@ -295,7 +295,7 @@ class Encoder:
         for units, turns, got in rows:
             if None in got:
                 got = [young[v][u] if g is None else g for u, v, g in zip(units, turns, got, strict=True)]
-            out.append(np.fromiter(chain.from_iterable(got), "<i4"))
+            out.append(np.frombuffer(b"".join(got), np.int32))
         return out
 
     def encode(self, text: str | None, doc_key: int = 0) -> list[int]:
