@@ -6,6 +6,7 @@ import heapq
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,36 @@ def _mixed(x):
     return x >> np.uint64(32)
 
 
+def gaps(keys: np.ndarray, n: int, drop: float) -> np.ndarray:
+    """Candidates that an occurrence (a key) merges between its skip n - 1 and its skip n.
+
+    Gaps of odds (1 - drop)^k * drop are what a draw for each single candidate gives.
+    """
+    if drop >= 1:
+        return np.zeros(len(keys), np.int64)
+    x = _mixed(keys + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).astype(np.float64)
+    return np.floor(np.log((x + 1) / 2**32) / np.log1p(-drop)).astype(np.int64)
+
+
+def skipper(key: int, drop: float) -> Callable[[], bool]:
+    """Tells for each candidate that comes up at one occurrence whether it is skipped."""
+    if drop <= 0:
+        return lambda: False
+    keys = np.array([key & 0xFFFFFFFFFFFFFFFF], np.uint64)
+    n, left = 0, int(gaps(keys, 0, drop)[0])
+
+    def skip() -> bool:
+        nonlocal n, left
+        if left:
+            left -= 1
+            return False
+        n += 1
+        left = int(gaps(keys, n, drop)[0])
+        return True
+
+    return skip
+
+
 class Pieces:
     """The pieces of a merge-type model, with their scores, and one byte piece for each byte."""
 
@@ -101,21 +132,31 @@ class Pieces:
         return out
 
     def segment_many(self, words: list[str], drop: float, seeds: list[int]) -> list[list[int]]:
-        """:meth:`segment` of many units of like length at once, with the same results.
+        """:meth:`segment` of many units of like length at once, with the same results."""
+        skips = []
+        for word, seed in zip(words, seeds, strict=True):
+            skip = skipper(seed, drop)
+            skips.append([k for k in range(3 * len(word)) if skip()])
+        return [np.frombuffer(x, np.int32)[:-1].tolist() for x in self.segment_skipping(words, skips)]
+
+    def segment_skipping(self, words: list[str], skips: list) -> list[bytes]:
+        """Packed ids, and last the count of candidates that came up, of many units of like
+        length, each with the (ascending) numbers of the candidates it skips.
 
         All units go through the agenda in step: each round takes every unit's best
-        candidate that its keyed hash does not skip, merges it, and offers the new pairs.
+        candidate, skips or merges it, and offers the new pairs.
         """
-        n, width = len(words), max(map(len, words))
+        n, width = len(words), max(1, max(map(len, words)))
         size = np.fromiter(map(len, words), np.int64, n)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.arange(width)[None, :] < size[:, None]
         sym = np.full((n, width + 1), -1, np.int32)
         sym[:, :width][inside] = self.char[codes]
-        raw = sym.copy()  # -1 where a character has no piece
-        salt = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), s) for w, s in zip(words, seeds, strict=True)), np.uint64, n)
-        limit, none = np.uint64(int(drop * (1 << 32))), np.iinfo(np.int32).max
-        span = np.ones((n, width + 1), np.int64)
+        none = np.iinfo(np.int32).max
+        many = np.fromiter(map(len, skips), np.int64, n)
+        leave = np.full((n, int(many.max(initial=0)) + 1), -1, np.int64)
+        leave[np.arange(leave.shape[1])[None, :] < many[:, None]] = [k for x in skips for k in x]
+        drawn, left_out = np.zeros(n, np.int64), np.zeros(n, np.int64)
         after = np.broadcast_to(np.arange(1, width + 2), (n, width + 1)).copy()
         before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
         into = np.full((n, width), -1, np.int32)
@@ -124,9 +165,6 @@ class Pieces:
         def offer(row: np.ndarray, i: np.ndarray) -> None:
             j = np.minimum(after[row, i], width)
             k = self._merged(sym[row, i], np.where(j < size[row], sym[row, j], -1))
-            if limit:
-                key = salt[row] + (i.astype(np.uint64) << np.uint64(20)) + (span[row, i].astype(np.uint64) << np.uint64(10)) + span[row, j].astype(np.uint64)
-                k = np.where(_mixed(key) < limit, -1, k)
             into[row, i] = k
             rank[row, i] = np.where(k >= 0, self.rank[k], none)
 
@@ -137,36 +175,45 @@ class Pieces:
             i = rank[live].argmin(axis=1)
             on = rank[live, i] < none
             live, i = live[on], i[on]
-            j = after[live, i]
-            sym[live, i] = into[live, i]
-            span[live, i] += span[live, j]
-            sym[live, j], rank[live, j] = -2, none
-            k = after[live, j]
-            after[live, i] = k
-            before[live, np.minimum(k, width)] = i
-            offer(live, i)
-            left = before[live, i]
+            skip = leave[live, left_out[live]] == drawn[live]
+            drawn[live] += 1
+            left_out[live[skip]] += 1
+            rank[live[skip], i[skip]] = none
+            row, i = live[~skip], i[~skip]
+            j = after[row, i]
+            sym[row, i] = into[row, i]
+            sym[row, j], rank[row, j] = -2, none
+            k = after[row, j]
+            after[row, i] = k
+            before[row, np.minimum(k, width)] = i
+            offer(row, i)
+            left = before[row, i]
             some = left >= 0
-            offer(live[some], left[some])
-        sym, raw = sym[:, :width], raw[:, :width]
-        keep = inside & (sym != -2)
-        flat, rows = sym[keep], np.nonzero(keep)[0]
-        ends = np.searchsorted(rows, np.arange(n + 1)).tolist()
-        ids = flat.tolist()
-        out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        for r in np.unique(rows[flat < 0]).tolist():  # characters without a piece
+            offer(row[some], left[some])
+        sym[:, width] = drawn
+        keep = sym != -2
+        keep[:, :width] &= inside
+        flat = sym[keep]
+        ends = np.cumsum(keep.sum(axis=1)).tolist()
+        packed = flat.tobytes()
+        out = [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+        for r in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right")).tolist():  # characters without a piece
             spelled, where = [], np.flatnonzero(keep[r]).tolist()
-            for c, x in zip(where, out[r], strict=True):
+            for c, x in zip(where, np.frombuffer(out[r], np.int32).tolist(), strict=True):
                 spelled.extend([x] if x >= 0 else (self.byte_ids[b] for b in words[r][c].encode("utf-8", "surrogatepass")))
-            out[r] = spelled
+            out[r] = array("i", spelled).tobytes()
         return out
 
     def segment(self, word: str, drop: float, seed: int) -> list[int]:
+        """:meth:`segment_drawn` with the draws of one seed."""
+        return self.segment_drawn(word, skipper(seed, drop))
+
+    def segment_drawn(self, word: str, skip: Callable[[], bool]) -> list[int]:
         """Ids of one unit in which spaces are already ``SPACE`` and literal ones are absent.
 
         Candidate merges wait in an agenda, best score first, leftmost first among equals.
-        A candidate that comes up is skipped if its keyed hash (seed, unit, span) falls under
-        ``drop``; it comes back only if a neighbour changes, as a different span.
+        A candidate that comes up is skipped if ``skip`` says so; it comes back only if a
+        neighbour changes, as a different span.
         """
         ids, scores = self.ids, self.scores
         n = len(word)
@@ -174,8 +221,6 @@ class Pieces:
         before = list(range(-1, n - 1))
         text: list[str] = list(word)
         agenda: list[tuple[float, int, int, int]] = []
-        salt = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed)
-        limit = int(drop * (1 << 32))
 
         def offer(i: int) -> None:
             j = after[i]
@@ -189,7 +234,7 @@ class Pieces:
             j = after[i] if text[i] else n
             if j >= n or len(text[i]) != a or len(text[j]) != b:
                 continue
-            if limit and _mixed(np.array([(salt + (i << 20) + (a << 10) + b) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] < limit:
+            if skip():
                 continue
             text[i] += text[j]
             text[j] = ""
@@ -220,83 +265,119 @@ _WORD = re.compile(r" *[^ ]+| +")
 _PART = re.compile(r" *[^\W\d_]+(?=[.,;:!?\n ]|$)|\n| *[^ \n]+| +")
 
 
+def _ends(packed: list[bytes]) -> np.ndarray:
+    """Where each of some packed 32-bit numbers ends in all of them."""
+    return np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed))) >> 2
+
+
 class Encoder:
     """Encodes whole texts unit by unit: words with the spaces before them, signs, line ends.
 
     No piece holds a space after another character, a sign after a letter, or a line end, so
     no merge crosses a unit's border (checked for the model at hand; where it doesn't hold,
-    units are only cut before spaces).  ``variants`` segmentations of a unit can occur;
-    which one an occurrence gets is a keyed hash of its document and its place.
-    Segmentations are remembered as packed 32-bit ids, two generations of ``memory`` at most
-    (some 70 MB in all), and each follows from its key alone, so forgetting one changes nothing.
+    units are only cut before spaces).  Every candidate merge of every occurrence is drawn
+    by itself: an occurrence's skips are a keyed hash of its document and its place.
+    Segmentations are remembered by unit and numbers of the skipped candidates, as packed
+    32-bit ids and the count of candidates that came up, two generations of ``memory`` at
+    most (strings and bytes only, which the garbage collector need not walk).  Each follows
+    from its key alone, so forgetting one changes nothing.  Units over ``LONG`` are
+    segmented at every occurrence.
     """
 
-    def __init__(self, pieces: Pieces, drop: float, seed: int, variants: int = 4, memory: int = 150_000):
-        self.pieces, self.drop, self.seed = pieces, drop, seed
-        self.variants, self.memory = variants if drop > 0 else 1, memory
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.size = 0
+    LONG = 512
+
+    def __init__(self, pieces: Pieces, drop: float, seed: int, memory: int = 150_000):
+        self.pieces, self.drop, self.seed, self.memory = pieces, drop, seed, memory
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         if any(SPACE in p.lstrip(SPACE) for p in pieces.ids):
             raise ValueError("a piece of this model spans a space")
         self.cut = not any(p[i].isalpha() and p[i + 1] in ".,;:!?" or "\n" in p for p in pieces.ids for i in range(len(p) - 1))
 
-    def _turns(self, n: int, doc_key: int) -> list[int]:
-        if self.variants == 1:
-            return [0] * n
-        h = np.arange(n, dtype=np.uint64) + np.uint64(doc_key & 0xFFFFFFFFFFFFFFFF)
-        return (_mixed(h) % np.uint64(self.variants)).tolist()
+    def _places(self, n: int, doc_key: int) -> np.ndarray:
+        """A key for each of the n places of a document."""
+        start = xxhash.xxh64_intdigest((doc_key & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), self.seed)
+        return np.arange(n, dtype=np.uint64) + np.uint64(start)
 
-    def _spelled(self, unit: str, variant: int) -> list[int]:
-        """A unit with literal U+2581, spelled in bytes as pieces use it for the space, or a very long one."""
+    def _spelled(self, unit: str, key: int) -> bytes:
+        """A very long unit, or one with literal U+2581, spelled in bytes as pieces use it for the space."""
         ids: list[int] = []
+        skip = skipper(key, self.drop)
         for n, x in enumerate(unit.split(SPACE)):
             if n:
                 ids += [self.pieces.byte_ids[b] for b in SPACE.encode()]
-            cut = [x[at : at + 512].replace(" ", SPACE) for at in range(0, len(x), 512)]
-            for y in cut:
-                ids += self.pieces.segment_many([y], self.drop, [self.seed * 1009 + variant])[0]
-        return ids
-
-    def _learn(self, missing: set[tuple[str, int]]) -> None:
-        """Segment units that are not remembered, all units of like length at once."""
-        todo: dict[int, list[tuple[str, int]]] = {}
+            for at in range(0, len(x), self.LONG):
+                ids += self.pieces.segment_drawn(x[at : at + self.LONG].replace(" ", SPACE), skip)
+        return array("i", [*ids, 0]).tobytes()
+
+    def _learn(self, missing: set[str]) -> None:
+        """Segment what is not remembered (a unit, or with its skips after ``SPACE``), all units of like length at once."""
+        todo: dict[int, list[str]] = {}
         for key in missing:
-            ids = self.old[key[1]].get(key[0])
-            if ids is not None:
-                self.young[key[1]][key[0]] = ids
-            elif len(key[0]) > 512 or SPACE in key[0]:
-                self.young[key[1]][key[0]] = array("i", self._spelled(*key)).tobytes()
+            if (known := self.old.get(key)) is not None:
+                self.young[key] = known
             else:
-                todo.setdefault(max(3, (len(key[0]) - 1).bit_length()), []).append(key)
+                todo.setdefault(max(3, (len(key) - 1).bit_length()), []).append(key)
         for bits, keys in todo.items():
             step = max(1, (1 << 17) >> bits)
             for at in range(0, len(keys), step):
                 block = keys[at : at + step]
-                found = self.pieces.segment_many([x.replace(" ", SPACE) for x, _ in block], self.drop, [self.seed * 1009 + v for _, v in block])
-                for (x, v), ids in zip(block, found, strict=True):
-                    self.young[v][x] = array("i", ids).tobytes()
-        self.size += len(missing)
+                parts = [key.partition(SPACE) for key in block]
+                found = self.pieces.segment_skipping([x.replace(" ", SPACE) for x, _, _ in parts], [tuple(map(ord, k)) for *_, k in parts])
+                self.young.update(zip(block, found, strict=True))
+
+    def _known(self, keys: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """What is remembered of keys, and how many candidates came up."""
+        got = list(map(self.young.get, keys))
+        if None in got:
+            self._learn({k for k, g in zip(keys, got, strict=True) if g is None})
+            got = [self.young[k] if g is None else g for k, g in zip(keys, got, strict=True)]
+        return got, np.frombuffer(b"".join(got), np.int32)[_ends(got) - 1]
+
+    def _segmented(self, units: list[str], places: np.ndarray) -> list[bytes]:
+        """Packed ids of units at their places, each with one more number at its end."""
+        odd = [k for k, u in enumerate(units) if len(u) > self.LONG or SPACE in u]
+        spelled = [self._spelled(units[k], int(places[k])) for k in odd]
+        for k in odd:
+            units[k] = ""
+        out, drawn = self._known(units)
+        if self.drop > 0:
+            skip = gaps(places, 0, self.drop)
+            on = np.flatnonzero(skip < drawn)
+            skip, n = skip[on], 0
+            keys = [units[k] + SPACE for k in on.tolist()]
+            while len(on):  # occurrences whose next skip is among the candidates that come up
+                n += 1
+                keys = [x + chr(k) for x, k in zip(keys, skip.tolist(), strict=True)]
+                got, drawn = self._known(keys)
+                for k, g in zip(on.tolist(), got, strict=True):
+                    out[k] = g
+                skip = skip + 1 + gaps(places[on], n, self.drop)
+                more = np.flatnonzero(skip < drawn)
+                on, skip, keys = on[more], skip[more], [keys[k] for k in more.tolist()]
+        for k, ids in zip(odd, spelled, strict=True):
+            out[k] = ids
+        return out
 
     def encode_many(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each whole text with a space put before it; null and empty texts have none."""
-        if self.size >= self.memory:
-            self.old, self.young, self.size = self.young, [{} for _ in range(self.variants)], 0
-        young, rows, missing = self.young, [], set()
+        if len(self.young) >= self.memory:
+            self.old, self.young = self.young, {}
+        units, ends, places = [], [0], []
         for text, key in zip(texts, doc_keys, strict=True):
-            units = (_PART.findall(" " + text) if self.cut else _WORD.findall(" " + text)) if text else []
-            turns = self._turns(len(units), key)
-            got = [young[v].get(u) for u, v in zip(units, turns, strict=True)]
-            if None in got:
-                missing.update((u, v) for u, v, g in zip(units, turns, got, strict=True) if g is None)
-            rows.append((units, turns, got))
-        self._learn(missing)
-        out = []
-        for units, turns, got in rows:
-            if None in got:
-                got = [young[v][u] if g is None else g for u, v, g in zip(units, turns, got, strict=True)]
-            out.append(np.frombuffer(b"".join(got), np.int32))
-        return out
+            if text:
+                units += _PART.findall(" " + text) if self.cut else _WORD.findall(" " + text)
+            places.append(self._places(len(units) - ends[-1], key))
+            ends.append(len(units))
+        if not units:
+            return [np.zeros(0, np.int32) for _ in texts]
+        got = self._segmented(units, np.concatenate(places))
+        last, ids = _ends(got), np.frombuffer(b"".join(got), np.int32)
+        kept = np.ones(len(ids), bool)
+        kept[last - 1] = False
+        at = np.concatenate([[0], last - np.arange(1, len(last) + 1)])[ends].tolist()
+        ids = ids[kept]
+        return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def encode(self, text: str | None, doc_key: int = 0) -> list[int]:
         return self.encode_many([text], [doc_key])[0].tolist()
@@ -307,10 +388,11 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, drop: float = 0.1, seed: int = 5, variants: int = 4) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, drop: float = 0.1, seed: int = 5) -> DataFrame:
     """(id, pieces, n_bytes, n_pieces, pieces_crc32, decoded_crc32, lossless) of every row.
 
-    pieces are the ids of the whole text.  decoded_crc32 is the CRC-32 of the text that they
+    pieces are the ids of the whole text; each candidate merge of each occurrence is skipped
+    with odds ``drop``, independently.  decoded_crc32 is the CRC-32 of the text that they
     decode to, and lossless tells whether that equals the text.  Null texts have null
     pieces and CRCs, no pieces and bytes, and count as lossless; empty texts have none.
     Rows of one id and text get the same pieces, so reruns and repeated rows agree; a null
@@ -324,7 +406,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches):
         pieces = _pieces(model)
-        encoder = Encoder(pieces, drop, seed, variants)
+        encoder = Encoder(pieces, drop, seed)
         for b in batches:
             ids, size, crc, back, same = [], [], [], [], []
             texts = b.column(1).to_pylist()

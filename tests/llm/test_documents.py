@@ -265,3 +265,22 @@ def test_pieces_equal_the_library_without_dropout_and_vary_with_it():
     assert other.encode(texts[0], 3) == pieces.Encoder(model, 0.2, 5).encode(texts[0], 3)
     words = ["▁hello", "▁tokenization", "x", "▁日本語"]
     assert model.segment_many(words, 0.4, [3] * 4) == [model.segment(w, 0.4, 3) for w in words]
+
+
+def test_every_merge_of_every_occurrence_is_drawn():
+    """No cap on a unit's segmentations, the odds of single draws, and none of it by what is remembered."""
+    model, rng = pieces.Pieces(pieces.MODEL), random.Random(4)
+    encoder, forgetful = pieces.Encoder(model, 0.1, 5), pieces.Encoder(model, 0.1, 5, memory=1)
+    for w, many in (("information", 20), ("the", 4), ("of", 2)):
+        seen, slow = collections.Counter(), collections.Counter()
+        for key in range(100):
+            seen.update(x[:-4] for x in encoder._segmented([" " + w] * 100, encoder._places(100, key)))
+            slow.update(np.array(model.segment_drawn("▁" + w, lambda: rng.random() < 0.1), np.int32).tobytes() for _ in range(100))
+        assert len(seen) >= many
+        for x in seen | slow:
+            p = (seen[x] + slow[x]) / 20_000
+            assert abs(seen[x] - slow[x]) <= 5 * (20_000 * p * (1 - p)) ** 0.5 + 1
+        text = " ".join([w] * 100)
+        assert [encoder.encode(text, k) for k in range(20)] == [forgetful.encode(text, k) for k in range(20)]
+        places = encoder._places(100, 7).tolist()
+        assert encoder.encode(text, 7) == [i for p in places for i in model.segment("▁" + w, 0.1, p)]
