@@ -306,8 +306,7 @@ class Encoder:
         for n, x in enumerate(unit.split(SPACE)):
             if n:
                 ids += [self.pieces.byte_ids[b] for b in SPACE.encode()]
-            for at in range(0, len(x), self.LONG):
-                ids += self.pieces.segment_drawn(x[at : at + self.LONG].replace(" ", SPACE), skip)
+            ids += self.pieces.segment_drawn(x.replace(" ", SPACE), skip)
         return array("i", [*ids, 0]).tobytes()
 
     def _learn(self, missing: set[str]) -> None:

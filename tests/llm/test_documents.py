@@ -284,3 +284,12 @@ def test_every_merge_of_every_occurrence_is_drawn():
         assert [encoder.encode(text, k) for k in range(20)] == [forgetful.encode(text, k) for k in range(20)]
         places = encoder._places(100, 7).tolist()
         assert encoder.encode(text, 7) == [i for p in places for i in model.segment("▁" + w, 0.1, p)]
+
+
+def test_pieces_of_very_long_units_equal_the_library():
+    import sentencepiece
+
+    plain = pieces.Encoder(pieces.Pieces(pieces.MODEL), 0.0, 5)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for t in ("a" * 700, "".join(random.Random(3).choice("information日本語x9") for _ in range(3000)), "internationalization" * 80 + " and on"):
+        assert plain.encode(t) == sp.encode(t)
