@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,14 +63,26 @@ def tree_depths(nodes: DataFrame, most: int = 8) -> DataFrame:
     return up.select("id", F.least("depth", F.lit(most)).alias("depth"))
 
 
-def plan_waves(spark: SparkSession, tasks: DataFrame) -> DataFrame:
-    """(task, wave) of (task, deps): the longest way from a task without dependencies."""
-    edges = tasks.select("task", F.explode("deps").alias("dep"))
-    tasks.select("task").createOrReplaceTempView("__tasks")
-    edges.createOrReplaceTempView("__edges")
-    return spark.sql("""WITH RECURSIVE w(task, wave) AS (
-        SELECT task, 0 FROM __tasks UNION ALL SELECT e.task, w.wave + 1 FROM w JOIN __edges e ON e.dep = w.task WHERE w.wave < 50)
-        SELECT task, max(wave) AS wave FROM w GROUP BY task""")
+def plan_waves(tasks: DataFrame) -> DataFrame:
+    """(task, wave) of (task, deps): the longest way from a task without dependencies.
+
+    One join a wave, until a wave holds no task.  What is then left is deadlocked and has a
+    null wave: tasks on a cycle, with a dependency that is no task, or behind such a task.
+    """
+    waiting = _saved(tasks.select("task").distinct())
+    edges = _saved(tasks.select("task", F.explode("deps").alias("dep")).distinct())
+    waves, wave = [], 0
+    while True:
+        ready = _saved(waiting.join(edges.select("task").distinct(), "task", "left_anti"))
+        if ready.isEmpty():
+            break
+        waves.append(ready.select("task", F.lit(wave).alias("wave")))
+        waiting = _saved(waiting.join(ready, "task", "left_anti"))
+        edges = _saved(edges.join(ready.select(F.col("task").alias("dep")), "dep", "left_anti"))
+        if len(waves) >= 50:  # keeps the plan of the union short
+            waves = [_saved(reduce(DataFrame.unionByName, waves))]
+        wave += 1
+    return reduce(DataFrame.unionByName, waves, waiting.select("task", F.lit(None).cast("int").alias("wave")))
 
 
 def top_per(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

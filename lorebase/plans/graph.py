@@ -62,4 +62,21 @@ def community_scores(spark, d):
 @query("g8_plan_waves", "SELECT * FROM (VALUES ('a', 0), ('b', 0), ('c', 1), ('d', 2), ('e', 3), ('f', 1)) t(task, wave)")
 def plan_waves(spark, d):
     tasks = spark.createDataFrame([("a", []), ("b", []), ("c", ["a"]), ("d", ["b", "c"]), ("e", ["d", "a"]), ("f", ["b"])], "task string, deps array<string>")
-    return G.plan_waves(spark, tasks)
+    return G.plan_waves(tasks)
+
+
+@query("g8_line_waves", """WITH RECURSIVE t AS (SELECT l_orderkey AS o, l_linenumber AS n, l_orderkey * 8 + l_linenumber AS task, l_quantity AS q, l_shipdate AS d FROM lineitem),
+e AS (SELECT a.task, b.task AS dep FROM t a JOIN t b ON a.o = b.o AND (b.n < a.n AND b.d <= a.d OR b.n = a.n AND a.q = 50)),
+dead AS (SELECT task FROM e WHERE task = dep UNION SELECT e.task FROM dead JOIN e ON e.dep = dead.task),
+w AS (SELECT task, 0 AS wave FROM t UNION SELECT e.task, w.wave + 1 FROM w JOIN e ON e.dep = w.task WHERE e.task <> e.dep)
+SELECT task, CASE WHEN task NOT IN (SELECT task FROM dead) THEN max(wave) END AS wave FROM w GROUP BY task""")
+def line_waves(spark, d):
+    """Lines of an order wait for its earlier lines that ship no later; a line of 50 waits for itself.
+
+    Lines of one order and number are one task.
+    """
+    t = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("task"), F.col("l_quantity").alias("q"), F.col("l_shipdate").alias("d"))
+    orders = t.groupBy("l_orderkey").agg(F.collect_list(F.struct("n", "task", "q", "d")).alias("lines"))
+    line = orders.select(F.explode("lines").alias("a"), "lines")
+    waits = lambda b: ((b["n"] < F.col("a.n")) & (b["d"] <= F.col("a.d"))) | ((b["n"] == F.col("a.n")) & (F.col("a.q") == 50))
+    return G.plan_waves(line.select("a.task", F.transform(F.filter("lines", waits), lambda b: b["task"]).alias("deps")))

@@ -68,3 +68,10 @@ def test_entry_survives_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'j3_bm25_topk' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_waves_of_deep_plans_and_deadlocks(spark):
+    rows = [(0, [])] + [(i, [i - 1, max(0, i - 2)]) for i in range(1, 56)] + [(100, [101]), (101, [100]), (102, [101, 0]), (103, [999]), (104, None), (104, None)]
+    got = graph.plan_waves(spark.createDataFrame(rows, "task int, deps array<int>")).collect()
+    assert len(got) == 61
+    assert {r["task"]: r["wave"] for r in got} == {i: i for i in range(56)} | {100: None, 101: None, 102: None, 103: None, 104: 0}
