@@ -24,7 +24,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     docs = as_scan(docs, "near-docs")
     named = docs.where(F.col(id_col).isNotNull())
     by_bits = simhash.near_dedup(named, id_col, text_col, width, radius).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
-    by_words = paragraphs.dedup_paragraphs(named, id_col, text_col, width, similarity, whole=True).where("n_removed > 0")
+    by_words = paragraphs.dedup_paragraphs(named, id_col, text_col, width, similarity, bands=12, rows=3, radius=None, least=1).where("n_removed > 0")
     links = by_bits.unionByName(by_words.select(F.col(id_col).alias("a"), F.get("keep_ids", F.lit(0)).alias("b")))
     gone = free_name(docs.columns, "__gone")
     others = connected_components(links.where("a <> b")).where("node <> root").select(F.col("node").alias(gone))

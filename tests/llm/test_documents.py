@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lorebase.llm import exact_dedup, mixing, paragraphs, pieces, sharding, simhash, substrings, toxicity
+from lorebase.llm import exact_dedup, mixing, paragraphs, pieces, rolling, sharding, simhash, substrings, toxicity
 from tests.llm.fixtures import docs, empty, union
 
 
@@ -171,22 +171,65 @@ def test_paragraphs(spark):
         data.append((i, "\n".join(out)))
     data += [(r["doc_id"], r["text"]) for r in docs(spark).collect()]
     d = spark.createDataFrame(data, "doc_id long, text string")
-    for crowd in (2, 24):
-        got = paragraphs.dedup_paragraphs(d, crowd=crowd, tile=8).collect()
+    for crowd, radius, least in ((2, 12, 14), (24, 12, 14), (24, 5, 1), (24, None, 1)):
+        got = paragraphs.dedup_paragraphs(d, bands=12, rows=2, radius=radius, least=least, crowd=crowd, tile=8).collect()
         assert len(got) == len(data)
-        assert sum(r["n_removed"] for r in got) == _slow_removed(data)
+        total, removed = _slow_removed(data, radius, least)
+        assert sum(r["n_removed"] for r in got) == removed and sum(r["n_paragraphs"] for r in got) == total
+        assert all(len(r["removed"]) == len(r["removed_words"]) == len(r["keep_ids"]) == r["n_removed"] for r in got)
     assert paragraphs.dedup_paragraphs(empty(spark)).count() == 0
 
 
-def _slow_removed(data):
+def _slow_cut(words, radius):
+    """Paragraphs of one text by the rule as it is told, a word at a time."""
+    w = rolling.Words([" ".join(words)])
+    h = [None] + [int(w.hashes(np.array([i]), np.array([i + 2]))[0]) >> 1 for i in range(1, len(words) - 1)]
+    cuts = [0]
+    for i in range(1, len(words) - 1):
+        around = [(h[j], j) for j in range(max(1, i - radius), min(len(words) - 2, i + radius) + 1)]
+        if min(around) == (h[i], i):
+            cuts.append(i)
+    return list(zip(cuts, [*cuts[1:], len(words)], strict=True))
+
+
+def _slow_removed(data, radius, least):
     sets = []
     for _, t in data:
-        for line in (t or "").split("\n"):
-            w = line.encode().split()
-            if w:
-                sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+        words = re.findall("[^\x20\x09-\x0d]+", t or "")
+        for a, b in [] if not words else _slow_cut(words, radius) if radius else [(0, len(words))]:
+            if b - a >= least:
+                sets.append({tuple(words[i : min(i + 5, b)]) for i in range(a, max(a + 1, b - 4))})
     near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    return len(sets) - len(set(union(len(sets), near)))
+    return len(sets), len(sets) - len(set(union(len(sets), near)))
+
+
+def test_paragraphs_recall_of_embedded_passages(spark):
+    """Passages of 51 to 90 words inside other words and lines are caught, other texts left alone."""
+    rng = random.Random(12)
+    word = lambda: f"u{int(rng.paretovariate(0.7)) % 3000}"
+    passages = [" ".join(word() for _ in range(rng.randint(51, 90))) for _ in range(100)]
+    data = []
+    for i in range(600):
+        inside = passages[i % 100] if i < 300 else " ".join(word() for _ in range(60))
+        around = [rng.choice(" \n").join(word() for _ in range(rng.randint(1, 80))) for _ in range(2)]
+        data.append((i, around[0] + rng.choice(" \n") + inside + " " + around[1]))
+    got = {r["doc_id"]: r["n_removed"] for r in paragraphs.dedup_paragraphs(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in range(100, 300)) >= 0.9 * 200
+    assert not any(got[i] for i in range(300, 600))
+
+
+@pytest.mark.parametrize("cores", ["1", "7"])
+def test_row_keys_do_not_follow_the_parallelism(spark, tmp_path, cores):
+    """Rows keep their names however files are packed into tasks."""
+    path = str(tmp_path / "docs")
+    spark.range(400).selectExpr("id AS doc_id", "concat('some words to read ', id % 50) AS text").repartition(12).write.parquet(path)
+    one = {tuple(r) for r in paragraphs._numbered(spark.read.parquet(path), "doc_id").collect()}
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", cores)
+    try:
+        assert {tuple(r) for r in paragraphs._numbered(spark.read.parquet(path), "doc_id").collect()} == one
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
 
 
 def test_substrings(spark):
