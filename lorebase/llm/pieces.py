@@ -59,6 +59,12 @@ def skipper(key: int, drop: float) -> Callable[[], bool]:
     return skip
 
 
+def _ragged(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[at[i] : at[i] + size[i]] after each other, and where each ends."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Pieces:
     """The pieces of a merge-type model, with their scores, and one byte piece for each byte."""
 
@@ -81,6 +87,9 @@ class Pieces:
                 self.ids[piece] = i
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
 
+        self.spelling = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.spelled = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.spelled_at = np.cumsum(self.spelled) - self.spelled
         self._pairs()
 
     def _pairs(self) -> None:
@@ -256,7 +265,8 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of ids; one leading space, which encoding puts first, goes."""
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        raw = _ragged(self.spelling, self.spelled_at[ids], self.spelled[ids])[0].tobytes()
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
@@ -265,11 +275,6 @@ _WORD = re.compile(r" *[^ ]+| +")
 _PART = re.compile(r" *[^\W\d_]+(?=[.,;:!?\n ]|$)|\n| *[^ \n]+| +")
 
 
-def _ends(packed: list[bytes]) -> np.ndarray:
-    """Where each of some packed 32-bit numbers ends in all of them."""
-    return np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed))) >> 2
-
-
 class Encoder:
     """Encodes whole texts unit by unit: words with the spaces before them, signs, line ends.
 
@@ -277,29 +282,64 @@ class Encoder:
     no merge crosses a unit's border (checked for the model at hand; where it doesn't hold,
     units are only cut before spaces).  Every candidate merge of every occurrence is drawn
     by itself: an occurrence's skips are a keyed hash of its document and its place.
-    Segmentations are remembered by unit and numbers of the skipped candidates, as packed
-    32-bit ids and the count of candidates that came up, two generations of ``memory`` at
-    most (strings and bytes only, which the garbage collector need not walk).  Each follows
-    from its key alone, so forgetting one changes nothing.  Units over ``LONG`` are
-    segmented at every occurrence.
+
+    A state is a unit with the numbers of the candidates it skips.  Its ids are kept in one
+    array, the count of candidates that came up beside them, and a further skip leads to
+    another state, so that a batch's occurrences are looked up as arrays of state numbers.
+    A state follows from its unit and skips alone, so forgetting the less used half when
+    there are more than ``memory`` changes no result.  Units over ``LONG`` are segmented at
+    every occurrence.
     """
 
     LONG = 512
+    _SKIP = 20  # bits of a candidate's number
 
-    def __init__(self, pieces: Pieces, drop: float, seed: int, memory: int = 150_000):
+    def __init__(self, pieces: Pieces, drop: float, seed: int, memory: int = 100_000):
         self.pieces, self.drop, self.seed, self.memory = pieces, drop, seed, memory
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         if any(SPACE in p.lstrip(SPACE) for p in pieces.ids):
             raise ValueError("a piece of this model spans a space")
         self.cut = not any(p[i].isalpha() and p[i + 1] in ".,;:!?" or "\n" in p for p in pieces.ids for i in range(len(p) - 1))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.unit_state: dict[str, int] = {}
+        self.next_state: dict[int, int] = {}
+        self.units: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
+        # by state: where its ids are, how many, candidates that came up, uses, and the state
+        # and skip that lead to it (-1: a unit's first state, -2: one occurrence's own)
+        self.at, self.size, self.drawn, self.used, self.link = (np.zeros(1 << 12, np.int64) for _ in range(5))
+
+    def _forget_half(self) -> None:
+        """Keep the states used most, with those that lead to them."""
+        n, mask = len(self.units), (1 << self._SKIP) - 1
+        used, link = self.used[:n], self.link[:n]
+        least = max(2, np.partition(used, n - self.memory // 2)[n - self.memory // 2]) if n > self.memory // 2 else 0
+        keep = (used >= least) & (link != -2) & (self.size[:n] > 0)
+        before = -1
+        while before != (before := int(keep.sum())):
+            keep &= (link < 0) | keep[np.maximum(link, 0) >> self._SKIP]
+        at = np.flatnonzero(keep)
+        new = np.cumsum(keep) - 1
+        units, skips = [self.units[k] for k in at.tolist()], [self.skips[k] for k in at.tolist()]
+        ids, size, link, used = _ragged(self.ids, self.at[at], self.size[at] + 1)[0], self.size[at] + 1, link[at], used[at]
+        link = np.where(link < 0, link, new[np.maximum(link, 0) >> self._SKIP] << self._SKIP | link & mask)
+        self._forget()
+        self._add(units, skips, ids, size, link)
+        self.used[: len(units)] = used // 2
+        for k, (unit, x) in enumerate(zip(units, link.tolist(), strict=True)):
+            if x < 0:
+                self.unit_state[unit.replace(SPACE, " ")] = k
+            else:
+                self.next_state[x] = k
 
     def _places(self, n: int, doc_key: int) -> np.ndarray:
         """A key for each of the n places of a document."""
         start = xxhash.xxh64_intdigest((doc_key & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), self.seed)
         return np.arange(n, dtype=np.uint64) + np.uint64(start)
 
-    def _spelled(self, unit: str, key: int) -> bytes:
+    def _spelled(self, unit: str, key: int) -> list[int]:
         """A very long unit, or one with literal U+2581, spelled in bytes as pieces use it for the space."""
         ids: list[int] = []
         skip = skipper(key, self.drop)
@@ -307,61 +347,92 @@ class Encoder:
             if n:
                 ids += [self.pieces.byte_ids[b] for b in SPACE.encode()]
             ids += self.pieces.segment_drawn(x.replace(" ", SPACE), skip)
-        return array("i", [*ids, 0]).tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        """Segment what is not remembered (a unit, or with its skips after ``SPACE``), all units of like length at once."""
-        todo: dict[int, list[str]] = {}
-        for key in missing:
-            if (known := self.old.get(key)) is not None:
-                self.young[key] = known
-            else:
-                todo.setdefault(max(3, (len(key) - 1).bit_length()), []).append(key)
-        for bits, keys in todo.items():
+        return ids
+
+    def _add(self, units: list[str], skips: list[tuple[int, ...]], flat: np.ndarray, size: np.ndarray, link: np.ndarray) -> range:
+        """New states: each has size[i] numbers of ``flat``, its ids and the count of candidates last."""
+        first = len(self.units)
+        new = range(first, first + len(units))
+        self.units += units
+        self.skips += skips
+        while len(self.at) < len(self.units):
+            self.at, self.size, self.drawn, self.used, self.link = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.drawn, self.used, self.link))
+        while len(self.ids) < self.n_ids + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        ends = np.cumsum(size)
+        self.at[first : new.stop], self.size[first : new.stop] = self.n_ids + ends - size, size - 1
+        self.drawn[first : new.stop], self.link[first : new.stop] = flat[ends - 1], link
+        self.n_ids += len(flat)
+        return new
+
+    def _learn(self, units: list[str], skips: list[tuple[int, ...]], link: np.ndarray) -> list[int]:
+        """States of units (in the model's spelling) with skips, all units of like length at once."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        kind = np.maximum(3, np.frexp(np.maximum(size - 1, 1).astype(np.float64))[1])
+        states = np.zeros(len(units), np.int64)
+        for bits in np.unique(kind).tolist():
+            keys = np.flatnonzero(kind == bits)
             step = max(1, (1 << 17) >> bits)
             for at in range(0, len(keys), step):
-                block = keys[at : at + step]
-                parts = [key.partition(SPACE) for key in block]
-                found = self.pieces.segment_skipping([x.replace(" ", SPACE) for x, _, _ in parts], [tuple(map(ord, k)) for *_, k in parts])
-                self.young.update(zip(block, found, strict=True))
-
-    def _known(self, keys: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """What is remembered of keys, and how many candidates came up."""
-        got = list(map(self.young.get, keys))
+                block = keys[at : at + step].tolist()
+                words, left_out = [units[k] for k in block], [skips[k] for k in block]
+                packed = self.pieces.segment_skipping(words, left_out)
+                numbers = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+                states[block] = self._add(words, left_out, np.frombuffer(b"".join(packed), np.int32), numbers, link[block])
+        return states.tolist()
+
+    def _unit_states(self, units: list[str]) -> np.ndarray:
+        got = list(map(self.unit_state.get, units))
         if None in got:
-            self._learn({k for k, g in zip(keys, got, strict=True) if g is None})
-            got = [self.young[k] if g is None else g for k, g in zip(keys, got, strict=True)]
-        return got, np.frombuffer(b"".join(got), np.int32)[_ends(got) - 1]
-
-    def _segmented(self, units: list[str], places: np.ndarray) -> list[bytes]:
-        """Packed ids of units at their places, each with one more number at its end."""
-        odd = [k for k, u in enumerate(units) if len(u) > self.LONG or SPACE in u]
-        spelled = [self._spelled(units[k], int(places[k])) for k in odd]
-        for k in odd:
-            units[k] = ""
-        out, drawn = self._known(units)
+            new = list(dict.fromkeys(u for u, g in zip(units, got, strict=True) if g is None))
+            odd = [u for u in new if len(u) > self.LONG or SPACE in u]
+            if odd:  # no ids and no candidates: told at each occurrence
+                one = np.ones(len(odd), np.int64)
+                self.unit_state.update(zip(odd, self._add(odd, [()] * len(odd), np.zeros(len(odd), np.int32), one, -one), strict=True))
+                new = [u for u in new if u not in self.unit_state]
+            spelled = [u.replace(" ", SPACE) for u in new]
+            self.unit_state.update(zip(new, self._learn(spelled, [()] * len(new), np.full(len(new), -1)), strict=True))
+            got = list(map(self.unit_state.__getitem__, units))
+        return np.array(got, np.int64)
+
+    def _skipped_states(self, states: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Where one more skip leads from each state."""
+        keys, back = np.unique(states << self._SKIP | skip, return_inverse=True)
+        every = keys.tolist()
+        got = list(map(self.next_state.get, every))
+        if None in got:
+            at = np.array([k for k, g in enumerate(got) if g is None])
+            of, more = (keys[at] >> self._SKIP).tolist(), (keys[at] & (1 << self._SKIP) - 1).tolist()
+            found = self._learn([self.units[x] for x in of], [(*self.skips[x], k) for x, k in zip(of, more, strict=True)], keys[at])
+            self.next_state.update(zip(keys[at].tolist(), found, strict=True))
+            got = list(map(self.next_state.__getitem__, every))
+        return np.array(got, np.int64)[back]
+
+    def _segmented(self, units: list[str], places: np.ndarray) -> np.ndarray:
+        """States of units at their places."""
+        states = self._unit_states(units)
+        odd = np.flatnonzero(self.size[states] == 0).tolist()
         if self.drop > 0:
             skip = gaps(places, 0, self.drop)
-            on = np.flatnonzero(skip < drawn)
+            on = np.flatnonzero(skip < self.drawn[states])
             skip, n = skip[on], 0
-            keys = [units[k] + SPACE for k in on.tolist()]
             while len(on):  # occurrences whose next skip is among the candidates that come up
                 n += 1
-                keys = [x + chr(k) for x, k in zip(keys, skip.tolist(), strict=True)]
-                got, drawn = self._known(keys)
-                for k, g in zip(on.tolist(), got, strict=True):
-                    out[k] = g
+                states[on] = self._skipped_states(states[on], skip)
                 skip = skip + 1 + gaps(places[on], n, self.drop)
-                more = np.flatnonzero(skip < drawn)
-                on, skip, keys = on[more], skip[more], [keys[k] for k in more.tolist()]
-        for k, ids in zip(odd, spelled, strict=True):
-            out[k] = ids
-        return out
+                more = np.flatnonzero(skip < self.drawn[states[on]])
+                on, skip = on[more], skip[more]
+        self.used[: len(self.units)] += np.bincount(states, minlength=len(self.units))
+        for k in odd:
+            spelled = np.array([*self._spelled(units[k], int(places[k])), 0], np.int32)
+            states[k] = self._add([""], [()], spelled, np.array([len(spelled)]), np.array([-2]))[0]
+        return states
 
     def encode_many(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each whole text with a space put before it; null and empty texts have none."""
-        if len(self.young) >= self.memory:
-            self.old, self.young = self.young, {}
+        if len(self.units) >= self.memory or self.n_ids >= 16 * self.memory:
+            self._forget_half()
         units, ends, places = [], [0], []
         for text, key in zip(texts, doc_keys, strict=True):
             if text:
@@ -370,12 +441,9 @@ class Encoder:
             ends.append(len(units))
         if not units:
             return [np.zeros(0, np.int32) for _ in texts]
-        got = self._segmented(units, np.concatenate(places))
-        last, ids = _ends(got), np.frombuffer(b"".join(got), np.int32)
-        kept = np.ones(len(ids), bool)
-        kept[last - 1] = False
-        at = np.concatenate([[0], last - np.arange(1, len(last) + 1)])[ends].tolist()
-        ids = ids[kept]
+        states = self._segmented(units, np.concatenate(places))
+        ids, last = _ragged(self.ids, self.at[states], self.size[states])
+        at = np.concatenate([[0], last])[ends].tolist()
         return [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def encode(self, text: str | None, doc_key: int = 0) -> list[int]:
@@ -413,7 +481,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if text is None:
                     ids.append(None), size.append(0), crc.append(None), back.append(None), same.append(True)
                     continue
-                decoded = pieces.decode(got.tolist())
+                decoded = pieces.decode(got)
                 ids.append(got)
                 size.append(len(text.encode("utf-8", "surrogatepass")))
                 crc.append(zlib.crc32(got.tobytes()))

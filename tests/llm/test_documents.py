@@ -317,7 +317,8 @@ def test_every_merge_of_every_occurrence_is_drawn():
     for w, many in (("information", 20), ("the", 4), ("of", 2)):
         seen, slow = collections.Counter(), collections.Counter()
         for key in range(100):
-            seen.update(x[:-4] for x in encoder._segmented([" " + w] * 100, encoder._places(100, key)))
+            states = encoder._segmented([" " + w] * 100, encoder._places(100, key)).tolist()
+            seen.update(encoder.ids[encoder.at[x] :][: encoder.size[x]].tobytes() for x in states)
             slow.update(np.array(model.segment_drawn("▁" + w, lambda: rng.random() < 0.1), np.int32).tobytes() for _ in range(100))
         assert len(seen) >= many
         for x in seen | slow:
