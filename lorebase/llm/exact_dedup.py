@@ -13,12 +13,13 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import SPACE, as_scan, scratch_path, written
+from lorebase.llm.common import SPACE, as_scan, drop_written, free_name, scratch_path, written
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
@@ -45,29 +46,23 @@ def _set(spark: SparkSession, conf: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _texts_of_hits_only(spark: SparkSession):
-    return _set(spark, _BLOOM)
-
-
 def normalised(text: Column) -> Column:
     """White-space runs become one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _keyed(docs: DataFrame, text: str) -> Column:
-    return F.sha2(normalised(F.col(text)), 256)
+def _digest(text_col: str) -> Column:
+    return F.sha2(normalised(F.col(text_col)), 256)
 
 
-def digest_log(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__id, __at, __digest, __bytes): what the stream reads of each row.
+def _locator() -> Column:
+    """File and row number of a row of a scan."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
-    ``__at`` is the content locator: file and row number of the row in ``docs``.
-    """
-    return docs.select(
-        F.col(id_col).alias("__id"),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__at"),
-        _keyed(docs, text_col).alias("__digest"),
-    )
+
+def digest_log(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __at, __digest): what the stream reads of each row; __at is the content locator."""
+    return docs.select(F.col(id_col).alias("__id"), _locator().alias("__at"), _digest(text_col).alias("__digest"))
 
 
 def stream_state(spark: SparkSession, log: str, schema, checkpoint: str, max_files: int | None = None) -> DataFrame:
@@ -75,17 +70,14 @@ def stream_state(spark: SparkSession, log: str, schema, checkpoint: str, max_fil
 
     Running it again with the same ``checkpoint`` takes in only files that came since; keys
     of earlier runs are still known.  Result: __digest, __first (identifier and locator of
-    the smallest row), __n.
+    the smallest row), __n.  A task opens its part of the state, saves it and lets it go, so
+    memory follows the tasks that run at once and not the number of parts.
     """
     with _set(spark, _STATE):
         reader = spark.readStream.schema(schema)
         if max_files:
             reader = reader.option("maxFilesPerTrigger", max_files)
-        state = (
-            reader.parquet(log)
-            .groupBy("__digest")
-            .agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__at").alias("at"))).alias("__first"), F.count(F.lit(1)).alias("__n"))
-        )
+        state = reader.parquet(log).groupBy("__digest").agg(F.min(_rank("__id", "__at")).alias("__first"), F.count(F.lit(1)).alias("__n"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     kept = spark.read.format("statestore").load(checkpoint)
@@ -93,7 +85,62 @@ def stream_state(spark: SparkSession, log: str, schema, checkpoint: str, max_fil
     return kept.select(F.col("key").getField("__digest").alias("__digest"), F.col("value").getField(value[0]).alias("__first"), F.col("value").getField(value[1]).alias("__n"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _rank(id_col: str, at: str) -> Column:
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(at).alias("at"))
+
+
+def decisions(docs: DataFrame, id_col: str, text_col: str, checkpoint: str | None = None, earlier: DataFrame | None = None, share: int = 1000) -> DataFrame:
+    """(__id, __at, __digest, __keep, __n, __kept) of every row of ``docs``, a scan of files.
+
+    A hit is checked on its full bytes: rows of a group meet the row that the locator in the
+    state names, and texts that differ from it (a digest collision) are grouped again by the
+    text itself.  Rows of a group are dealt by locator into buckets, of which there is one
+    for each ``share`` rows of the table; the text that stays is sent to each bucket that
+    has a row of its group, so no group meets in one task, however large it is.
+
+    Texts are read twice: once for their digests, once if their digest is a group's.
+    ``checkpoint`` names the stream's folder; with the same one, keys of earlier tables
+    count.  ``earlier`` is a scan of these tables' files, in which first texts are looked up.
+    """
+    if checkpoint and earlier is None:
+        raise ValueError("full bytes of earlier rows cannot be checked without their table")
+    spark = docs.sparkSession
+    log = written(digest_log(docs, id_col, text_col), "dedup-log")
+    path = log.inputFiles()[0].rsplit("/", 1)[0]
+    state = written(stream_state(spark, path, log.schema, checkpoint or scratch_path(spark, "dedup-state")), "dedup-groups")
+    hits = state.where("__n > 1").select("__digest", "__first", "__n")
+    buckets = 1 + log.count() // share
+    bucket = F.pmod(F.xxhash64("__at"), F.lit(buckets)).alias("__bucket")
+    with _set(spark, _BLOOM):
+        read = lambda d: d.select(_locator().alias("__at"), _digest(text_col).alias("__digest"), normalised(F.col(text_col)).alias("__text"))
+        text = read(docs)
+        copies = written(text.join(hits.select("__digest"), "__digest").select("__at", "__digest", bucket, "__text"), "dedup-copies")
+    firsts = hits.select("__digest", F.col("__first.at").alias("__at"))
+    known = copies.select("__at", "__digest", "__text")
+    if earlier is not None:
+        known = known.unionByName(read(earlier))
+    stays = known.join(firsts, ["__digest", "__at"]).select("__digest", F.col("__text").alias("__kept_text"))
+    dealt = copies.select("__digest", "__bucket").distinct()
+    told = dealt.join(stays, "__digest")
+    odd = written(copies.join(told, ["__digest", "__bucket"]).where("__text <> __kept_text").select("__at", "__digest", "__text"), "dedup-collisions")
+    rows = log.join(hits, "__digest", "left")
+    first, n = F.col("__first"), F.coalesce("__n", F.lit(1))
+    if odd.limit(1).count():  # texts of one digest that differ
+        mine = odd.join(log, ["__digest", "__at"]).withColumn("__rank", _rank("__id", "__at"))
+        others = mine.groupBy("__digest", "__text").agg(F.min("__rank").alias("__mine"), F.count(F.lit(1)).alias("__m"))
+        lost = odd.groupBy("__digest").agg(F.count(F.lit(1)).alias("__lost"))
+        of = odd.join(others, ["__digest", "__text"]).select("__at", "__mine", "__m")
+        rows = rows.join(lost, "__digest", "left").join(of, "__at", "left")
+        first = F.coalesce("__mine", first)
+        n = F.coalesce("__m", F.col("__n") - F.coalesce("__lost", F.lit(0)), F.lit(1))
+    alone = n == 1
+    rows = rows.select("__id", "__at", "__digest", F.when(alone, F.col("__id")).otherwise(first["id"]).alias("__keep"), n.cast("long").alias("__n"), (alone | (F.col("__at") == first["at"])).alias("__kept"))
+    out = written(rows, "dedup-rows")
+    drop_written(log, state, copies, odd)
+    return out
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Mark the row of each group of equal texts that stays; drops no row.
 
     Adds to each row of ``docs``: keep_id, group_size, kept, text_sha256.  Equal means equal
@@ -101,39 +148,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smallest id stays; rows with a null id come last; among rows of one id the one first in
     the files stays.  Very long texts are never collected: only digests are shuffled with
     the stream, and only texts of groups with more than one row are compared in full.
-    Columns of the input that have one of the four names are replaced.
-
-    A hit is checked on its full bytes: rows of a group meet the row that the locator in the
-    state names, and texts that differ from it (a digest collision) are grouped again by
-    the text itself.
+    Columns of the input that have one of the four names are replaced, all others kept,
+    whatever their names; an empty table gives an empty result.  With ``checkpoint`` and
+    ``earlier`` the stream goes on: equal rows of earlier tables come first if their id does.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    docs = as_scan(docs.drop("keep_id", "group_size", "kept", "text_sha256"), "dedup-docs")
+    at = free_name(docs.columns, "__where")
+    marks = decisions(docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col, checkpoint, earlier)
+    marks = marks.select(F.col("__at").alias(at), F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept"), F.col("__digest").alias("text_sha256"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], _locator().alias(at)).join(marks, at).drop(at)
+
+
+def exact_dedup_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`exact_dedup`, but with the id as the only column kept: rows are not read again."""
+    docs = as_scan(docs.select(*dict.fromkeys([id_col, text_col])), "dedup-docs")
+    marks = decisions(docs, id_col, text_col)
+    return marks.select(F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size"), F.col("__kept").alias("kept"), F.col("__digest").alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, all columns and nothing else; see :func:`exact_dedup`."""
     docs = as_scan(docs, "dedup-docs")
-    log = written(digest_log(docs, id_col, text_col), "dedup-log")
-    home = scratch_path(spark, "dedup-state")
-    path = log.inputFiles()[0].rsplit("/", 1)[0]
-    state = written(stream_state(spark, path, log.schema, home), "dedup-groups")
-
-    rows = docs.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__at"), _keyed(docs, text_col).alias("__digest"))
-    hits = state.where("__n > 1")
-    first = F.col("__first.at")
-    # the texts that stay of groups with hits, found by their locators
-    stays = rows.join(hits.select(F.col("__digest"), first.alias("__at")), ["__digest", "__at"]).select("__digest", normalised(F.col(text_col)).alias("__kept_text"))
-    told = hits.join(stays, "__digest")
-    out = rows.join(hits, "__digest", "left")
-    same = F.col("__n").isNull() | (normalised(F.col(text_col)) == F.col("__kept_text"))
-    with _texts_of_hits_only(spark):
-        others = written(rows.join(told, "__digest").where(~same).groupBy("__digest", normalised(F.col(text_col)).alias("__text")).agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__at").alias("at"))).alias("__mine"), F.count(F.lit(1)).alias("__m")), "dedup-collisions")
-    if others.limit(1).count():  # texts of one digest that differ
-        gone = others.groupBy("__digest").agg(F.sum("__m").alias("__lost"))
-        out = out.join(gone, "__digest", "left").withColumn("__n", F.col("__n") - F.coalesce("__lost", F.lit(0))).withColumn("__text", normalised(F.col(text_col)))
-        out = out.join(others, ["__digest", "__text"], "left").withColumn("__first", F.coalesce("__mine", "__first")).withColumn("__n", F.coalesce("__m", "__n"))
-    alone = F.col("__n").isNull()
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(alone, F.col(id_col)).otherwise(F.col("__first.id")).alias("keep_id"),
-        F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("__at") == first)).alias("kept"),
-        F.col("__digest").alias("text_sha256"),
-    )
+    at = free_name(docs.columns, "__where")
+    gone = decisions(docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col).where("NOT __kept").select(F.col("__at").alias(at))
+    return docs.select("*", _locator().alias(at)).join(gone, at, "left_anti").drop(at)

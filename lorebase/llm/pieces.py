@@ -315,7 +315,8 @@ class Encoder:
         """Keep the states used most, with those that lead to them."""
         n, mask = len(self.units), (1 << self._SKIP) - 1
         used, link = self.used[:n], self.link[:n]
-        least = max(2, np.partition(used, n - self.memory // 2)[n - self.memory // 2]) if n > self.memory // 2 else 0
+        half = max(1, self.memory // 2)
+        least = max(2, np.partition(used, n - half)[n - half]) if n > half else 0
         keep = (used >= least) & (link != -2) & (self.size[:n] > 0)
         before = -1
         while before != (before := int(keep.sum())):

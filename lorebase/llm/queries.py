@@ -49,8 +49,7 @@ def op8_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_dedup_ids(_table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,37 @@ def test_exact_dedup_state_goes_on(spark, tmp_path):
     assert sorted((r["__first"]["id"], r["__n"]) for r in state.collect()) == [(1, 2), (5, 1), (9, 1)]
 
 
+def test_exact_dedup_takes_any_column_names(spark):
+    """Columns named as the operator's own are kept, and results do not change."""
+    names = ["__id", "__at", "__digest", "__first", "__n", "__text", "__keep", "__kept", "__bucket", "__mine", "__m", "__lost", "__rank", "__where", "__kept_text"]
+    d = docs(spark).select("doc_id", "text", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    key = lambda df: sorted(rows(df.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")), key=repr)
+    got = exact_dedup.exact_dedup(d)
+    assert set(names) < set(got.columns) and got.select(*names).distinct().collect() == d.select(*names).distinct().collect()
+    assert key(got) == key(exact_dedup.exact_dedup(docs(spark))) == key(exact_dedup.exact_dedup_ids(d))
+    kept = exact_dedup.keep_first(d)
+    assert kept.columns == d.columns and kept.count() == got.where("kept").count() == 8
+
+
+def test_exact_dedup_digest_collisions(spark, monkeypatch):
+    """Texts of one digest that differ are told apart by their bytes."""
+    monkeypatch.setattr(exact_dedup, "_digest", lambda c: F.sha2(F.substring(exact_dedup.normalised(F.col(c)), 1, 3), 256))
+    d = spark.createDataFrame([(1, "abc one"), (2, "abc two"), (3, "abc  one"), (4, "abc two"), (5, "abc six"), (6, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(d).collect()}
+    assert got == {1: (1, 2, True), 2: (2, 2, True), 3: (1, 2, False), 4: (2, 2, False), 5: (5, 1, True), 6: (6, 1, True)}
+
+
+def test_exact_dedup_goes_on_with_earlier_tables(spark, tmp_path):
+    one = _scan(spark.createDataFrame([(2, "a b"), (5, "c")], "doc_id long, text string"), tmp_path / "t1")
+    two = _scan(spark.createDataFrame([(3, "a  b"), (1, "c"), (9, "d")], "doc_id long, text string"), tmp_path / "t2")
+    home = str(tmp_path / "home")
+    exact_dedup.decisions(one, "doc_id", "text", home, one)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(two, checkpoint=home, earlier=one).collect()}
+    assert got == {3: (2, 2, False), 1: (1, 2, True), 9: (9, 1, True)}
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(two, checkpoint=home)
+
+
 def _scan(df, path):
     df.write.parquet(str(path))
     return df.sparkSession.read.parquet(str(path))
