@@ -19,7 +19,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for white space, the one of the smallest id stays."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    return exact_dedup.keep_first(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
