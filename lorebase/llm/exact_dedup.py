@@ -99,15 +99,20 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, checkpoint: str | Non
     has a row of its group, so no group meets in one task, however large it is.
 
     Texts are read twice: once for their digests, once if their digest is a group's.
-    ``checkpoint`` names the stream's folder; with the same one, keys of earlier tables
-    count.  ``earlier`` is a scan of these tables' files, in which first texts are looked up.
+    ``checkpoint`` names the folder of the stream and of the log it reads; with the same
+    one, keys of earlier tables count.  ``earlier`` is a scan of these tables' files, in which first texts are looked up.
     """
     if checkpoint and earlier is None:
         raise ValueError("full bytes of earlier rows cannot be checked without their table")
     spark = docs.sparkSession
     log = written(digest_log(docs, id_col, text_col), "dedup-log")
-    path = log.inputFiles()[0].rsplit("/", 1)[0]
-    state = written(stream_state(spark, path, log.schema, checkpoint or scratch_path(spark, "dedup-state")), "dedup-groups")
+    home = checkpoint or scratch_path(spark, "dedup-state")
+    if checkpoint:  # the stream goes on where it read before
+        path = f"{home}/log"
+        log.write.mode("append").parquet(path)
+    else:
+        path = log.inputFiles()[0].rsplit("/", 1)[0]
+    state = written(stream_state(spark, path, log.schema, f"{home}/stream"), "dedup-groups")
     hits = state.where("__n > 1").select("__digest", "__first", "__n")
     buckets = 1 + log.count() // share
     bucket = F.pmod(F.xxhash64("__at"), F.lit(buckets)).alias("__bucket")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,10 +15,10 @@ from lorebase.llm.components import connected_components
 #: A-Z to a-z; tab, line feed, vertical tab, form feed and carriage return to space.
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-#: Segments are 2 bits wide, so a segment's bit count is 0, 1 or 2 and 32 counts fit in a long.
-_ODD = 0x5555555555555555
-#: The 32 segments go to six blocks, given by the bits they cover.
-_BLOCKS = (12, 12, 10, 10, 10, 10)
+#: A fingerprint has 16 segments of 4 bits; a segment's bit count is a coordinate from 0 to 4.
+_LOW = 0x1111111111111111
+#: The coordinates go to two halves, and each half to two quarters.
+_HALF, _QUARTER = 0xFFFFFFFF, 0xFFFF
 
 
 def _fingerprint(text: str | None, width: int, seed: int) -> int:
@@ -55,33 +53,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(hashed, f"`{id_col}` {kind}, __fp long")
 
 
-def _embedded(fp: Column) -> Column:
-    """All 32 segment bit counts, two bits each: twice (both set) plus (exactly one set)."""
-    upper = F.shiftrightunsigned(fp, 1)
-    both, one = fp.bitwiseAND(upper).bitwiseAND(F.lit(_ODD)), fp.bitwiseXOR(upper).bitwiseAND(F.lit(_ODD))
-    return F.shiftleft(both, 1).bitwiseOR(one)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _manhattan(a: Column, b: Column) -> Column:
-    """Manhattan distance of two fingerprints' segment counts, never above their Hamming distance.
+def embedded(fp: Column) -> Column:
+    """The 16 segment bit counts in one long: a count of c is written as c ones in its four bits.
 
-    Bits that differ count one each, but for a segment whose two bits trade places (01 and
-    10), where the counts agree.
+    So written, the Manhattan distance of two count vectors is the number of bits in which
+    the longs differ.
     """
-    x = a.bitwiseXOR(b)
-    both = x.bitwiseAND(F.shiftrightunsigned(x, 1))
-    mixed = a.bitwiseXOR(F.shiftrightunsigned(a, 1))
-    return F.bit_count(x) - 2 * F.bit_count(both.bitwiseAND(mixed).bitwiseAND(F.lit(_ODD)))
+    low = lambda x: x.bitwiseAND(F.lit(_signed(_LOW)))
+    b = [low(F.shiftrightunsigned(fp, k)) for k in range(4)]
+    any01, all01, any23, all23 = b[0].bitwiseOR(b[1]), b[0].bitwiseAND(b[1]), b[2].bitwiseOR(b[3]), b[2].bitwiseAND(b[3])
+    one, four = any01.bitwiseOR(any23), all01.bitwiseAND(all23)
+    two = all01.bitwiseOR(all23).bitwiseOR(any01.bitwiseAND(any23))
+    three = all01.bitwiseAND(any23).bitwiseOR(any01.bitwiseAND(all23))
+    return one.bitwiseOR(F.shiftleft(two, 1)).bitwiseOR(F.shiftleft(three, 2)).bitwiseOR(F.shiftleft(four, 3))
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    """Manhattan distance of two embedded count vectors, never above the Hamming distance."""
+    return F.bit_count(a.bitwiseXOR(b))
+
 
+def _steps(v: Column, segments: range) -> Column:
+    """v, and v with one more in each of the segments that are not full: the cells to look in."""
+    grown = [F.when(F.shiftrightunsigned(v, 4 * s + 3).bitwiseAND(F.lit(1)) == 0, v.bitwiseOR(F.shiftleft(v, 1).bitwiseAND(F.lit(_signed(15 << 4 * s)))).bitwiseOR(F.lit(_signed(1 << 4 * s)))) for s in segments]
+    return F.array_compact(F.array(v, *grown))
 
-def _grid_masks(radius: int) -> list[int]:
-    """Masks over the embedding, one for each way to leave out ``radius`` of the six blocks."""
-    at, blocks = 0, []
-    for bits in _BLOCKS:
-        blocks.append(((1 << bits) - 1) << at)
-        at += bits
-    masks = [sum(c) for c in combinations(blocks, len(blocks) - radius)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+def _masked(v: Column, mask: int) -> Column:
+    return v.bitwiseAND(F.lit(_signed(mask)))
+
+
+def placed(points: DataFrame, keys: list[str], parts: list[tuple[int, range, int]]) -> tuple[DataFrame, DataFrame]:
+    """(keys, part, cell, __fp, v) of the cells that points lie in, and of those they look in.
+
+    parts are (number, segments, mask).  A cell is a vector of bit counts in the part's
+    coordinates.  Of two points within Manhattan distance 1 in these coordinates, one looks
+    in the cell in which the other lies.
+    """
+    own = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), _masked(F.col("v"), mask).alias("cell")) for p, _, mask in parts])).alias("x")
+    named = lambda p: lambda cell: F.struct(F.lit(p).alias("part"), cell.alias("cell"))
+    look = F.explode(F.flatten(F.array(*[F.transform(_steps(_masked(F.col("v"), mask), segments), named(p)) for p, segments, mask in parts]))).alias("x")
+    return tuple(points.select(*keys, "__fp", "v", x).select(*keys, "x.part", "x.cell", "__fp", "v") for x in (own, look))
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,52 +113,86 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def _unary(bits: np.ndarray) -> np.ndarray:
+    """:func:`embedded` of an array of fingerprints."""
+    b = [bits >> np.uint64(k) & np.uint64(_LOW) for k in range(4)]
+    any01, all01, any23, all23 = b[0] | b[1], b[0] & b[1], b[2] | b[3], b[2] & b[3]
+    return (any01 | any23) | (all01 | all23 | any01 & any23) << np.uint64(1) | (all01 & any23 | any01 & all23) << np.uint64(2) | (all01 & all23) << np.uint64(3)
+
+
 def _tile(fps: np.ndarray, radius: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Stars (member, least member) of the components of ``fps``, a slab at a time."""
+    """Stars (member, least member) of the components of ``fps``, a slab at a time.
+
+    Pairs pass the Manhattan distance of their counts first, and then the exact distance.
+    """
     fps = np.unique(fps)
     bits, label = fps.view(np.uint64), np.arange(len(fps))
+    v = _unary(bits)
     for at in range(0, len(fps), step):
-        i, j = np.nonzero(np.bitwise_count(bits[at : at + step, None] ^ bits[None, at:]) <= radius)
-        label = merged(label, i + at, j + at)
+        i, j = np.nonzero(np.bitwise_count(v[at : at + step, None] ^ v[None, at:]) <= radius)
+        near = np.bitwise_count(bits[i + at] ^ bits[j + at]) <= radius
+        label = merged(label, i[near] + at, j[near] + at)
     far = np.flatnonzero(label != np.arange(len(fps)))
     return fps[far], fps[label[far]]
 
 
-def links(fps: DataFrame, radius: int = 3, crowd: int = 64, tile: int = 1024) -> DataFrame:
-    """Links (a, b) whose components are those of "``radius`` or fewer differing bits".
+def _found(own: DataFrame, look: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Pairs (a, b) of a cell, one lying and one looking there, under both distances."""
+    a = own.select(*keys, F.col("__fp").alias("a"), F.col("v").alias("va"))
+    b = look.select(*keys, F.col("__fp").alias("b"), F.col("v").alias("vb"))
+    near = (F.col("a") != F.col("b")) & (manhattan(F.col("va"), F.col("vb")) <= radius) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    return a.join(b, keys).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    ``fps`` holds distinct fingerprints (__fp).  Each is mapped to its 32 segment bit counts.
-    If two are within Manhattan distance 3, at least three of the six blocks of segments hold
-    equal counts, so the range-join runs over 20 grids: a cell is the counts of three blocks.
-    Within a cell, pairs pass the Manhattan distance first and then the exact one.
 
-    A cell of over ``crowd`` fingerprints is cut into tiles of about ``tile`` by hash, and
-    every pair of tiles gives stars of its components rather than all of its links.
+def links(fps: DataFrame, radius: int = 3, crowd: int = 64, tile: int = 1024) -> DataFrame:
+    """Links (a, b) whose components are those of "``radius`` (3 at most) or fewer differing bits".
+
+    ``fps`` holds distinct fingerprints (__fp).  Each is mapped to the point of its 16
+    segment bit counts.  Points within Manhattan distance 3 are within 1 in one half of the
+    coordinates.  The grid's cells are the count vectors of a half: a point lies in one and
+    looks in that and in those with one more in one coordinate, so that the range-join is a
+    join of cells.  Its pairs pass the Manhattan distance over all coordinates and then the
+    exact distance.
+
+    In a cell of over ``crowd`` points the rest of the distance, 3 at most, lies in the
+    other half, so the points are placed again, in the same way, by the quarters of that
+    half.  A cell of these with over ``crowd`` points is cut into tiles of about ``tile``
+    by hash, and every pair of tiles gives stars of its components, never all links.
     """
-    if not 0 <= radius <= 5:
-        raise ValueError("six blocks serve a radius of 0 to 5")
-    v = _embedded(F.col("__fp"))
-    cell = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), v.bitwiseAND(F.lit(m)).alias("c")) for g, m in enumerate(_grid_masks(radius))]))
-    cells = fps.select("__fp", cell.alias("x")).select("__fp", F.col("x.g").alias("g"), F.col("x.c").alias("c"))
-    sizes = written(cells.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-cells")
-    few = cells.join(sizes.where(F.col("n") <= crowd).select("g", "c"), ["g", "c"])
-    few = written(few, "simhash-few")
-    a, b = few.withColumnRenamed("__fp", "a"), few.withColumnRenamed("__fp", "b")
-    near = (F.col("a") < F.col("b")) & (_manhattan(F.col("a"), F.col("b")) <= radius) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    found = a.join(b, ["g", "c"]).where(near).select("a", "b").distinct()
-
-    many = cells.join(sizes.where(F.col("n") > crowd), ["g", "c"])
+    if not 0 <= radius <= 3:
+        raise ValueError("two halves serve a radius of 0 to 3")
+    points = fps.select("__fp", embedded(F.col("__fp")).alias("v"))
+    half = [(0, range(8), _HALF), (1, range(8, 16), _HALF << 32)]
+    own, look = placed(points, [], half)
+    keys = ["part", "cell"]
+    sizes = written(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "simhash-cells")
+    busy = sizes.where(F.col("n") > crowd)
+    found = _found(own.join(busy, keys, "left_anti"), look.join(busy, keys, "left_anti"), keys, radius)
+
+    # crowded cells: the points that look there (those that lie there do too), by quarters of the other half
+    both = written(look.join(busy.select(*keys), keys).withColumnsRenamed({"part": "half", "cell": "outer"}), "simhash-crowded")
+    inner = []
+    for h in (0, 1):
+        quarters = [(q, range(4 * q, 4 * q + 4), _QUARTER << 16 * q) for q in ((2, 3) if h == 0 else (0, 1))]
+        inner.append(placed(both.where(F.col("half") == h), ["half", "outer"], quarters))
+    inner_own, inner_look = (x.unionByName(y) for x, y in zip(*inner, strict=True))
+    keys = ["half", "outer", "part", "cell"]
+    within = written(inner_own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "simhash-inner")
+    busy = within.where(F.col("n") > crowd)
+    finer = _found(inner_own.join(busy, keys, "left_anti"), inner_look.join(busy, keys, "left_anti"), keys, radius)
+
+    many = inner_look.select(*keys, "__fp").join(busy, keys)
     n_tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("__fp"), n_tiles).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n_tiles - 1), lambda t: F.struct(F.least(t, own).alias("i"), F.greatest(t, own).alias("j")))
-    many = many.select("g", "c", "__fp", F.explode(pairs).alias("t")).select("g", "c", "t.i", "t.j", "__fp")
+    mine = F.pmod(F.xxhash64("__fp"), n_tiles).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n_tiles - 1), lambda t: F.struct(F.least(t, mine).alias("i"), F.greatest(t, mine).alias("j")))
+    many = many.select(*keys, "__fp", F.explode(pairs).alias("t")).select(*keys, "t.i", "t.j", "__fp")
 
     def tiles(batch: pd.DataFrame) -> pd.DataFrame:
         left, right = _tile(batch["__fp"].to_numpy(np.int64), radius)
         return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
-    crowded = many.groupBy("g", "c", "i", "j").applyInPandas(tiles, "a long, b long")
-    return found.unionByName(crowded)
+    crowded = many.groupBy(*keys, "i", "j").applyInPandas(tiles, "a long, b long")
+    return found.unionByName(finer).unionByName(crowded).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:

@@ -175,7 +175,29 @@ def test_simhash(spark):
     assert kept.columns == docs(spark).columns
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
+def test_simhash_points_and_cells(spark):
+    """Coordinates are segment bit counts; close points meet in a cell of either half."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 40, np.int64)
+    near = base.copy()
+    for i in range(len(near)):
+        for k in rng.choice(64, i % 4, replace=False):
+            near[i] ^= np.uint64(1 << int(k)).astype(np.int64)
+    data = [(int(a), int(b)) for a, b in zip(base, near, strict=True)]
+    counts = lambda x: [(x >> 4 * s & 15).bit_count() for s in range(16)]
+    d = spark.createDataFrame(data, "a long, b long")
+    got = d.select("a", "b", simhash.embedded(F.col("a")).alias("va"), simhash.manhattan(simhash.embedded(F.col("a")), simhash.embedded(F.col("b"))).alias("d")).collect()
+    for r in got:
+        assert counts(r["va"]) == counts(r["a"]) and all((r["va"] >> 4 * s & 15) in (0, 1, 3, 7, 15) for s in range(16))
+        assert r["d"] == sum(abs(x - y) for x, y in zip(counts(r["a"]), counts(r["b"]), strict=True)) <= ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count()
+    v = simhash._unary(base.view(np.uint64)).view(np.int64).tolist()
+    assert [r["va"] for r in got] == v
+    points = d.select(F.col("a").alias("__fp"), simhash.embedded(F.col("a")).alias("v"))
+    own, look = simhash.placed(points, [], [(0, range(8), simhash._HALF), (1, range(8, 16), simhash._HALF << 32)])
+    assert own.count() == 80 and look.count() == sum(2 + sum(c < 4 for c in counts(a)) for a, _ in data)
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 64])
 def test_simhash_links_crowded_cells(spark, crowd):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 3, np.int64)
