@@ -74,3 +74,54 @@ def fit_dimension(vector: Column, size: int) -> Column:
     norm = F.sqrt(F.aggregate(cut, F.lit(0.0), lambda s, x: s + x * x))
     padded = F.concat(cut, F.array_repeat(F.lit(0.0), F.greatest(F.lit(size) - F.size(vector), F.lit(0))))
     return F.when(F.size(vector) <= size, padded).otherwise(F.transform(cut, lambda x: F.when(norm > 0, x / norm).otherwise(x)))
+
+
+# Words that carry no evidence in citations, and none in questions.
+CITATION_STOP_WORDS = ["about", "also", "and", "are", "been", "being", "for", "from", "has", "have", "into", "its", "made", "that", "the", "their", "this", "was", "were", "with"]
+QUERY_STOP_WORDS = ["and", "or", "the", "is", "are", "what", "how", "why", "vs", "versus", "和", "与", "及", "或", "的", "了", "是", "什么", "哪些", "怎么", "如何", "为什么", "有什么", "区别", "差异", "比较", "对比", "请", "一下"]
+HAN = "[\\x{4e00}-\\x{9fff}]+"
+
+
+def _han_pairs(tokens: Column) -> Column:
+    """Each run of Han characters as its pairs; a single one stays."""
+    pairs = lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2))))
+    return F.flatten(F.transform(F.filter(tokens, lambda t: t.rlike("^" + HAN)), pairs))
+
+
+def citation_terms(text: Column) -> Column:
+    """Distinct lower-case words of three characters or more without stop words, and Han pairs."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+|" + HAN), F.lit(0))
+    stop = F.array(*[F.lit(w) for w in CITATION_STOP_WORDS])
+    latin = F.filter(tokens, lambda t: ~t.rlike("^" + HAN) & (F.length(t) >= 3) & ~F.array_contains(stop, t))
+    return F.array_distinct(F.concat(latin, _han_pairs(tokens)))
+
+
+def fact_terms(text: Column) -> Column:
+    """Distinct lower-case runs of letters, digits and underscores, and Han pairs."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+|" + HAN), F.lit(0))
+    return F.array_distinct(F.concat(F.filter(tokens, lambda t: ~t.rlike("^" + HAN)), _han_pairs(tokens)))
+
+
+def identifiers(text: Column) -> Column:
+    """Distinct lower-case identifiers of 2 to 64 characters that begin with a letter."""
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9_+#.\\-]{1,63}"), F.lit(0))
+    stop = F.array(*[F.lit(w) for w in QUERY_STOP_WORDS])
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda t: ~F.array_contains(stop, t)))
+
+
+def query_terms(text: Column) -> Column:
+    """Identifiers of a question, and its Han runs of two characters or more."""
+    stop = F.array(*[F.lit(w) for w in QUERY_STOP_WORDS])
+    runs = F.filter(F.regexp_extract_all(text, F.lit("[\\x{4e00}-\\x{9fff}]{2,}"), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    return F.array_distinct(F.concat(identifiers(text), runs))
+
+
+def coverage(terms: Column, text: Column) -> Column:
+    """Share of terms that the lower-case text contains; 1 without terms."""
+    low = F.lower(text)
+    return F.when(F.size(terms) == 0, F.lit(1.0)).otherwise(F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.size(terms))
+
+
+def one_of(text: Column, markers: list[str]) -> Column:
+    """Whether the text contains one of some fixed strings."""
+    return F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(text, m))

@@ -76,4 +76,4 @@ def verify_citations(reports: DataFrame, sources: DataFrame) -> DataFrame:
 def number_sources(sources: DataFrame, by: list[str], identity: str, order: list[str]) -> DataFrame:
     """(by, identity, index): distinct sources numbered from 1 by first occurrence."""
     first = sources.groupBy(*by, identity).agg(F.min(F.struct(*order)).alias("__at"))
-    return first.select(*by, identity, F.row_number().over(Window.partitionBy(*by).orderBy("__at")).cast("long").alias("index"))
+    return first.select(*by, identity, F.row_number().over(Window.partitionBy(*by).orderBy("__at", identity)).cast("long").alias("index"))

@@ -79,3 +79,15 @@ def refresh_window(messages: DataFrame, threshold: int, keep: int) -> DataFrame:
     r = messages.withColumn("n_all", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("turn"))))
     old = r.where((F.col("n_all") > threshold) & (F.col("r") > keep))
     return old.groupBy("conv_id").agg(F.min("turn").alias("from_turn"), F.max("turn").alias("to_turn"), F.count(F.lit(1)).alias("n"))
+
+
+def active(conversations: DataFrame, deleted: Column) -> DataFrame:
+    """Conversations that are not marked deleted."""
+    return conversations.where(~deleted)
+
+
+def active_summary(summaries: DataFrame) -> DataFrame:
+    """The active summary of each conversation that reaches furthest, the latest version of equals."""
+    rest = [c for c in summaries.columns if c not in ("conv_id", "status")]
+    best = F.max_by(F.struct(*rest), F.struct("to_turn", "version"))
+    return summaries.where("status = 'active'").groupBy("conv_id").agg(best.alias("x")).select("conv_id", "x.*")

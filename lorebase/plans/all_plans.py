@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "rules", "streams")
+MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "rules", "streams", "context", "citations", "versions")
 
 
 def load() -> None:
