@@ -184,9 +184,9 @@ def _jobs(spark, d):
     return jobs, u
 
 
-@query("k29_job_updates", f"WITH {JOBS} SELECT job_id, coalesce(u.status, jobs.status) AS status, round(CASE WHEN u.progress IS NULL THEN jobs.progress ELSE least(100.0, greatest(0.0, u.progress)) END, 4) AS progress, length(coalesce(substr(u.error, 1, 2000), jobs.error))::BIGINT AS error_chars, round(coalesce(u.seconds, jobs.seconds), 2) AS seconds, coalesce(u.cancel, FALSE) AND jobs.status NOT IN ('completed', 'failed', 'cancelled') AS cancel FROM jobs LEFT JOIN u USING (job_id)")
+@query("k29_job_updates", f"WITH {JOBS} SELECT job_id, coalesce(u.status, jobs.status) AS status, round(CASE WHEN u.progress IS NULL THEN jobs.progress ELSE least(100.0, greatest(0.0, u.progress)) END, 6) AS progress, length(coalesce(substr(u.error, 1, 2000), jobs.error))::BIGINT AS error_chars, round(coalesce(u.seconds, jobs.seconds), 2) AS seconds, coalesce(u.cancel, FALSE) AND jobs.status NOT IN ('completed', 'failed', 'cancelled') AS cancel FROM jobs LEFT JOIN u USING (job_id)")
 def job_updates(spark, d):
-    return V.update_jobs(*_jobs(spark, d)).select("job_id", "status", F.round("progress", 4).alias("progress"), F.length("error").cast("long").alias("error_chars"), F.round("seconds", 2).alias("seconds"), "cancel")
+    return V.update_jobs(*_jobs(spark, d)).select("job_id", "status", F.round("progress", 6).alias("progress"), F.length("error").cast("long").alias("error_chars"), F.round("seconds", 2).alias("seconds"), "cancel")
 
 
 @query("s26_recovered_jobs", f"WITH {JOBS} SELECT job_id, 'queued' AS status FROM jobs WHERE status IN ('queued', 'running')")
