@@ -18,9 +18,11 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; one is set up only where the session names none, as in tests."""
+    """The shared folder; one is set up only where a local session names none, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lorebase-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.lorebase.scratch", named)

@@ -146,13 +146,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is needed only in the one range where the source's words run out.
     """
     given = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in given], F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), F.xxhash64(text_col).alias("__tie")
-    )
+    out = _mixed(docs, given, id_col, text_col, source_col, cap, weights, tilt, seed, buckets)
+    return out.select(*[F.col("__given").getField(c).alias(c) for c in given], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("taken").cast("long").alias("taken"))
+
+
+def _mixed(docs: DataFrame, given: list[str], id_col: str, text_col: str, source_col: str, cap: float, weights: tuple[float, ...], tilt: float, seed: int, buckets: int) -> DataFrame:
+    """:func:`take` with the given columns in one struct, __given, whose names clash with none."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("__given"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), F.xxhash64(text_col).alias("__tie"))
     narrow = written(rows.select("__id", "__source", "__size", "__tie"), "mix-sizes")
-    sources = plan(narrow, cap, weights, tilt, seed, buckets)
-    out = take(rows, sources, seed, buckets)
-    return out.select(*[F.col(f"`{c}`") for c in given], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("taken").cast("long").alias("taken"))
+    return take(rows, plan(narrow, cap, weights, tilt, seed, buckets), seed, buckets)
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), tilt: float = 0.125, seed: int = 11, buckets: int = 4096) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it; all columns as they came.
+
+    The document at a source's cut, of which a part is taken, stays if that is over half.
+    Texts without a word are taken 0 times.
+    """
+    out = _mixed(docs, docs.columns, id_col, text_col, source_col, cap, weights, tilt, seed, buckets)
+    times = F.when(F.col("__size") > 0, F.round(F.col("taken") / F.col("__size"))).otherwise(0).cast("int")
+    out = out.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    return out.select(*[F.col("__given").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, weights: tuple[float, ...] = (1.0, 2.0, 3.0), tilt: float = 0.125, seed: int = 11, buckets: int = 4096) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import free_name
+from lorebase.llm.common import as_scan
 
 
 @dataclass(frozen=True)
@@ -98,32 +98,32 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
 
     The law is ``key``: doc_id and the tree decide.  size is the text's UTF-8 bytes plus 16
     (null text: 16).  Rows of one id, and all rows of a null id, share a shard.  slot counts
-    a shard's rows from 0 without gaps in the order of a hash of the id, so rows of equal
-    texts lie apart: rows are numbered within ``buckets`` hash ranges of a shard and moved
-    up by the counts of the ranges before, so no shard is ever sorted in one task.  Rows
-    that are equal in id and text get adjacent slots in either order.  An empty table gives
-    an empty result; columns of the six names are replaced, any other is kept.
+    a shard's rows from 0 without gaps in the order of a hash of id, text and place in the
+    files, so rows of one id or of equal texts lie apart: rows are numbered within
+    ``buckets`` hash ranges of a shard and moved up by the counts of the ranges before, so no
+    shard, id or group of copies is ever sorted in one task.  An empty table gives an empty
+    result; columns of the six names are replaced, any other is kept, whatever its name.
     """
     tree = tree or Tree.of(n_shards)
+    docs = as_scan(docs, "shard-docs")
     given = [c for c in docs.columns if c.lower() not in {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}]
-    order, bucket, before = (free_name(given, x) for x in ("__order", "__bucket", "__before"))
     key, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
-    hashed = F.xxhash64(F.lit(seed), F.lit("slot"), key)
+    hashed = F.xxhash64(F.lit(seed), F.lit("slot"), key, text, F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    # a generated row, as no filter is then inferred from how shard and bucket are made
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in given],
+        F.struct(*[F.col(f"`{c}`") for c in given]).alias("given"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        assign(key, tree, seed).alias("shard"),
-        assign(key, tree.grown(), seed).alias("grown_shard"),
-        hashed.alias(order),
-        F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(buckets)).cast("int").alias(bucket),
+        F.inline(F.array(F.struct(assign(key, tree, seed).alias("shard"), assign(key, tree.grown(), seed).alias("grown_shard"), F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(buckets)).cast("int").alias("bucket")))),
+        hashed.alias("order"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
     )
-    counts = rows.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", bucket, F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias(before))
-    within = Window.partitionBy("shard", bucket).orderBy(order, id_col, "text_crc32")
-    numbered = rows.withColumn("__rn", F.row_number().over(within)).join(starts, ["shard", bucket])
+    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard", "bucket").orderBy("order", "file", "row")
+    numbered = rows.withColumn("nth", F.row_number().over(within)).join(starts, ["shard", "bucket"])
     return numbered.select(
-        *[F.col(f"`{c}`") for c in given], "size", "text_crc32", "law", "shard", (F.col(before) + F.col("__rn") - 1).cast("long").alias("slot"), "grown_shard"
+        *[F.col("given").getField(c).alias(c) for c in given], "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard"
     )

@@ -138,35 +138,43 @@ def read_directory(f, size: int) -> list[dict]:
     return members
 
 
+def _walk(f, begin: int, end: int):
+    """(offset, length) of each gzip member from begin to end of the file."""
+    while begin < end:
+        gz, used = zlib.decompressobj(31), 0
+        while not gz.eof and begin + used < end:
+            f.seek(begin + used)
+            block = f.read(min(1 << 20, end - begin - used))
+            gz.decompress(block)
+            used += len(block) - len(gz.unused_data)
+        yield begin, used
+        begin += used
+
+
 def places(f, size: int):
-    """Yield (offset, length) in the file of every record of a package.
+    """Yield (offset, length) in the file of every record of a package, once each.
 
-    Members are taken from the index; a stored archive member that no index line names is
-    walked through record by record.
+    Places are taken from the index.  What no index line covers of a stored archive member,
+    all of it at times, is walked through record by record.  Lines that name a member the
+    package doesn't hold are passed over.
     """
     members = {m["name"]: m for m in read_directory(f, size) if m["method"] == 0}
-    named = set()
+    named: dict[str, set[tuple[int, int]]] = {name: set() for name in members if name.startswith("archive/") and name.endswith(".warc.gz")}
     for name, m in members.items():
         if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx")):
             f.seek(m["begin"])
             for line in f.read(m["size"]).decode().split("\n"):
-                if line:
+                if "{" in line:
                     place = json.loads(line[line.index("{") :])
-                    archive = members["archive/" + place["filename"]]
-                    named.add(archive["name"])
-                    yield archive["begin"] + int(place["offset"]), int(place["length"])
-    for name, m in members.items():
-        if name.startswith("archive/") and name.endswith(".warc.gz") and name not in named:
-            at = 0
-            while at < m["size"]:
-                gz, used = zlib.decompressobj(31), 0
-                while not gz.eof and at + used < m["size"]:
-                    f.seek(m["begin"] + at + used)
-                    block = f.read(min(1 << 20, m["size"] - at - used))
-                    gz.decompress(block)
-                    used += len(block) - len(gz.unused_data)
-                yield m["begin"] + at, used
-                at += used
+                    if (archive := "archive/" + place["filename"]) in named:
+                        named[archive].add((members[archive]["begin"] + int(place["offset"]), int(place["length"])))
+    for name, found in named.items():
+        at, end = members[name]["begin"], members[name]["begin"] + members[name]["size"]
+        for begin, length in sorted(found):
+            yield from _walk(f, at, begin)
+            yield begin, length
+            at = begin + length
+        yield from _walk(f, at, end)
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -174,10 +182,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Of pages with equal payloads of ``least_bytes`` or more, the one with the largest id is
     the response and the others revisit it; null ids rank lowest.  Of repeated rows of one
-    id the largest URL goes first, and of rows that agree in that too exactly one.
+    id the largest URL goes first, and of rows that agree in that too the last in the files:
+    rows are told by file and row number, which no change of executors alters.
     """
+    pages = as_scan(pages, "warc-pages")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), payload.alias("__payload"), F.sha2(payload, 256).alias("__sha"), F.monotonically_increasing_id().alias("__row"))
+    rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), payload.alias("__payload"), F.sha2(payload, 256).alias("__sha"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__row"))
     rank = F.struct(F.col("__id").isNotNull().alias("has"), F.col("__id").alias("id"), F.coalesce("__url", F.lit("")).alias("url"), F.col("__row").alias("row"))
     long = rows.where(F.octet_length("__payload") >= least_bytes)
     groups = written(long.groupBy("__sha").agg(F.max(rank).alias("__top"), F.count(F.lit(1)).alias("__n")).where("__n > 1"), "warc-groups")
@@ -228,8 +238,10 @@ def read_packages(packages: DataFrame, folder: str, keep_payload: bool = True) -
     """The records of the packages (path, bytes): one row each, read by range.
 
     First each package's directory and index give the places of its records; the places,
-    not the packages, are then dealt to tasks in blocks of up to 512 neighbours.
+    not the packages, are then dealt in blocks of up to 512 neighbours to tasks of 1 MB,
+    or 128 MB each where that leaves no slot idle.
     """
+
     def locate(batches):
         store, _ = fs.FileSystem.from_uri(folder)
         for b in batches:
@@ -241,7 +253,10 @@ def read_packages(packages: DataFrame, folder: str, keep_payload: bool = True) -
                     yield pa.RecordBatch.from_pydict({"path": [path], "offsets": [[p[0] for p in part]], "lengths": [[p[1] for p in part]]}, schema=pa.schema([("path", pa.string()), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))]))
 
     blocks = packages.select("path", "bytes").repartition("path").mapInArrow(locate, "path string, offsets array<long>, lengths array<long>")
-    blocks = written(blocks, "warc-places").repartition("path", F.col("offsets")[0])
+    blocks = written(blocks, "warc-places")
+    size, slots = packages.agg(F.sum("bytes")).first()[0] or 0, packages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-size // (128 << 20)), min(2 * slots, -(-size // (1 << 20))))
+    blocks = blocks.repartition(tasks, "path", F.col("offsets")[0])
     names = ["record_id", "record_type", "refers_to_id", "target_uri", "digest_header", "http_length", "payload_bytes", "payload_digest", "payload"]
     schema = pa.schema([(k, pa.int64() if k in ("http_length", "payload_bytes") else pa.binary() if k == "payload" else pa.string()) for k in names])
 
@@ -277,7 +292,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    planned = plan_records(as_scan(pages, "warc-pages"), id_col, url_col, html_col, least_bytes)
+    planned = plan_records(pages, id_col, url_col, html_col, least_bytes)
     read = read_packages(write_packages(planned, folder), folder, keep_payload=False)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<{_ID}(-?[0-9]+)>$', 1) as long)")
     revisit = F.col("record_type") == "revisit"

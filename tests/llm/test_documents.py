@@ -106,6 +106,41 @@ def test_sharding_awkward(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["__n", "__rn", "__order", "__bucket", "__before", "given", "order", "bucket", "nth", "before", "file", "row", "n"])
+def test_sharding_takes_any_column_name(spark, name):
+    d = docs(spark).select("doc_id", "text", F.lit("mine").alias(name))
+    got = sharding.shard_documents(d, 3)
+    assert got.count() == 13 and {r[name] for r in got.collect()} == {"mine"}
+
+
+def test_sharding_draws_by_plain_recomputation(spark):
+    """Each level's child has the smallest -ln(u) / weight, with u from the keyed hash."""
+    tree = sharding.Tree((((((0, 1.0), (1, 2.0)), ((2, 1.0),)), (((3, 4.0), (4, 0.5), (5, 1.0)),))))
+    keys = spark.range(200).select("id", sharding.assign(F.col("id"), tree).alias("shard")).collect()
+    names = {n: w for r, region in enumerate(tree.regions) for n, w in [(f"region {r}", sum(w for k in region for _, w in k)), *[(f"rack {r}/{k}", sum(w for _, w in rack)) for k, rack in enumerate(region)], *[(f"shard {r}/{k}/{s}", w) for k, rack in enumerate(region) for s, w in rack]]}
+    hashes = spark.range(200).select("id", *[F.xxhash64(F.lit(7), F.lit(n), F.col("id")).alias(n) for n in names]).collect()
+    for got, h in zip(keys, hashes, strict=True):
+        draw = lambda n: -np.log((((h[n] & (1 << 64) - 1) >> 11) + 0.5) / 2**53) / names[n]  # noqa: B023, E731
+        r = min(range(len(tree.regions)), key=lambda r: draw(f"region {r}"))  # noqa: B023
+        k = min(range(len(tree.regions[r])), key=lambda k: draw(f"rack {r}/{k}"))  # noqa: B023
+        assert got["shard"] == min((s for s, _ in tree.regions[r][k]), key=lambda s: draw(f"shard {r}/{k}/{s}"))  # noqa: B023
+
+
+def test_mixing_takes_any_column_names(spark):
+    names = ["__id", "__source", "__size", "__tie", "__s", "__m", "__bin", "__whole", "__p", "__u", "__q", "__cut", "__left", "__given", "__copy", "__copies"]
+    d = docs(spark).select("doc_id", "text", "source", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    plain = sorted(rows(mixing.mix(docs(spark)).select("doc_id", "size", "source_size", "target", "taken")), key=repr)
+    got = mixing.mix(d)
+    assert sorted(rows(got.select("doc_id", "size", "source_size", "target", "taken")), key=repr) == plain
+    assert [tuple(r) for r in got.select(*names).distinct().collect()] == [tuple(range(len(names)))]
+    taken = mixing.mix_rows(docs(spark))
+    assert taken.columns == docs(spark).columns
+    want = collections.Counter()
+    for i, size, _, _, took in plain:
+        want[i] += int(took / size + 0.5) if size else 0
+    assert collections.Counter(r["doc_id"] for r in taken.collect()) == +want
+
+
 def test_mixing_targets(spark):
     s = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1000), (None, 50)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}

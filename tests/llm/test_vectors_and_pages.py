@@ -99,6 +99,23 @@ def test_package_places(index):
     assert records[2]["payload"] == b"payload 2" * 20 and records[4]["payload"] == b"" and records[4]["http"]["content-length"] == "180"
 
 
+def test_package_with_half_an_index():
+    """Records that no index line names are found too; lines of absent members are passed over."""
+    import zlib
+
+    out = io.BytesIO()
+    w = warc.PackageWriter(out, 700)
+    for i in range(9):
+        w.add(i, f"http://x/{i}", b"payload %d" % i * 20, False, None)
+    w._lines = [*w._lines[1:3], w._lines[5], '- 0 {"filename": "gone.warc.gz", "offset": 0, "length": 5}']
+    w.close()
+    data = out.getvalue()
+    f = io.BytesIO(data)
+    found = sorted(warc.places(f, len(data)))
+    assert len(found) == len(set(found)) == 9
+    assert [warc.parse_record(zlib.decompress(data[a : a + n], 31))["payload"] for a, n in found] == [b"payload %d" % i * 20 for i in range(9)]
+
+
 def test_zip64_directory():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
