@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "rules", "streams", "context", "citations", "versions", "planning", "memory", "elements")
+MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "rules", "streams", "context", "citations", "versions", "planning", "memory", "elements", "questions")
 
 
 def load() -> None:
