@@ -294,7 +294,7 @@ class Encoder:
     LONG = 512
     _SKIP = 20  # bits of a candidate's number
 
-    def __init__(self, pieces: Pieces, drop: float, seed: int, memory: int = 100_000):
+    def __init__(self, pieces: Pieces, drop: float, seed: int, memory: int = 300_000):
         self.pieces, self.drop, self.seed, self.memory = pieces, drop, seed, memory
         if any(SPACE in p.lstrip(SPACE) for p in pieces.ids):
             raise ValueError("a piece of this model spans a space")
@@ -456,6 +456,12 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, drop: float, seed: int) -> Encoder:
+    """One encoder for all tasks of a worker: what it remembers changes no result."""
+    return Encoder(_pieces(path), drop, seed)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, drop: float = 0.1, seed: int = 5) -> DataFrame:
     """(id, pieces, n_bytes, n_pieces, pieces_crc32, decoded_crc32, lossless) of every row.
 
@@ -474,7 +480,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def encode(batches):
         pieces = _pieces(model)
-        encoder = Encoder(pieces, drop, seed)
+        encoder = _encoder(model, drop, seed)
         for b in batches:
             ids, size, crc, back, same = [], [], [], [], []
             texts = b.column(1).to_pylist()
