@@ -65,10 +65,14 @@ def drop_written(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def short_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows and bytes of an Arrow batch, so that batches of very long texts stay small."""
+def short_batches(spark: SparkSession, rows: int = 256, size: str = "1m") -> None:
+    """Bound the rows and bytes of an Arrow batch, so that batches of very long texts stay small.
+
+    Spark takes these settings from the session when a query runs, which for a lazy result is
+    after the operator has returned; so they stay set, and the last operator called holds.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def free_name(taken: list[str], name: str) -> str:

@@ -473,7 +473,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id is a key like any other.  An empty table gives an empty result; other columns are
     not read.  ``model`` must be readable on every executor.
     """
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 1024, "3m")
     kind = docs.schema[id_col].dataType.simpleString()
     held = free_name(docs.columns, "__key")
     rows = docs.select(id_col, text_col, F.xxhash64(F.lit(seed), F.col(id_col)).alias(held))
