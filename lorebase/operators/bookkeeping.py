@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,17 @@ def replace_group(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
     return old.join(new.select(group).distinct(), group, "left_anti").unionByName(new)
 
 
+def signatures(rows: DataFrame, by: str, id_col: str, line: Column, ties: list[str], block: int = 1000) -> DataFrame:
+    """(by, signature): SHA-256 over the digests of blocks of ids, in order, of each group.
+
+    Lines meet in blocks of ``block`` ids, so a large group is never one row of text.
+    """
+    of = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), *ties, line.alias("line"))))
+    blocks = rows.groupBy(by, F.floor(F.col(id_col) / block).alias("block")).agg(F.sha2(F.array_join(F.transform(of, lambda x: x["line"]), ";"), 256).alias("h"))
+    every = F.array_sort(F.collect_list(F.struct("block", "h")))
+    return blocks.groupBy(by).agg(F.sha2(F.array_join(F.transform(every, lambda x: x["h"]), ";"), 256).alias("signature"))
+
+
 def dedupe_facts(facts: DataFrame) -> DataFrame:
     """(fact_id, sources, confidence, at, n) of (content, source, confidence, at): facts by content."""
     f = facts.withColumn("fact_id", F.substring(F.md5("content"), 1, 12))

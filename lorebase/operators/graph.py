@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; one is set only where the session has none."""
+    """Cut the lineage in the shared folder; one is set only where a local session has none."""
     sc = df.sparkSession.sparkContext
     if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lorebase-"))
     return df.checkpoint()
 
@@ -23,11 +25,11 @@ def adjacency(relations: DataFrame) -> DataFrame:
     return both.where("node <> neighbour").distinct()
 
 
-def components(relations: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component): each node's smallest reachable node, by hooking and pointer jumps."""
+def components(relations: DataFrame) -> DataFrame:
+    """(node, component): each node's smallest reachable node, by hooking and pointer jumps until none moves."""
     edges = _saved(adjacency(relations))
     labels = _saved(edges.groupBy("node").agg(F.least(F.min("neighbour"), F.col("node")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         seen = edges.join(labels.withColumnsRenamed({"node": "neighbour", "component": "c"}), "neighbour").groupBy("node").agg(F.min("c").alias("c"))
         hooked = labels.join(seen, "node").select("node", F.least("component", "c").alias("up"))
         jumped = hooked.join(labels.withColumnsRenamed({"node": "up", "component": "top"}), "up").select("node", F.least("up", "top").alias("component"))
@@ -36,13 +38,12 @@ def components(relations: DataFrame, most_rounds: int = 100) -> DataFrame:
         labels = after
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def canonical_entities(contributions: DataFrame) -> DataFrame:
-    """(entity_id, name, doc_ids): the non-empty name of the smallest document, and all documents."""
+    """(entity_id, name, n_docs): the non-empty name of the smallest document, and how many documents."""
     named = F.when(F.col("name") != "", F.col("doc_id"))
-    return contributions.groupBy("entity_id").agg(F.min_by("name", named).alias("name"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    return contributions.groupBy("entity_id").agg(F.min_by("name", named).alias("name"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 def relation_weights(contributions: DataFrame) -> DataFrame:
@@ -63,6 +64,38 @@ def tree_depths(nodes: DataFrame, most: int = 8) -> DataFrame:
     return up.select("id", F.least("depth", F.lit(most)).alias("depth"))
 
 
+def preorder(nodes: DataFrame) -> DataFrame:
+    """(tree, id, depth, position) of (tree, id, parent, start): parents before children, by start and id.
+
+    A node's path holds start and id of all nodes above it; paths grow by one join a level
+    until no node is left, and order the tree.  Nodes whose parent is not there are roots.
+    """
+    step = F.struct("start", "id")
+    known = nodes.select("tree", F.col("id").alias("parent"), F.lit(True).alias("known"))
+    n = _saved(nodes.join(known, ["tree", "parent"], "left").select("tree", "id", "start", F.when(F.col("known"), F.col("parent")).alias("parent")))
+    level = _saved(n.where("parent IS NULL").select("tree", "id", F.array(step).alias("path")))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        above = level.select("tree", F.col("id").alias("parent"), F.col("path").alias("above"))
+        level = _saved(n.join(above, ["tree", "parent"]).select("tree", "id", F.concat("above", F.array(step)).alias("path")))
+    every = reduce(DataFrame.unionByName, levels) if levels else level
+    return every.select("tree", "id", (F.size("path") - 1).alias("depth"), F.row_number().over(Window.partitionBy("tree").orderBy("path")).cast("long").alias("position"))
+
+
+def without_documents(contributions: DataFrame, gone: DataFrame) -> DataFrame:
+    """(source, target, weight, doc_ids, n_docs): relations after documents are deleted, recomputed from what is left.
+
+    A relation stays while one document contributes to it; its weight is the strongest of
+    those that are left, its provenance the first hundred of their ids in order.
+    """
+    left = contributions.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    one = left.groupBy("source", "target", "doc_id").agg(F.max("weight").alias("weight"))
+    nth = F.row_number().over(Window.partitionBy("source", "target").orderBy("doc_id"))
+    first = F.array_sort(F.collect_list(F.when(F.col("__r") <= 100, F.col("doc_id"))))
+    return one.withColumn("__r", nth).groupBy("source", "target").agg(F.max("weight").alias("weight"), F.array_join(F.transform(first, lambda d: d.cast("string")), ",").alias("doc_ids"), F.count(F.lit(1)).alias("n_docs"))
+
+
 def plan_waves(tasks: DataFrame) -> DataFrame:
     """(task, wave) of (task, deps): the longest way from a task without dependencies.
 

@@ -11,26 +11,32 @@ from lorebase.functions.text import words
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, dl, term, tf): term counts are made inside each row, so nothing is shuffled."""
-    w = docs.select(F.col(id_col), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    terms = w.select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return terms.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, dl, term, tf) of every row: terms are sorted and counted inside it, so nothing is shuffled.
+
+    Rows of a repeated id are documents of their own; null texts have no terms.
+    """
+    w = docs.select(F.col(id_col), F.array_sort(words(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    size = F.size("w")
+    at = F.when(size > 0, F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1))))))
+    w = w.withColumn("at", at)
+    count = lambda i, k: F.struct(F.element_at("w", i).alias("term"), (F.coalesce(F.get("at", k + 1), size + 1) - i).cast("long").alias("tf"))
+    return w.select(id_col, size.alias("dl"), F.explode(F.transform("at", count)).alias("x")).select(id_col, "dl", "x.term", "x.tf")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` documents with a positive score.
 
     ``queries`` has query_id and text.  Document frequencies and lengths cover all of
-    ``docs``; only postings of query terms meet the queries, so a common term that no query
-    holds is never shuffled.
+    ``docs``.  Postings are counted inside each row and meet the query terms first, by a
+    join that Spark broadcasts if it finds the terms small, so only hits are shuffled, and
+    those by query and document rather than by term.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    d = docs.select(F.col(id_col), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    totals = d.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("w")).alias("avgdl"))
-    wanted = q.select("term").distinct()
-    hits = d.select(id_col, F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted, "term").groupBy("term", id_col, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    p = postings(docs, id_col, text_col)
+    totals = docs.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size(words(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
+    hits = p.join(q.select("term").distinct(), "term")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, "term").join(q, "term").crossJoin(F.broadcast(totals))
+    scored = hits.join(q.join(df, "term"), "term").crossJoin(F.broadcast(totals))
     idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("query_id", id_col).agg(F.sum(idf * part).alias("score"))
@@ -41,28 +47,36 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def keyword_matches(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): share of a query's terms that occur anywhere in the text."""
-    q = F.broadcast(queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("terms")))
+def keyword_matches(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
+    """(query_id, id, score, rank): share of a query's terms that occur anywhere in the text.
+
+    A term may lie inside a word, so every query is held against every text: queries are
+    counted and broadcast in blocks of about ``block``.
+    """
+    terms = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
     low = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     found = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    hits = low.join(q, F.size("terms") > 0).select("query_id", id_col, (found / F.size("terms")).alias("score")).where("score > 0")
+    n, hits = -(-queries.count() // block) or 1, None
+    for at in range(n):
+        q = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == at)
+        h = low.crossJoin(F.broadcast(q)).select("query_id", id_col, (found / F.size("terms")).alias("score")).where("score > 0")
+        hits = h if hits is None else hits.unionByName(h)
     return top_k(hits, ["query_id"], [F.round("score", 6).desc(), F.col(id_col)], k)
 
 
 def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, id, score, rank) by cosine; a query never finds itself.
 
-    Points and queries are dealt to blocks by hash.  Each pair of blocks is one matrix
-    product whose ``k`` best a query go on, so what is shuffled after it is bounded by
-    queries times blocks times ``k``.
+    Vectors that are null, empty or hold a null or NaN are left out, and only vectors of one
+    length meet.  Points and queries are dealt to blocks by hash.  Each pair of blocks is
+    one matrix product whose ``k`` best a query go on, so what is shuffled after it is
+    bounded by queries times blocks times ``k``.
     """
-    n_p = F.broadcast(points.agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("np")))
-    p = points.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(n_p).withColumn("pb", F.pmod(F.xxhash64("id"), F.col("np")).cast("int")).drop("np")
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vector_col).alias("qv")).where("qv IS NOT NULL").crossJoin(n_p)
-    n_q = F.broadcast(queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int").alias("nq")))
-    q = q.crossJoin(n_q).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("np") - 1))).withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).drop("np", "nq")
-    p = p.crossJoin(n_q).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq")
+    sound = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    n_p = -(-points.count() // block) or 1
+    n_q = -(-queries.count() // block) or 1
+    p = points.where(sound(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("width"), F.pmod(F.xxhash64(id_col), F.lit(n_p)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    q = queries.where(sound(vector_col)).select(F.col(id_col).alias("qid"), F.col(vector_col).alias("qv"), F.size(vector_col).alias("width"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"), F.pmod(F.xxhash64(id_col), F.lit(n_q)).cast("int").alias("qb"))
     kind = dict(points.dtypes)[id_col]
 
     def unit(v) -> np.ndarray:
@@ -74,14 +88,17 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
         if len(a) and len(b):
             s, ids = unit(b["qv"]) @ unit(a["v"]).T, a["id"].to_numpy()
             for r, qid in enumerate(b["qid"]):
-                best = np.lexsort((ids, -np.round(s[r], 6)))
+                low = -np.round(s[r], 6)
+                few = np.flatnonzero(low <= np.partition(low, k)[k]) if len(low) > k + 1 else np.arange(len(low))
+                best = few[np.lexsort((ids[few], low[few]))]
                 best = best[ids[best] != qid][:k]
                 out["query_id"] += [qid] * len(best)
                 out["id"] += ids[best].tolist()
                 out["score"] += s[r][best].tolist()
         return pd.DataFrame(out)
 
-    near = p.groupBy("pb", "qb").cogroup(q.groupBy("pb", "qb")).applyInPandas(product, f"query_id {kind}, id {kind}, score double")
+    keys = ["pb", "qb", "width"]
+    near = p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(product, f"query_id {kind}, id {kind}, score double")
     return top_k(near, ["query_id"], [F.round("score", 6).desc(), F.col("id")], k)
 
 

@@ -19,12 +19,16 @@ def evict(entries: DataFrame, by: str, score: str, size: str, tie: str, capacity
     return entries.withColumn("kept", F.sum(size).over(w) - before <= capacity)
 
 
-def cut_to_budget(rows: DataFrame, by: str, order: list[Column], text: str, budget: int) -> DataFrame:
-    """Adds taken: a row's text as far as the group's characters last; later rows get none."""
+def cut_to_budget(rows: DataFrame, by: str, order: list[Column], text: str, budget: int, mark: str = "") -> DataFrame:
+    """Adds taken: a row's text as far as the group's characters last; later rows get none.
+
+    The text that is cut ends with ``mark``.
+    """
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))
     room = F.greatest(F.lit(0), F.lit(budget) - before)
-    return rows.withColumn("taken", F.substring(F.col(text), F.lit(1), room.cast("int")))
+    cut = (room > 0) & (F.length(text) > room)
+    return rows.withColumn("taken", F.concat(F.substring(F.col(text), F.lit(1), room.cast("int")), F.when(cut, mark).otherwise("")))
 
 
 def admit(calls: DataFrame, run: str, turn: str, order: list[str], per_round: int, total: int) -> DataFrame:
@@ -67,3 +71,37 @@ def safe_name(name: Column, most: int = 80) -> Column:
     """Letters, digits, dot, dash and underscore; others become one underscore; no leading dots."""
     clean = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), "^\\.+", "")
     return F.when(clean == "", F.lit("file")).otherwise(F.substring(clean, 1, most))
+
+
+def show_cost(usd: Column, status: Column, names: dict[str, str]) -> Column:
+    """A cost in dollars, six digits under a cent; what ``names`` says of a status without one; + for a partial one."""
+    money = F.concat(F.lit("$"), F.when(usd < 0.01, F.format_string("%.6f", usd)).otherwise(F.format_string("%.3f", usd)))
+    return F.coalesce(*[F.when(status == k, v) for k, v in names.items()], F.when(status == "partial", F.concat(money, F.lit("+"))), money)
+
+
+def show_count(n: Column) -> Column:
+    """A whole number with commas; a dash for negative ones."""
+    return F.when(n < 0, "—").otherwise(F.format_number(n, 0))
+
+
+def needs_ocr(text: Column, least: int, ratio: float) -> tuple[Column, Column]:
+    """Characters that aren't white space, and whether they are too few or too seldom printable."""
+    solid = F.regexp_replace(text, "\\s", "")
+    printable = F.length(F.regexp_replace(solid, "[\\p{C}]", ""))
+    return F.length(solid), (F.length(solid) < least) | (printable / F.length(solid) < ratio)
+
+
+def sampled(text: Column, budget: int, mark: str = "\n\n[...]\n\n") -> Column:
+    """A text up to ``budget`` characters whole; else 3 to 8 segments at even distances, joined by ``mark``."""
+    n = min(8, max(3, budget // 1000))
+    size = max(1, (budget - len(mark) * (n - 1)) // n)
+    last = F.greatest(F.lit(0), F.length(text) - size)
+    parts = [F.substring(text, F.bround(last * k / F.lit(float(n - 1))).cast("int") + 1, F.lit(size)) for k in range(n)]
+    return F.when(F.length(text) <= budget, text).otherwise(F.substring(F.concat_ws(mark, *parts), 1, budget))
+
+
+def refinement_accepted(before: Column, after: Column, total: float, each: float) -> Column:
+    """Whether scores after a refinement are kept: their sum falls by ``total`` at most, none by over ``each``."""
+    sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    falls = F.zip_with(before, after, lambda x, y: F.round(x - y, 6))
+    return (F.round(sum_of(after) - sum_of(before), 6) >= -total) & ~F.exists(falls, lambda x: x > each)

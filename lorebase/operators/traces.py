@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.operators.graph import components
+
 
 def spans(events: DataFrame) -> DataFrame:
     """Events as spans: a user is a trace; its first event is the parent of the others."""
@@ -16,6 +18,42 @@ def spans(events: DataFrame) -> DataFrame:
     )
 
 
+def nested_spans(events: DataFrame) -> DataFrame:
+    """Events as deeper traces: of a user's events in order, each is below the one before, every tenth below the first."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = events.withColumn("n", F.row_number().over(w) - 1)
+    parent = F.when(F.col("n") > 0, F.when(F.col("n") % 10 == 0, F.first("event_id").over(w)).otherwise(F.lag("event_id").over(w)))
+    return n.select(F.col("user_id").alias("tree"), F.col("event_id").alias("id"), parent.alias("parent"), F.col("ts").cast("timestamp_ntz").alias("start"))
+
+
+def collapsed(roots: DataFrame, start_ms: int, duration_ms: int) -> DataFrame:
+    """(label, id): roots that no richer root of their label duplicates.
+
+    roots: (label, id, start_ms, duration_ms, richness).  Two are duplicates if they start
+    within ``start_ms`` and last as long within ``duration_ms``; of a chain of duplicates
+    the richest stays, the earliest of equals.  Roots meet in cells of the band, not all
+    with all, and chains are joined by components.
+    """
+    r = roots.select("label", "id", F.col("start_ms").alias("at"), F.col("duration_ms").alias("lasts"))
+    ask = r.select("label", F.col("id").alias("a"), F.col("at").alias("x"), F.col("lasts").alias("la"), F.explode(F.array(F.floor(F.col("at") / start_ms), F.floor(F.col("at") / start_ms) + 1)).alias("cell"))
+    have = r.select("label", F.col("id").alias("b"), F.col("at").alias("y"), F.col("lasts").alias("lb"), F.floor(F.col("at") / start_ms).alias("cell"))
+    near = (F.abs(F.col("x") - F.col("y")) <= start_ms) & (F.abs(F.col("la") - F.col("lb")) <= duration_ms) & (F.col("a") != F.col("b"))
+    pairs = ask.join(have, ["label", "cell"]).where(near).select(F.col("a").alias("source"), F.col("b").alias("target"))
+    groups = components(pairs).select(F.col("node").alias("id"), "component")
+    j = roots.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    best = F.row_number().over(Window.partitionBy("label", "component").orderBy(F.desc("richness"), "start_ms", "id"))
+    return j.withColumn("__r", best).where("__r = 1").select("label", "id")
+
+
+def trace_page(summaries: DataFrame, status: str | None, search: str, limit: int, offset: int) -> DataFrame:
+    """A page of trace summaries, newest first, with the total: by status and by words in four fields."""
+    fields = F.lower(F.concat_ws(" ", "trace_id", "name", "display_name", "task_preview"))
+    hit = F.contains(fields, F.lit(search.strip().lower()))
+    found = summaries.where(hit if status is None else hit & (F.col("status") == status))
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return found.orderBy(F.desc("start_time"), "trace_id").offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
 def rollup(s: DataFrame) -> DataFrame:
     return s.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("span_count"), F.count_if(F.col("name") == "view").alias("generation_count"), F.count_if(F.col("name") == "click").alias("tool_count"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorebase.operators import bookkeeping as B
+from lorebase.operators import retrieval
 from lorebase.plans.registry import query, table
 
 
@@ -25,11 +26,10 @@ def catalog_backfill(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.max(F.when(F.col("n_chars") > 100, F.col("doc_id"))).alias("last_doc"), F.sum("n_chars").alias("chars"))
 
 
-@query("a22_index_signature", "SELECT source, md5(string_agg(doc_id || ':' || n_chars, ';' ORDER BY doc_id)) AS signature FROM documents GROUP BY source")
+@query("a22_index_signature", "WITH b AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg(doc_id || ':' || n_chars, ';' ORDER BY doc_id, n_chars)) AS h FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(h, ';' ORDER BY block)) AS signature FROM b GROUP BY source")
 def index_signature(spark, d):
     row = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
-    rows = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("r")))).alias("x"))
-    return rows.select("source", F.md5(F.array_join(F.transform("x", lambda x: x["r"]), ";")).alias("signature"))
+    return B.signatures(table(spark, d, "documents"), "source", "doc_id", row, ["n_chars"])
 
 
 @query("a35_filtered_count", "SELECT label, count(*) AS n FROM embeddings WHERE embedding[1] > 0 GROUP BY label")
@@ -162,10 +162,8 @@ q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '),
 s AS (SELECT item_id, doc_id, len(list_intersect(q.w, e.w))::BIGINT AS score FROM q, e)
 SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 5""".replace("substr(text, 1, 200)", "text"))
 def similar_episodes(spark, d):
-    from lorebase.operators.retrieval import top_k
-
     terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda x: x != ""))
     q = table(spark, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.explode(terms("text")).alias("w"))
     e = table(spark, d, "documents").select("doc_id", F.explode(terms("text")).alias("w"))
     s = e.join(q, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    return top_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "score")
+    return retrieval.top_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 5).select("item_id", "doc_id", "score")

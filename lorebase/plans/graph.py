@@ -31,7 +31,7 @@ def communities(spark, d):
 @query("a13_canonical_entities", "SELECT s_nationkey AS entity_id, arg_min(s_name, s_suppkey) AS name, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1")
 def canonical_entities(spark, d):
     c = table(spark, d, "supplier").select(F.col("s_nationkey").alias("entity_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("doc_id"))
-    return G.canonical_entities(c).select("entity_id", "name", F.size("doc_ids").cast("long").alias("n"))
+    return G.canonical_entities(c).select("entity_id", "name", F.col("n_docs").alias("n"))
 
 
 @query("a14_relation_weights", f"WITH {REL} SELECT source, target, round(arg_min(weight, (doc_id, weight)), 6) AS weight, round(max(weight), 6) AS strongest, count(*) AS n FROM rel GROUP BY ALL")
@@ -40,11 +40,11 @@ def relation_weights(spark, d):
     return G.relation_weights(rel).select("source", "target", F.round("weight", 6).alias("weight"), F.round("strongest", 6).alias("strongest"), "n")
 
 
-@query("g4_delete_documents", f"WITH {REL} SELECT source, count(DISTINCT doc_id) AS n_docs, round(max(weight), 6) AS strongest FROM rel WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY source")
+@query("g4_delete_documents", f"""WITH {REL}, k AS (SELECT source, target, doc_id, max(weight) AS weight FROM rel WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY doc_id) AS r FROM k)
+SELECT source, target, round(max(weight), 6) AS weight, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (r <= 100) AS doc_ids, count(*) AS n_docs FROM r GROUP BY ALL""")
 def delete_documents(spark, d):
     gone = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
-    kept = _relations(spark, d).join(gone, "doc_id", "left_anti")
-    return kept.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.round(F.max("weight"), 6).alias("strongest"))
+    return G.without_documents(_relations(spark, d), gone).withColumn("weight", F.round("weight", 6))
 
 
 @query("t9_entity_top", f"WITH {REL}, s AS (SELECT target % 25 AS region, source, count(*) AS n FROM rel GROUP BY ALL) SELECT region, source, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY n DESC, source) AS rank FROM s) WHERE rank <= 10")
@@ -59,18 +59,12 @@ def community_scores(spark, d):
     return s.crossJoin(F.broadcast(s.agg(F.max("s_acctbal").alias("m")))).groupBy(F.col("s_nationkey").alias("community")).agg(F.round(F.avg(F.col("s_acctbal") / F.col("m")), 4).alias("score"))
 
 
-@query("g8_plan_waves", "SELECT * FROM (VALUES ('a', 0), ('b', 0), ('c', 1), ('d', 2), ('e', 3), ('f', 1)) t(task, wave)")
-def plan_waves(spark, d):
-    tasks = spark.createDataFrame([("a", []), ("b", []), ("c", ["a"]), ("d", ["b", "c"]), ("e", ["d", "a"]), ("f", ["b"])], "task string, deps array<string>")
-    return G.plan_waves(tasks)
-
-
-@query("g8_line_waves", """WITH RECURSIVE t AS (SELECT l_orderkey AS o, l_linenumber AS n, l_orderkey * 8 + l_linenumber AS task, l_quantity AS q, l_shipdate AS d FROM lineitem),
+@query("g8_plan_waves", """WITH RECURSIVE t AS (SELECT l_orderkey AS o, l_linenumber AS n, l_orderkey * 8 + l_linenumber AS task, l_quantity AS q, l_shipdate AS d FROM lineitem),
 e AS (SELECT a.task, b.task AS dep FROM t a JOIN t b ON a.o = b.o AND (b.n < a.n AND b.d <= a.d OR b.n = a.n AND a.q = 50)),
 dead AS (SELECT task FROM e WHERE task = dep UNION SELECT e.task FROM dead JOIN e ON e.dep = dead.task),
 w AS (SELECT task, 0 AS wave FROM t UNION SELECT e.task, w.wave + 1 FROM w JOIN e ON e.dep = w.task WHERE e.task <> e.dep)
 SELECT task, CASE WHEN task NOT IN (SELECT task FROM dead) THEN max(wave) END AS wave FROM w GROUP BY task""")
-def line_waves(spark, d):
+def plan_waves(spark, d):
     """Lines of an order wait for its earlier lines that ship no later; a line of 50 waits for itself.
 
     Lines of one order and number are one task.

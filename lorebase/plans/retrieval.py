@@ -63,6 +63,42 @@ def fixed_chunks(spark, d):
     return chunking.fixed_chunks(table(spark, d, "documents")).select("doc_id", "chunk_no", "chunk_start", "chunk_end", "chunk_id")
 
 
+SENTENCES = r"""p AS (SELECT doc_id, regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]\s*|[^。！？.!?]+$') AS x FROM documents),
+e AS (SELECT doc_id, unnest(x) AS sentence, generate_subscripts(x, 1) AS n FROM p),
+b AS (SELECT *, coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM e),
+sen AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, sentence, lo, lo + length(sentence) AS hi FROM b WHERE regexp_replace(sentence, '\s+', '', 'g') <> '')"""
+
+
+@query("w5_semantic_chunks", rf"""WITH {SENTENCES},
+w AS (SELECT doc_id, n, unnest(list_filter(regexp_split_to_array(lower(trim(sentence)), '\s+'), lambda x: x <> '')) AS word FROM sen),
+c AS (SELECT doc_id, n, ('0x' || substr(md5(word), 29, 4))::BIGINT % 64 AS slot, count(*)::DOUBLE AS c FROM w GROUP BY ALL),
+v AS (SELECT doc_id, n, slot, c / sqrt(sum(c * c) OVER (PARTITION BY doc_id, n)) AS x FROM c),
+d AS (SELECT a.doc_id, a.n, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.n = a.n - 1 AND a.slot = b.slot GROUP BY ALL),
+m AS (SELECT s.*, CASE WHEN s.n > 1 AND round(coalesce(dot, 0) / (1 + 1e-8::DOUBLE), 9) < 0.7 THEN 1 ELSE 0 END AS new FROM sen s LEFT JOIN d USING (doc_id, n)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n)::INT AS chunk_no FROM m),
+g AS (SELECT doc_id, chunk_no, min(lo)::BIGINT AS chunk_start, max(hi)::BIGINT AS chunk_end FROM k GROUP BY ALL)
+SELECT *, substr(md5(doc_id || ':' || chunk_start || ':' || chunk_end), 1, 12) AS chunk_id FROM g""")
+def semantic_chunks(spark, d):
+    return chunking.semantic_chunks(table(spark, d, "documents"))
+
+
+ELEMENT_CHUNKS = CHUNKS.replace("FROM documents", "FROM els")
+
+
+@query("w6_element_chunks", f"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS element FROM documents),
+o AS (SELECT *, CASE WHEN element % 4 = 1 THEN 'table' ELSE 'text' END AS kind, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY element ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+els AS (SELECT doc || ':' || element AS doc_id, text, doc, element, kind, start FROM o WHERE NOT (kind = 'table' AND length(text) <= 512) AND regexp_replace(text, '\s+', '', 'g') <> ''),
+{ELEMENT_CHUNKS}
+SELECT doc AS doc_id, element, kind, 0 AS chunk_no, start::BIGINT AS chunk_start, (start + length(text))::BIGINT AS chunk_end, substr(md5(doc || ':element:' || element || ':' || start || ':' || (start + length(text))), 1, 12) AS chunk_id FROM o WHERE kind = 'table' AND length(text) <= 512 AND regexp_replace(text, '\s+', '', 'g') <> ''
+UNION ALL SELECT doc, element, kind, chunk_no, (start + chunk_start)::BIGINT, (start + chunk_end)::BIGINT, substr(md5(doc || ':element:' || element || ':' || chunk_no || ':' || (start + chunk_start) || ':' || (start + chunk_end)), 1, 12) FROM chunks JOIN els USING (doc_id)""")
+def element_chunks(spark, d):
+    """Every line is an element, every fourth a table."""
+    w = Window.partitionBy("doc_id").orderBy("element").rowsBetween(Window.unboundedPreceding, -1)
+    e = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("element", "content"))
+    e = e.withColumn("start", F.coalesce(F.sum(F.length("content") + 1).over(w), F.lit(0))).withColumn("element", F.col("element").cast("long"))
+    return chunking.element_chunks(e.withColumn("kind", F.when(F.col("element") % 4 == 1, "table").otherwise("text")))
+
+
 @query("w7_chunk_counts", f"WITH {CHUNKS} SELECT doc_id, count(*) AS n_chunks, max(chunk_no) AS last_no, sum(length(content))::BIGINT AS chars FROM chunks GROUP BY doc_id")
 def chunk_counts(spark, d):
     c = chunking.fixed_chunks(table(spark, d, "documents"))
@@ -109,6 +145,17 @@ def bm25_without_disabled(spark, d):
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("t2_filtered_topk", f"""WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM scored WHERE score > 0),
+k AS (SELECT 20 + count(DISTINCT doc_id) AS k FROM labels WHERE toxic = 1)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM r, k WHERE r <= k AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) WHERE rank <= 20""")
+def filtered_topk(spark, d):
+    """The k best with k enlarged by the number of excluded documents, then without these."""
+    off = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    more = retrieval.bm25(table(spark, d, "documents"), _queries(spark, d), 20 + off.count()).withColumnRenamed("rank", "r")
+    out = retrieval.top_k(more.join(off, "doc_id", "left_anti"), ["query_id"], [F.col("r")], 20)
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 KNN = """
 u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM u),
@@ -124,35 +171,53 @@ def exact_knn(spark, d):
     return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _rankings(spark, d, k=50):
-    e = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("id"), "embedding")
-    out = None
-    for name, at in (("vector", 0), ("bm25", 1), ("graph", 2)):
-        r = retrieval.top_k(e, ["query_id"], [F.col("embedding")[at].desc(), F.col("id")], k).select("query_id", F.lit(name).alias("ranking"), "rank", "id")
-        out = r if out is None else out.unionByName(r)
-    return out
+KEYWORDS = rf"""
+kq AS (SELECT item_id AS query_id, list_distinct({WORDS}) AS terms FROM benchmark WHERE item_id % 50 = 0),
+kt AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM kq),
+ks AS (SELECT query_id, doc_id, count(*)::DOUBLE / max(n) AS score FROM kt JOIN documents ON contains(lower(text), term) GROUP BY ALL)"""
+RANKINGS = f"""{BM25}, {KEYWORDS}, rankings AS (
+  SELECT query_id, 'bm25' AS ranking, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, doc_id AS id FROM scored WHERE score > 0
+  UNION ALL SELECT query_id, 'keyword', row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id), doc_id FROM ks
+  UNION ALL SELECT query_id, 'keyword', rank + 1, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ks) WHERE doc_id % 10 = 0)"""
 
 
-RANKINGS = "rankings AS (" + " UNION ALL ".join(f"SELECT label AS query_id, '{n}' AS ranking, row_number() OVER (PARTITION BY label ORDER BY embedding[{i}] DESC, vec_id) AS rank, vec_id AS id FROM embeddings QUALIFY rank <= 50" for n, i in (("vector", 1), ("bm25", 2), ("graph", 3))) + ")"
+def _rankings(spark, d):
+    """All ranks of BM25 and of keyword search; every tenth document comes up twice in the latter."""
+    docs, q, every = table(spark, d, "documents"), _queries(spark, d), 2**31 - 2
+    name = lambda r, n: r.select("query_id", F.lit(n).alias("ranking"), "rank", F.col("doc_id").alias("id"))
+    words = name(retrieval.keyword_matches(docs, q, every), "keyword")
+    again = words.where("id % 10 = 0").withColumn("rank", F.col("rank") + 1)
+    return name(retrieval.bm25(docs, q, every), "bm25").unionByName(words).unionByName(again)
 
 
 @query("j1_rrf_fuse", f"""WITH {RANKINGS},
-f AS (SELECT query_id, id, sum(CASE ranking WHEN 'vector' THEN 0.7::DOUBLE WHEN 'bm25' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) AS raw, min(ranking) AS best_source FROM rankings GROUP BY ALL),
+o AS (SELECT query_id, ranking, id, min(rank) AS rank FROM rankings GROUP BY ALL),
+f AS (SELECT query_id, id, sum(CASE ranking WHEN 'keyword' THEN 0.7::DOUBLE WHEN 'bm25' THEN 0.3::DOUBLE END / (60 + rank)) AS raw, min(ranking) AS best_source FROM o GROUP BY ALL),
 n AS (SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS score FROM f)
 SELECT query_id, id, round(score, 6) AS score, best_source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM n) WHERE rank <= 20""")
 def rrf_fuse(spark, d):
-    out = retrieval.rrf(_rankings(spark, d), {"vector": 0.7, "bm25": 0.3}, 20)
+    out = retrieval.rrf(_rankings(spark, d), {"keyword": 0.7, "bm25": 0.3}, 20)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "best_source", F.col("rank").cast("long").alias("rank"))
 
 
-@query("w1_rank_positions", f"WITH {RANKINGS} SELECT query_id, id, min(rank)::BIGINT AS best_rank, count(*) AS n_rankings FROM rankings GROUP BY ALL")
+@query("w1_rank_positions", f"WITH {RANKINGS} SELECT query_id, ranking, id, min(rank)::BIGINT AS best_rank, count(*) AS n FROM rankings GROUP BY ALL")
 def rank_positions(spark, d):
-    return _rankings(spark, d).groupBy("query_id", "id").agg(F.min("rank").cast("long").alias("best_rank"), F.count(F.lit(1)).alias("n_rankings"))
+    """The best rank of an id in each ranking, in which it may come up twice."""
+    return _rankings(spark, d).groupBy("query_id", "ranking", "id").agg(F.min("rank").cast("long").alias("best_rank"), F.count(F.lit(1)).alias("n"))
 
 
-@query("u2_ranking_union", f"WITH {RANKINGS} SELECT query_id, ranking, count(*) AS n, sum(rank)::BIGINT AS ranks FROM rankings GROUP BY ALL")
+@query("u2_ranking_union", f"WITH {RANKINGS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ranking, rank, id) AS position, ranking, id FROM rankings")
 def ranking_union(spark, d):
-    return _rankings(spark, d).groupBy("query_id", "ranking").agg(F.count(F.lit(1)).alias("n"), F.sum("rank").cast("long").alias("ranks"))
+    """All rankings of a query under each other, in their order."""
+    w = Window.partitionBy("query_id").orderBy("ranking", "rank", "id")
+    return _rankings(spark, d).select("query_id", F.row_number().over(w).cast("long").alias("position"), "ranking", "id")
+
+
+@query("j23_document_chunks", f"WITH {CHUNKS} SELECT doc_id, count(*) AS n_chunks, min(chunk_id) AS first_id FROM chunks WHERE doc_id % 50 = 0 GROUP BY doc_id")
+def document_chunks(spark, d):
+    """Chunks of the documents asked for: the filter is applied before anything is cut."""
+    c = chunking.fixed_chunks(table(spark, d, "documents").where("doc_id % 50 = 0"))
+    return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_id"))
 
 
 @query("t5_rerank", """WITH c AS (SELECT label AS query_id, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS ordinal, embedding[4]::DOUBLE * 10 AS logit FROM embeddings),
@@ -216,17 +281,27 @@ def cosine_to_centroid(spark, d):
 
 @query("s4_html_text", page_source.SQL)
 def html_text(spark, d):
-    return page_source.html_text(table(spark, d, "pages"))
+    t = page_source.html_text(table(spark, d, "pages"))
+    return t.select("page_id", "title", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"))
+
+
+URLS = "urls AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, '://', '://www.') || '.html?x=1' WHEN 1 THEN url || '/index.PHP' WHEN 2 THEN url || '/some_long-title/' ELSE url END AS url FROM pages)"
 
 
-@query("x32_url_titles", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)/?$', 1) AS tail FROM pages")
+@query("x32_url_titles", rf"""WITH {URLS}, h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '') AS host, trim(regexp_extract(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '([^/]*)/*$', 1)) AS last FROM urls),
+s AS (SELECT page_id, host, regexp_replace(last, '(?i)\.(?:html?|php|aspx?)$', '') AS slug FROM h)
+SELECT page_id, CASE WHEN slug = '' OR lower(slug) IN ('article', 'detail', 'index', 'page') OR regexp_full_match(slug, '[0-9]+') THEN CASE WHEN host <> '' THEN host ELSE 'Web source' END ELSE host || ' - ' || trim(regexp_replace(regexp_replace(slug, '[-_]+', ' ', 'g'), '\s+', ' ', 'g')) END AS title FROM s""")
 def url_titles(spark, d):
-    return page_source.url_parts(table(spark, d, "pages"))
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, F.concat(F.replace("url", F.lit("://"), F.lit("://www.")), F.lit(".html?x=1"))).when(k == 1, F.concat("url", F.lit("/index.PHP"))).when(k == 2, F.concat("url", F.lit("/some_long-title/"))).otherwise(F.col("url"))
+    return page_source.url_titles(table(spark, d, "pages").withColumn("url", url))
 
 
-@query("s3_markdown_sections", """WITH md AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) AS one, '# ' || replace(text, chr(10), chr(10) || '## ') AS md FROM documents),
-l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line FROM md)
-SELECT doc_id, length(regexp_extract(line, '^(#{1,6})\\s', 1))::INT AS level, count(*) AS n FROM l WHERE regexp_matches(line, '^(#{1,6})\\s') GROUP BY ALL""".replace("\\\\", "\\"))
+@query("s3_markdown_sections", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+m AS (SELECT doc_id, n, n % 7 + 1 AS level, trim(line) AS title FROM l WHERE n % 3 = 0 AND trim(line) <> '')
+SELECT doc_id, n::INT AS line_no, level::INT AS level, md5(title) AS title FROM m WHERE level <= 6""")
 def markdown_sections(spark, d):
-    md = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n## ")).alias("md"))
-    return page_source.markdown_headings(md, "doc_id", "md").groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"))
+    """Every third line becomes a heading of up to six marks, or of seven, which is none."""
+    mark = lambda x, n: F.when((n % 3 == 0) & (F.trim(x) != ""), F.concat(F.repeat(F.lit("#"), n % 7 + 1), F.lit("  "), F.trim(x), F.lit(" "))).otherwise(F.concat(F.lit("."), x))
+    md = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("md"))
+    return page_source.markdown_headings(md, "doc_id", "md").select("doc_id", "line_no", "level", F.md5("title").alias("title"))

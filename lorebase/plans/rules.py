@@ -19,16 +19,19 @@ def report_sections(spark, d):
     return s.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("w10_memory_eviction", "SELECT event_id, total - before <= 500 AS kept FROM (SELECT event_id, sum(length(props)) OVER (PARTITION BY user_id) AS total, coalesce(sum(length(props)) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)")
+@query("w10_memory_eviction", "WITH e AS (SELECT event_id, user_id, length(props) AS n, round(value - epoch_us(TIMESTAMP '2024-01-31' - ts) / 3600000000, 9) AS score FROM events) SELECT event_id, total - before <= 500 AS kept FROM (SELECT event_id, sum(n) OVER (PARTITION BY user_id) AS total, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY score, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)")
 def memory_eviction(spark, d):
-    e = table(spark, d, "events").withColumn("chars", F.length("props"))
-    return R.evict(e, "user_id", "value", "chars", "event_id", 500).select("event_id", "kept")
+    """An entry's score is its importance less its age in hours."""
+    hours = F.expr("timestampdiff(MICROSECOND, CAST(ts AS TIMESTAMP_NTZ), TIMESTAMP_NTZ'2024-01-31 00:00:00')") / 3600000000
+    e = table(spark, d, "events").withColumn("chars", F.length("props")).withColumn("score", F.round(F.col("value") - hours, 9))
+    return R.evict(e, "user_id", "score", "chars", "event_id", 500).select("event_id", "kept")
 
 
-@query("w11_context_string", "SELECT conv_id, turn, substr(text, 1, greatest(0, 800 - before)::INT) AS taken FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)")
+@query("w11_context_string", "SELECT conv_id, turn, substr(text, 1, greatest(0, 800 - before)::INT) || CASE WHEN before < 800 AND before + length(text) > 800 THEN '...' ELSE '' END AS taken FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, length(text) DESC, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations)")
 def context_string(spark, d):
+    """Kinds in order, within a kind by falling importance; the entry that is cut ends with dots."""
     first = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    return R.cut_to_budget(table(spark, d, "conversations"), "conv_id", [first, F.col("turn")], "text", 800).select("conv_id", "turn", "taken")
+    return R.cut_to_budget(table(spark, d, "conversations"), "conv_id", [first, F.desc(F.length("text")), F.col("turn")], "text", 800, "...").select("conv_id", "turn", "taken")
 
 
 @query("p40_tool_admission", "SELECT event_id, f AND s <= 12 AS admitted FROM (SELECT event_id, f, sum(f::INT) OVER (PARTITION BY user_id ORDER BY day, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_id, user_id, ts::DATE AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) <= 4 AS f FROM events))")
@@ -50,11 +53,21 @@ def plan_completion(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id")).agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(done).alias("n_done"), F.bool_and(done).alias("complete"))
 
 
-@query("t11_ready_tasks", "WITH d AS (SELECT l_orderkey AS plan_id, l_linenumber AS task, bool_or(l_linestatus = 'F') AS done FROM lineitem GROUP BY ALL) SELECT a.plan_id, a.task FROM d a LEFT JOIN d b ON a.plan_id = b.plan_id AND b.task = a.task - 1 WHERE NOT a.done AND coalesce(b.done, TRUE)")
+@query("t11_ready_tasks", "WITH d AS (SELECT l_orderkey AS plan_id, l_linenumber AS task, bool_or(l_linestatus = 'F') AS done, max(l_quantity % 10) AS priority FROM lineitem GROUP BY ALL) SELECT a.plan_id, a.task, row_number() OVER (PARTITION BY a.plan_id ORDER BY a.priority DESC, a.task) AS position FROM d a LEFT JOIN d b ON a.plan_id = b.plan_id AND b.task = a.task - 1 WHERE NOT a.done AND coalesce(b.done, TRUE)")
 def ready_tasks(spark, d):
-    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("task")).agg(F.bool_or(F.col("l_linestatus") == "F").alias("done"))
+    """Open tasks whose dependency is done, by priority and then id."""
+    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("task")).agg(F.bool_or(F.col("l_linestatus") == "F").alias("done"), F.max(F.col("l_quantity") % 10).alias("priority"))
     b = t.select("plan_id", (F.col("task") + 1).alias("task"), F.col("done").alias("dep_done"))
-    return t.join(b, ["plan_id", "task"], "left").where(~F.col("done") & F.coalesce("dep_done", F.lit(True))).select("plan_id", "task")
+    w = Window.partitionBy("plan_id").orderBy(F.desc("priority"), "task")
+    return t.join(b, ["plan_id", "task"], "left").where(~F.col("done") & F.coalesce("dep_done", F.lit(True))).select("plan_id", "task", F.row_number().over(w).cast("long").alias("position"))
+
+
+@query("x39_display_costs", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 5 WHEN 0 THEN 'no price' WHEN 1 THEN 'no usage' WHEN 2 THEN 'free' ELSE '$' || CASE WHEN c < 0.01 THEN printf('%.6f', c) ELSE printf('%.3f', c) END || CASE WHEN l_partkey % 5 = 3 THEN '+' ELSE '' END END AS cost, format('{:,}', (l_quantity * 1000)::BIGINT) AS tokens FROM (SELECT *, l_suppkey / 7000 AS c FROM lineitem)")
+def display_costs(spark, d):
+    k = F.col("l_partkey") % 5
+    status = F.when(k == 0, "pricing_unconfigured").when(k == 1, "usage_unavailable").when(k == 2, "not_applicable").when(k == 3, "partial").otherwise("estimated")
+    names = {"pricing_unconfigured": "no price", "usage_unavailable": "no usage", "not_applicable": "free"}
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", R.show_cost(F.col("l_suppkey") / 7000, status, names).alias("cost"), R.show_count((F.col("l_quantity") * 1000).cast("long")).alias("tokens"))
 
 
 @query("x39_display_durations", "SELECT event_id, CASE WHEN ms < 1000 THEN floor(ms)::BIGINT || 'ms' WHEN floor(ms / 1000) < 60 THEN floor(ms / 1000)::BIGINT || 's' ELSE floor(floor(ms / 1000) / 60)::BIGINT || 'm ' || (floor(ms / 1000)::BIGINT % 60) || 's' END AS shown FROM (SELECT event_id, value * (event_id % 1000) AS ms FROM events)")
@@ -81,36 +94,33 @@ def adjacent_similarity(spark, d):
     return e.select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("w")), 5).alias("similarity"))
 
 
-@query("w5_semantic_breaks", """WITH p AS (SELECT vec_id, label, embedding[1] AS x, lag(embedding[1]) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings),
-g AS (SELECT label, vec_id, sum((y IS NULL OR x * y < 0)::INT) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS chunk FROM p)
-SELECT label, chunk, min(vec_id) AS first_id, max(vec_id) AS last_id, count(*) AS n FROM g GROUP BY ALL""")
-def semantic_breaks(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id")
-    p = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("x"), F.lag(F.col("embedding")[0]).over(w).alias("y"))
-    chunk = F.sum((F.col("y").isNull() | (F.col("x") * F.col("y") < 0)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return p.withColumn("chunk", chunk).groupBy("label", "chunk").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
-
-
 @query("u4_eligible_minus_selected", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
 def eligible_minus_selected(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti").distinct()
 
 
-@query("p16_page_needs_ocr", r"SELECT page_id, length(regexp_replace(html, '\s', '', 'g'))::BIGINT AS solid, length(regexp_replace(html, '\s', '', 'g')) < 2000 AS needs_ocr FROM pages")
+@query("p16_page_needs_ocr", r"SELECT doc_id, length(s)::BIGINT AS solid, length(s) < 80 OR length(regexp_replace(s, '[\p{C}]', '', 'g')) / length(s) < 0.85 AS needs_ocr FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 7 = 0 THEN replace(text, 'e', chr(1)) || repeat(chr(2), 99) ELSE text END, '\s', '', 'g') AS s FROM documents)")
 def page_needs_ocr(spark, d):
-    solid = F.length(F.regexp_replace("html", "\\s", "")).cast("long")
-    return table(spark, d, "pages").select("page_id", solid.alias("solid"), (solid < 2000).alias("needs_ocr"))
+    """Under 80 solid characters, or under 85 % of them printable; some texts are made unprintable."""
+    bad = F.concat(F.replace("text", F.lit("e"), F.lit("\x01")), F.lit("\x02" * 99))
+    text = F.when(F.col("doc_id") % 7 == 0, bad).otherwise(F.col("text"))
+    solid, needs = R.needs_ocr(text, 80, 0.85)
+    return table(spark, d, "documents").select("doc_id", solid.cast("long").alias("solid"), needs.alias("needs_ocr"))
 
 
-@query("w18_even_sampling", "SELECT doc_id, i::INT AS part, substr(text, (floor(i * greatest(length(text) - 50, 0) / 4.0::DOUBLE))::INT + 1, 50) AS sample FROM documents, range(0, 5) r(i)")
+@query("w18_even_sampling", """WITH t AS (SELECT doc_id, text, length(text) AS n, 200 AS size FROM documents), s AS (SELECT doc_id, n, string_agg(substr(text, round_even(i * greatest(0, n - size) / 2.0::DOUBLE, 0)::INT + 1, size), chr(10) || chr(10) || '[...]' || chr(10) || chr(10) ORDER BY i) AS x FROM t, range(0, 3) r(i) GROUP BY ALL)
+SELECT s.doc_id, md5(CASE WHEN s.n <= 618 THEN text ELSE substr(x, 1, 618) END) AS digest FROM s JOIN t USING (doc_id)""")
 def even_sampling(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("part"))
-    start = F.floor(F.col("part") * F.greatest(F.length("text") - 50, F.lit(0)) / F.lit(4.0)).cast("int") + 1
-    return t.select("doc_id", "part", F.substring(F.col("text"), start, F.lit(50)).alias("sample"))
+    """Whole up to the budget; beyond it, segments at even distances that fill the budget."""
+    return table(spark, d, "documents").select("doc_id", F.md5(R.sampled(F.col("text"), 618)).alias("digest"))
 
 
-@query("a28_refinement_accepted", "SELECT event_id, value - lag(value) OVER w >= -5 AS accepted FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lag(value) OVER w IS NOT NULL")
+@query("a28_refinement_accepted", """WITH s AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, [l_quantity % 10, l_partkey % 10, l_suppkey % 10, l_extendedprice % 10, l_linenumber] AS v FROM lineitem),
+p AS (SELECT *, lag(v) OVER (PARTITION BY l_orderkey ORDER BY n) AS u FROM s)
+SELECT l_orderkey, n, round(list_sum(v) - list_sum(u), 6) >= -0.5 AND len(list_filter([1, 2, 3, 4, 5], lambda k: round(u[k] - v[k], 6) > 6)) = 0 AS accepted FROM p WHERE u IS NOT NULL""")
 def refinement_accepted(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("before", F.lag("value").over(w)).where("before IS NOT NULL")
-    return e.select("event_id", (F.col("value") - F.col("before") >= -5).alias("accepted"))
+    """Five dimensions of a line against the one before: the sum hardly falls and none falls by over 6."""
+    dims = F.array(F.col("l_quantity") % 10, (F.col("l_partkey") % 10).cast("double"), (F.col("l_suppkey") % 10).cast("double"), F.col("l_extendedprice") % 10, F.col("l_linenumber").cast("double"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    p = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(w).cast("long").alias("n"), dims.alias("v"), F.lag(dims).over(w).alias("u")).where("u IS NOT NULL")
+    return p.select("l_orderkey", "n", R.refinement_accepted(F.col("u"), F.col("v"), 0.5, 6.0).alias("accepted"))

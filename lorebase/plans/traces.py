@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase.operators import graph as G
@@ -27,16 +26,30 @@ def span_parents(spark, d):
     return R.spans(table(spark, d, "events")).select("span_id", "parent_id")
 
 
-@query("g13_span_depths", "SELECT event_id AS id, (CASE WHEN event_id = root THEN 0 ELSE 1 END)::INT AS depth FROM events JOIN (SELECT user_id, arg_min(event_id, (ts, event_id)) AS root FROM events GROUP BY 1) USING (user_id)")
+NESTED = """n AS (SELECT user_id AS tree, event_id AS id, ts, row_number() OVER w - 1 AS n, first_value(event_id) OVER w AS root, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT tree, id, ts, CASE WHEN n = 0 THEN NULL WHEN n % 10 = 0 THEN root ELSE before END AS parent FROM n),
+t AS (SELECT tree, id, 0 AS depth, [(ts, id)] AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.tree, s.id, t.depth + 1, list_append(t.path, (s.ts, s.id)) FROM t JOIN s ON s.tree = t.tree AND s.parent = t.id)"""
+
+
+@query("g13_span_depths", f"WITH RECURSIVE {NESTED} SELECT id, least(depth, 8)::INT AS depth FROM t")
 def span_depths(spark, d):
-    s = R.spans(table(spark, d, "events"))
-    return G.tree_depths(s.select(F.col("span_id").alias("id"), F.col("parent_id").alias("parent")), 2)
+    return G.tree_depths(R.nested_spans(table(spark, d, "events")).select("id", "parent"), 8)
 
 
-@query("g6_span_order", "SELECT event_id AS span_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events")
+@query("g6_span_order", f"WITH RECURSIVE {NESTED} SELECT tree, id, depth::INT AS depth, row_number() OVER (PARTITION BY tree ORDER BY path) AS position FROM t")
 def span_order(spark, d):
-    w = Window.partitionBy("trace_id").orderBy("start_time", "span_id")
-    return R.spans(table(spark, d, "events")).select("span_id", F.row_number().over(w).cast("long").alias("position"))
+    """Parents before children, siblings by start and id."""
+    return G.preorder(R.nested_spans(table(spark, d, "events")))
+
+
+@query("j15_collapsed_roots", """WITH RECURSIVE r AS (SELECT event_type AS label, event_id AS id, epoch_us(ts) // 1000 AS at_ms, value AS lasts, event_id % 5 AS rich FROM events),
+p AS (SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.label = b.label AND a.id <> b.id AND abs(a.at_ms - b.at_ms) <= 200000 AND abs(a.lasts - b.lasts) <= 10),
+c AS (SELECT a AS node, a AS c FROM p UNION SELECT p.b, c.c FROM c JOIN p ON p.a = c.node), g AS (SELECT node, min(c) AS c FROM c GROUP BY node)
+SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label, coalesce(c, id) ORDER BY rich DESC, at_ms, id) AS k FROM r LEFT JOIN g ON node = id) WHERE k = 1""")
+def collapsed_roots(spark, d):
+    ms = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) div 1000")
+    e = table(spark, d, "events").select(F.col("event_type").alias("label"), F.col("event_id").alias("id"), ms.alias("start_ms"), F.col("value").alias("duration_ms"), (F.col("event_id") % 5).alias("richness"))
+    return R.collapsed(e, 200_000, 10)
 
 
 @query("a5_failure_summary", "WITH f AS (SELECT user_id AS trace_id, event_id, 'failed after ' || floor(value / 50)::INT AS m FROM events WHERE event_type = 'error'), d AS (SELECT trace_id, m, min(event_id) AS first_at FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY first_at) AS k, count(*) OVER (PARTITION BY trace_id) AS n FROM d) SELECT trace_id, max(n) AS n_distinct, string_agg(m, '; ' ORDER BY k) AS summary FROM r WHERE k <= 3 GROUP BY trace_id")
@@ -51,10 +64,14 @@ def failed_children(spark, d):
     return s.join(bad, "parent_id", "left_semi").select("span_id")
 
 
-@query("p14_trace_page", "WITH s AS (SELECT user_id AS trace_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY 1) SELECT trace_id, n FROM s WHERE e > 0 ORDER BY n DESC, trace_id LIMIT 20 OFFSET 10")
+@query("p14_trace_page", """WITH s AS (SELECT user_id::VARCHAR AS trace_id, min(ts) AS start_time, 'research' AS name, 'trace of ' || any_value(event_type ORDER BY event_id) AS display_name, 'k ' || min(event_id) AS task_preview, CASE WHEN count(*) FILTER (event_type = 'error') > 8 THEN 'error' ELSE 'success' END AS status FROM events GROUP BY user_id),
+f AS (SELECT * FROM s WHERE status = 'error' AND contains(lower(trace_id || ' ' || name || ' ' || display_name || ' ' || task_preview), '1'))
+SELECT trace_id, (SELECT count(*) FROM f) AS total FROM f ORDER BY start_time DESC, trace_id LIMIT 20 OFFSET 5""")
 def trace_page(spark, d):
-    s = R.rollup(R.spans(table(spark, d, "events"))).where("error_count > 0")
-    return s.orderBy(F.desc("span_count"), "trace_id").offset(10).limit(20).select("trace_id", F.col("span_count").alias("n"))
+    e = table(spark, d, "events")
+    s = e.groupBy(F.col("user_id").cast("string").alias("trace_id")).agg(F.min("ts").alias("start_time"), F.min_by("event_type", "event_id").alias("t"), F.min("event_id").alias("i"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    s = s.select("trace_id", "start_time", F.lit("research").alias("name"), F.concat(F.lit("trace of "), "t").alias("display_name"), F.concat(F.lit("k "), F.col("i").cast("string")).alias("task_preview"), F.when(F.col("bad") > 8, "error").otherwise("success").alias("status"))
+    return R.trace_page(s, "error", " 1 ", 20, 5).select("trace_id", "total")
 
 
 @query("k15_trace_retention", "SELECT user_id AS trace_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,29 +12,74 @@ from pyspark.sql import functions as F
 DROPPED = ("script", "style", "nav", "footer", "header")
 
 
+class _Text(HTMLParser):
+    """Text nodes outside dropped elements, and the title; entities are decoded, elements may nest or stay open."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.lines: list[str] = []
+        self.title: list[str] = []
+        self.in_title = False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in DROPPED:
+            self.open.append(tag)
+        self.in_title |= tag == "title"
+
+    def handle_endtag(self, tag):
+        if tag in self.open:  # what was left open inside ends with it
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+        self.in_title &= tag != "title"
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title.append(data)
+        if not self.open:
+            self.lines += [line for x in data.split("\n") if (line := x.strip())]
+
+
+def parse_html(html: str | None) -> tuple[str, str]:
+    """(title, text): text nodes a line each, without dropped elements."""
+    p = _Text()
+    p.feed(html or "")
+    p.close()
+    return "".join(p.title).strip(), "\n".join(p.lines)
+
+
 def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, title, chars, digest) of the text between tags, a line each, without dropped elements."""
-    title = F.trim(F.regexp_extract(html_col, "(?is)<title[^>]*>(.*?)</title>", 1))
-    body = F.col(html_col)
-    for e in DROPPED:
-        body = F.regexp_replace(body, f"(?is)<{e}(\\s[^>]*)?>.*?</{e}>", " ")
-    lines = F.transform(F.split(F.regexp_replace(body, "(?s)<[^>]*>", "\n"), "\n"), lambda x: F.trim(x))
-    content = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
-    return pages.select(id_col, title.alias("title"), content.alias("c")).select(id_col, "title", F.length("c").cast("long").alias("chars"), F.md5("c").alias("digest"))
+    """(id, title, content) of every page, parsed in its own task without a shuffle; null html is empty."""
+    kind = pages.schema[id_col].dataType.simpleString()
+
+    def parse(batches):
+        for b in batches:
+            found = [parse_html(h) for h in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=[id_col, "title", "content"])
+
+    return pages.select(id_col, html_col).mapInArrow(parse, f"`{id_col}` {kind}, title string, content string")
 
 
 _BODY = "html"
 for _e in DROPPED:
-    _BODY = rf"regexp_replace({_BODY}, '(?is)<{_e}(\s[^>]*)?>.*?</{_e}>', ' ', 'g')"
-SQL = rf"""WITH c AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
-  array_to_string(list_filter(list_transform(string_split(regexp_replace({_BODY}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS c FROM pages)
+    _BODY = rf"regexp_replace({_BODY}, '(?is)<{_e}(\s[^>]*)?>.*?</{_e}>', '<b>', 'g')"
+_PLAIN = "{0}"
+for _k, _v in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&#x27;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+    _PLAIN = f"replace({_PLAIN}, '{_k}', {_v})"
+SQL = rf"""WITH c AS (SELECT page_id, trim({_PLAIN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS title,
+  array_to_string(list_filter(list_transform(string_split({_PLAIN.format(f"regexp_replace({_BODY}, '(?s)<[^>]*>', chr(10), 'g')")}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS c FROM pages)
 SELECT page_id, title, length(c)::BIGINT AS chars, md5(c) AS digest FROM c"""
 
 
-def url_parts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, tail): the host, and the last part of the path."""
-    path = F.regexp_replace(url_col, "[?#].*$", "")
-    return pages.select(id_col, F.regexp_extract(url_col, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract(path, "([^/]*)/?$", 1).alias("tail"))
+def url_titles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id, title) of URLs: host and the last part of the path in words; the host alone for generic parts."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url_col, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), "^www\\.", "")
+    path = F.regexp_replace(F.regexp_replace(url_col, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), "[?#].*$", "")
+    last = F.trim(F.regexp_extract(path, "([^/]*)/*$", 1))
+    slug = F.regexp_replace(last, "(?i)\\.(?:html?|php|aspx?)$", "")
+    generic = (slug == "") | F.lower(slug).isin("article", "detail", "index", "page") | slug.rlike("^[0-9]+$")
+    words = F.trim(F.regexp_replace(F.regexp_replace(slug, "[-_]+", " "), "\\s+", " "))
+    title = F.when(generic, F.when(host != "", host).otherwise("Web source")).when((host != "") & (words != ""), F.concat(host, F.lit(" - "), words)).otherwise(F.concat(host, words))
+    return pages.select(id_col, title.alias("title"))
 
 
 def markdown_headings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
