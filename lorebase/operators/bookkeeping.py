@@ -88,3 +88,16 @@ def number_sources(sources: DataFrame, by: list[str], identity: str, order: list
     """(by, identity, index): distinct sources numbered from 1 by first occurrence."""
     first = sources.groupBy(*by, identity).agg(F.min(F.struct(*order)).alias("__at"))
     return first.select(*by, identity, F.row_number().over(Window.partitionBy(*by).orderBy("__at", identity)).cast("long").alias("index"))
+
+
+def appended(old: DataFrame, new: DataFrame, by: str, order: str) -> DataFrame:
+    """``old`` and the rows of ``new``, whose sequence goes on from the group's last one."""
+    last = old.groupBy(by).agg(F.max("sequence").alias("__last"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return old.unionByName(new.join(last, by, "left").withColumn("sequence", (F.coalesce("__last", F.lit(0)) + nth).cast("long")).select(*old.columns))
+
+
+def retained(rows: DataFrame, by: str, time: str, oldest: Column) -> DataFrame:
+    """All rows of the groups whose newest row is not older than ``oldest``."""
+    live = rows.groupBy(by).agg(F.max(time).alias("__at")).where(F.col("__at") >= oldest).select(by)
+    return rows.join(live, by, "left_semi")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import drop_written, written
+from lorebase.operators.shared import drop_written, written
 
 
 def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
-    """Return (node, root) for every node of ``edges`` (columns a, b of type long).
+    """Return (node, root) for every node of ``edges`` (columns a, b of one type).
 
     ``root`` is the smallest node that links reach.  In each round every node hooks to its
     smallest neighbour, follows its new parents ``jumps`` times, and the edges are renamed
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
             now.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
         parents = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("up"))
-        parents = written(parents, "cc-parents")
+        hooked = parents = written(parents, "cc-parents")
         for _ in range(jumps):
             upper = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
             parents = parents.join(upper, "up").select("node", F.col("top").alias("up"))
@@ -40,12 +40,13 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
         right = parents.select(F.col("node").alias("b"), F.col("up").alias("pb"))
         renamed = now.join(left, "a").join(right, "b").where("pa <> pb")
         after = written(renamed.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        drop_written(now, hooked)
         if found is None:
             found = parents.withColumnRenamed("up", "root")
         else:
             step = parents.select(F.col("node").alias("root"), F.col("up").alias("top"))
-            found = written(found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "cc-found")
-        drop_written(now)
+            before, found = found, written(found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "cc-found")
+            drop_written(before, parents)
         now = after
     if found is None:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

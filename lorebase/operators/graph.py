@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.operators.components import connected_components
+from lorebase.operators.shared import written
+
 
 def _saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; one is set only where a local session has none."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lorebase-"))
-    return df.checkpoint()
+    """Cut the lineage in the shared folder."""
+    return written(df, "graph")
 
 
 def adjacency(relations: DataFrame) -> DataFrame:
@@ -26,18 +23,9 @@ def adjacency(relations: DataFrame) -> DataFrame:
 
 
 def components(relations: DataFrame) -> DataFrame:
-    """(node, component): each node's smallest reachable node, by hooking and pointer jumps until none moves."""
-    edges = _saved(adjacency(relations))
-    labels = _saved(edges.groupBy("node").agg(F.least(F.min("neighbour"), F.col("node")).alias("component")))
-    while True:
-        seen = edges.join(labels.withColumnsRenamed({"node": "neighbour", "component": "c"}), "neighbour").groupBy("node").agg(F.min("c").alias("c"))
-        hooked = labels.join(seen, "node").select("node", F.least("component", "c").alias("up"))
-        jumped = hooked.join(labels.withColumnsRenamed({"node": "up", "component": "top"}), "up").select("node", F.least("up", "top").alias("component"))
-        after = _saved(jumped)
-        moved = after.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = after
-        if not moved:
-            return labels
+    """(node, component): each node's smallest reachable node; nodes without a link to another are left out."""
+    edges = relations.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return connected_components(edges).select("node", F.col("root").alias("component"))
 
 
 def canonical_entities(contributions: DataFrame) -> DataFrame:

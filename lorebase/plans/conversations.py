@@ -39,13 +39,6 @@ def summary_refresh(spark, d):
     return C.refresh_window(table(spark, d, "conversations"), 4, 2)
 
 
-@query("k20_message_sequence", "SELECT conv_id, turn, coalesce(max(turn) OVER (PARTITION BY conv_id), 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence FROM conversations")
-def message_sequence(spark, d):
-    w = Window.partitionBy("conv_id")
-    base = F.coalesce(F.max("turn").over(w), F.lit(0))
-    return table(spark, d, "conversations").select("conv_id", "turn", (base + F.row_number().over(w.orderBy("turn"))).alias("sequence"))
-
-
 @query("k30_keep_newest", "SELECT role, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY turn DESC, conv_id DESC) AS r FROM conversations) WHERE r <= 100")
 def keep_newest(spark, d):
     w = Window.partitionBy("role").orderBy(F.desc("turn"), F.desc("conv_id"))
@@ -123,18 +116,6 @@ def structured_summary(spark, d):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(user).alias("n_user"), F.min_by(head, F.when(user, F.col("turn"))).alias("first_question"), F.max_by(head, F.when(assistant, F.col("turn"))).alias("last_answer"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("j6_lineage_invalidate", """WITH edges AS (SELECT conv_id || ':' || turn AS source_id, 'summary:' || conv_id AS derived_id FROM conversations),
-gone AS (SELECT conv_id || ':' || turn AS id FROM conversations WHERE length(text) < 60)
-SELECT derived_id, count(*) AS n_sources, count(*) FILTER (source_id IN (SELECT id FROM gone)) AS n_gone, bool_or(source_id IN (SELECT id FROM gone)) AS stale FROM edges GROUP BY derived_id""")
-def lineage_invalidate(spark, d):
-    c = table(spark, d, "conversations")
-    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    edges = c.select(key.alias("source_id"), F.concat(F.lit("summary:"), F.col("conv_id").cast("string")).alias("derived_id"))
-    gone = c.where("length(text) < 60").select(key.alias("source_id"), F.lit(1).alias("gone"))
-    e = edges.join(gone, "source_id", "left")
-    return e.groupBy("derived_id").agg(F.count(F.lit(1)).alias("n_sources"), F.count("gone").alias("n_gone"), (F.count("gone") > 0).alias("stale"))
-
-
 @query("j7_run_siblings", "SELECT a.conv_id, a.turn, count(*) AS n, min(b.turn) AS first_turn, max(b.turn) AS last_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn // 2 = b.turn // 2 GROUP BY ALL")
 def run_siblings(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("run"))
@@ -146,9 +127,3 @@ def run_siblings(spark, d):
 def forget_conversations(spark, d):
     c = table(spark, d, "conversations")
     return c.join(c.where("role = 'system'").select("conv_id").distinct(), "conv_id", "left_anti").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("p31_redaction", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '[0-9]{6,}', '[number]', 'g') AS redacted FROM documents".replace("AS redacted", "AS r").join(["SELECT doc_id, length(r)::BIGINT AS chars, md5(r) AS digest FROM (", ")"]))
-def redaction(spark, d):
-    r = F.regexp_replace(F.regexp_replace("text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[email]"), "[0-9]{6,}", "[number]")
-    return table(spark, d, "documents").select("doc_id", r.alias("r")).select("doc_id", F.length("r").cast("long").alias("chars"), F.md5("r").alias("digest"))

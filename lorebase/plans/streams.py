@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorebase.plans.registry import query, table
+from lorebase.plans.registry import query
+from lorebase.plans.retrieval import CHUNKS
 from lorebase.streaming import tables as S
 
 
-@query("z1_incremental_index", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+@query("z1_incremental_index", f"WITH {CHUNKS} SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM chunks JOIN documents USING (doc_id) GROUP BY source")
 def incremental_index(spark, d):
-    docs = S.new_documents(spark, f"{d}/documents.parquet")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    c = S.indexed_chunks(spark, f"{d}/documents.parquet")
+    return c.groupBy("source").agg(F.count_distinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
 @query("z6_trace_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n, min(epoch_us(ts)) AS start_us FROM s GROUP BY user_id, k")
@@ -23,7 +24,4 @@ def trace_sessions(spark, d):
 
 @query("z4_result_cache", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS cached FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
 def result_cache(spark, d):
-    e = table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    live = e.crossJoin(F.broadcast(now)).where("ts >= now - INTERVAL 1 DAY")
-    return live.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("cached"))
+    return S.cached_results(spark, f"{d}/events.parquet")

@@ -72,10 +72,3 @@ def trace_page(spark, d):
     s = e.groupBy(F.col("user_id").cast("string").alias("trace_id")).agg(F.min("ts").alias("start_time"), F.min_by("event_type", "event_id").alias("t"), F.min("event_id").alias("i"), F.count_if(F.col("event_type") == "error").alias("bad"))
     s = s.select("trace_id", "start_time", F.lit("research").alias("name"), F.concat(F.lit("trace of "), "t").alias("display_name"), F.concat(F.lit("k "), F.col("i").cast("string")).alias("task_preview"), F.when(F.col("bad") > 8, "error").otherwise("success").alias("status"))
     return R.trace_page(s, "error", " 1 ", 20, 5).select("trace_id", "total")
-
-
-@query("k15_trace_retention", "SELECT user_id AS trace_id, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1")
-def trace_retention(spark, d):
-    s = R.spans(table(spark, d, "events"))
-    newest = s.agg(F.max("start_time").alias("newest"))
-    return s.crossJoin(F.broadcast(newest)).where("start_time >= newest - INTERVAL 7 DAYS").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
