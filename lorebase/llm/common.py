@@ -7,38 +7,15 @@ loss of any executor and cuts the lineage; nothing is kept in an executor's own
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-#: ``[\x20\x09-\x0D]+`` as a Java regular expression: the white space of all word rules here.
-SPACE = "[\\x20\\x09-\\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; one is set up only where a local session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="lorebase-")
-        spark.sparkContext.setCheckpointDir(named)
-        spark.conf.set("spark.lorebase.scratch", named)
-    return spark.conf.get("spark.lorebase.scratch", None) or named.rstrip("/")
-
+from lorebase.operators.shared import drop_written, scratch_path, written
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACE", "as_scan", "drop_written", "free_name", "scratch_path", "short_batches", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again with its own schema."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ``[\x20\x09-\x0D]+`` as a Java regular expression: the white space of all word rules here.
+SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def as_scan(docs: DataFrame, name: str) -> DataFrame:
@@ -55,16 +32,6 @@ def as_scan(docs: DataFrame, name: str) -> DataFrame:
     return docs
 
 
-def drop_written(*tables: DataFrame) -> None:
-    """Delete tables of :func:`written` that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def short_batches(spark: SparkSession, rows: int = 256, size: str = "1m") -> None:
     """Bound the rows and bytes of an Arrow batch, so that batches of very long texts stay small.
 

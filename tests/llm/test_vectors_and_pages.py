@@ -10,7 +10,8 @@ import zipfile
 import numpy as np
 import pytest
 
-from lorebase.llm import components, embedding_dedup, warc
+from lorebase.llm import embedding_dedup, warc
+from lorebase.operators import components
 from tests.llm.fixtures import union
 
 
