@@ -9,23 +9,22 @@ from lorebase.operators import outcomes as O
 from lorebase.plans.memory import _likes
 from lorebase.plans.registry import query, table
 
-I = F.col("event_id")  # noqa: E741
 
 
 @query("p34_cache_reuse", """WITH r AS (SELECT event_id AS i, CASE event_id % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'a [x]([y](z))' WHEN 2 THEN 'u?ws_call_id=3' ELSE 'text [' || (event_id % 3) || ']' END AS o, event_id % 7 <> 3 AS has, event_id % 2 = 0 AS needs FROM events)
 SELECT i AS event_id, CASE WHEN trim(o) = '' THEN 'empty' WHEN contains(o, '](') AND contains(o, ']([') OR contains(o, 'ws_call_id=') OR has AND i % 31 = 0 THEN 'refresh' WHEN needs AND (NOT has OR NOT regexp_matches(o, '\\[[1-9]\\d*\\]')) THEN 'unsourced' WHEN i % 10 = 4 OR i % 12 = 5 OR i % 14 = 6 OR i % 15 = 8 THEN 'degraded' WHEN i % 11 = 7 THEN 'fallback_plan' WHEN i % 13 = 8 THEN 'fingerprint' END AS problem FROM r""")
 def cache_reuse(spark, d):
-    k = I % 9
-    o = F.when(k == 0, " ").when(k == 1, "a [x]([y](z))").when(k == 2, "u?ws_call_id=3").otherwise(F.concat(F.lit("text ["), (I % 3).cast("string"), F.lit("]")))
-    url = F.when(I % 31 == 0, "http://x?ws_call_id=1").otherwise("http://x")
-    sources = F.when(I % 7 != 3, F.array(url)).otherwise(F.array().cast("array<string>"))
-    problem = O.reuse_problem(o, sources, I % 2 == 0, F.when(I % 10 == 4, " Degraded").otherwise("success"), F.when(I % 12 == 5, 2).otherwise(0), F.when(I % 14 == 6, "evaluation_failed").otherwise("evaluated"), F.when(I % 15 == 8, "invalid").otherwise("valid"), F.when(I % 11 == 7, "fallback").otherwise("ok"), I % 13 != 8)
+    k = F.col("event_id") % 9
+    o = F.when(k == 0, " ").when(k == 1, "a [x]([y](z))").when(k == 2, "u?ws_call_id=3").otherwise(F.concat(F.lit("text ["), (F.col("event_id") % 3).cast("string"), F.lit("]")))
+    url = F.when(F.col("event_id") % 31 == 0, "http://x?ws_call_id=1").otherwise("http://x")
+    sources = F.when(F.col("event_id") % 7 != 3, F.array(url)).otherwise(F.array().cast("array<string>"))
+    problem = O.reuse_problem(o, sources, F.col("event_id") % 2 == 0, F.when(F.col("event_id") % 10 == 4, " Degraded").otherwise("success"), F.when(F.col("event_id") % 12 == 5, 2).otherwise(0), F.when(F.col("event_id") % 14 == 6, "evaluation_failed").otherwise("evaluated"), F.when(F.col("event_id") % 15 == 8, "invalid").otherwise("valid"), F.when(F.col("event_id") % 11 == 7, "fallback").otherwise("ok"), F.col("event_id") % 13 != 8)
     return table(spark, d, "events").select("event_id", problem.alias("problem"))
 
 
 @query("p35_remembered_runs", "SELECT event_id, e AS episode, e AND event_id % 3 = 0 AND coalesce(q >= 7, FALSE) AS fact, round(CASE WHEN q > 0 THEN greatest(0.0, least(1.0, q / 10)) ELSE 0.5 END, 6)::DOUBLE AS confidence FROM (SELECT event_id, event_type <> 'error' AND event_id % 6 <> 1 AND event_id % 10 <> 2 AS e, CASE WHEN event_id % 8 <> 0 THEN value - 2 END AS q FROM events)")
 def remembered_runs(spark, d):
-    e, fact, confidence = O.remembered(F.col("event_type") != "error", F.when(I % 6 == 1, "DEGRADED ").otherwise("success"), F.when(I % 10 == 2, "model_only").otherwise("grounded"), F.when(I % 8 != 0, F.col("value") - 2), I % 3 == 0)
+    e, fact, confidence = O.remembered(F.col("event_type") != "error", F.when(F.col("event_id") % 6 == 1, "DEGRADED ").otherwise("success"), F.when(F.col("event_id") % 10 == 2, "model_only").otherwise("grounded"), F.when(F.col("event_id") % 8 != 0, F.col("value") - 2), F.col("event_id") % 3 == 0)
     return table(spark, d, "events").select("event_id", e.alias("episode"), fact.alias("fact"), F.round(confidence, 6).alias("confidence"))
 
 
@@ -39,14 +38,14 @@ def reusable_indexes(spark, d):
 
 @query("p39_fallback_outcomes", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_type = 'error' THEN 'degraded' ELSE 'retrieval_only' END AS outcome FROM events")
 def fallback_outcomes(spark, d):
-    return table(spark, d, "events").select("event_id", O.fallback_outcome(F.when(F.col("event_type") == "error", "failed"), I % 5).alias("outcome"))
+    return table(spark, d, "events").select("event_id", O.fallback_outcome(F.when(F.col("event_type") == "error", "failed"), F.col("event_id") % 5).alias("outcome"))
 
 
 @query("p42_subtask_views", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'meta' WHEN event_id % 3 = 0 THEN 'data' ELSE 'success' END AS outcome, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'unknown' END AS model FROM events")
 def subtask_views(spark, d):
     none = F.create_map().cast("map<string,string>")
-    meta = F.when(I % 2 == 0, F.create_map(F.lit("outcome"), F.lit("meta"))).otherwise(none)
-    data = F.when(I % 3 == 0, F.create_map(F.lit("outcome"), F.lit("data"), F.lit("model"), F.col("event_type"))).otherwise(none)
+    meta = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("outcome"), F.lit("meta"))).otherwise(none)
+    data = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("outcome"), F.lit("data"), F.lit("model"), F.col("event_type"))).otherwise(none)
     return table(spark, d, "events").select("event_id", *O.subtask_view(meta, data, {"outcome": "success", "model": "unknown"}))
 
 
@@ -80,15 +79,15 @@ def headed_sections(spark, d):
 g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank FROM o WHERE trim(content) <> '')
 SELECT user_id AS run_id, rank, title, trim(content) AS content, CASE WHEN {_likes("lower(title || chr(10) || content)", M.VOLATILE)} THEN 'volatile' WHEN {_likes("lower(title || chr(10) || content)", M.TIME_SENSITIVE)} THEN 'time_sensitive' ELSE 'stable' END AS freshness FROM g WHERE rank <= 20""")
 def grounded_artifacts(spark, d):
-    more = F.when(I % 6 == 0, " 最新").when(I % 6 == 1, " 政策").otherwise("")
-    o = table(spark, d, "events").select(F.col("user_id").alias("run_id"), I.alias("position"), F.col("event_type").alias("title"), F.when(I % 11 == 0, "  ").otherwise(F.concat("props", more)).alias("content"), (F.col("event_type") != "error").alias("success"), F.when(I % 4 == 3, "model_only").when(I % 4 == 2, "not_required").otherwise("grounded").alias("grounding"), (I % 5).alias("n_sources"))
+    more = F.when(F.col("event_id") % 6 == 0, " 最新").when(F.col("event_id") % 6 == 1, " 政策").otherwise("")
+    o = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("position"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 11 == 0, "  ").otherwise(F.concat("props", more)).alias("content"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_id") % 4 == 3, "model_only").when(F.col("event_id") % 4 == 2, "not_required").otherwise("grounded").alias("grounding"), (F.col("event_id") % 5).alias("n_sources"))
     return O.artifacts(o, F.expr("TIMESTAMP_NTZ'2024-01-20'")).drop("expires_at")
 
 
 @query("k37_root_status", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'cancelled' WHEN event_type = 'error' OR event_id % 9 = 0 THEN 'error' WHEN event_id % 4 = 0 THEN 'warning' ELSE 'success' END AS status FROM events")
 def root_status(spark, d):
-    outcome = F.when(I % 7 == 0, "cancelled").when(I % 4 == 0, "degraded").otherwise("success")
-    return table(spark, d, "events").select("event_id", O.root_status(outcome, F.col("event_type") != "error", F.when(I % 9 == 0, "late")).alias("status"))
+    outcome = F.when(F.col("event_id") % 7 == 0, "cancelled").when(F.col("event_id") % 4 == 0, "degraded").otherwise("success")
+    return table(spark, d, "events").select("event_id", O.root_status(outcome, F.col("event_type") != "error", F.when(F.col("event_id") % 9 == 0, "late")).alias("status"))
 
 
 @query("a27_guardrails", """WITH s AS (SELECT doc_id, n_chars, n_chars % 10 + 0.5 AS v, doc_id % 3 = 0 AND length(trim(text)) < greatest(1600, floor(4000 * 0.75)) AS short, doc_id % 2 = 0 AS src, doc_id % 5 < 2 AS mark, doc_id % 5 = 1 AS bad FROM documents),
@@ -104,8 +103,8 @@ def guardrails(spark, d):
 @query("x27_flat_usage", "SELECT event_id, 'completion_tokens=' || (event_id % 50) || CASE WHEN event_id % 3 = 0 THEN ',prompt_cache_hit_tokens=' || (event_id % 20 + 1) ELSE '' END || ',prompt_tokens=' || (event_id % 90) || CASE WHEN event_id % 3 = 0 THEN ',prompt_tokens_details_cached_tokens=' || (event_id % 20 + 1) ELSE '' END AS usage FROM events")
 def flat_usage(spark, d):
     f = lambda c: c.cast("double")
-    counts = F.create_map(F.lit("prompt_tokens"), f(I % 90) + 0.4, F.lit("completion_tokens"), f(I % 50))
-    details = F.when(I % 3 == 0, F.create_map(F.lit("cached_tokens"), f(I % 20 + 1)))
+    counts = F.create_map(F.lit("prompt_tokens"), f(F.col("event_id") % 90) + 0.4, F.lit("completion_tokens"), f(F.col("event_id") % 50))
+    details = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("cached_tokens"), f(F.col("event_id") % 20 + 1)))
     usage = O.flat_usage(F.struct(counts.alias("counts"), details.alias("prompt_tokens_details")), ["prompt_tokens_details"])
     return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.transform(F.map_entries(usage), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias("usage"))
 

@@ -11,15 +11,14 @@ from lorebase.operators import records as R
 from lorebase.plans.registry import query, table
 from lorebase.plans.retrieval import CHUNKS
 
-I, D = F.col("event_id"), F.col("doc_id")
 
 
 @query("p31_redaction", r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' key sk-abcdefgh' || doc_id WHEN 1 THEN ' Authorization: bearer.ABCDEFGH99 end' WHEN 2 THEN ' sk-short' ELSE '' END AS t FROM documents)
 SELECT doc_id, md5(substr(regexp_replace(t, '(?i)\b(?:sk|pk|ghp|github_pat|Bearer)[-_A-Za-z0-9.]{8,}', '[REDACTED]', 'g'), 1, 20000)) AS digest, CASE WHEN doc_id % 2 = 0 THEN 'api_key=[REDACTED],note=[REDACTED] x' ELSE 'note=plain' END AS fields FROM t""")
 def redaction(spark, d):
-    k = D % 4
-    text = F.concat("text", F.when(k == 0, F.concat(F.lit(" key sk-abcdefgh"), D.cast("string"))).when(k == 1, " Authorization: bearer.ABCDEFGH99 end").when(k == 2, " sk-short").otherwise(""))
-    fields = F.when(D % 2 == 0, F.create_map(F.lit("api_key"), F.lit("abc"), F.lit("note"), F.lit("ghp_0123456789 x"))).otherwise(F.create_map(F.lit("note"), F.lit("plain")))
+    k = F.col("doc_id") % 4
+    text = F.concat("text", F.when(k == 0, F.concat(F.lit(" key sk-abcdefgh"), F.col("doc_id").cast("string"))).when(k == 1, " Authorization: bearer.ABCDEFGH99 end").when(k == 2, " sk-short").otherwise(""))
+    fields = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("api_key"), F.lit("abc"), F.lit("note"), F.lit("ghp_0123456789 x"))).otherwise(F.create_map(F.lit("note"), F.lit("plain")))
     shown = F.array_join(F.transform(F.map_entries(R.redacted_fields(fields)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return table(spark, d, "documents").select("doc_id", F.md5(R.redacted(text)).alias("digest"), shown.alias("fields"))
 
@@ -42,7 +41,7 @@ def refused_chunks(spark, d):
 @query("p33_hit_view", "SELECT 'c' || event_id AS chunk_id, user_id::VARCHAR AS doc_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS content, CASE WHEN event_id % 2 = 0 THEN 'bm25' ELSE 'vector' END AS source, (event_id % 9)::INT AS page FROM events WHERE event_id % 5 <> 0")
 def hit_view(spark, d):
     s = lambda c: c.cast("string")
-    payload = F.map_concat(F.create_map(F.lit("doc_id"), s(F.col("user_id")), F.lit("page"), s(I % 9)), F.when(I % 5 != 0, F.create_map(F.lit("chunk_id"), F.concat(F.lit("c"), s(I)))).otherwise(F.create_map().cast("map<string,string>")), F.when(I % 3 == 1, F.create_map(F.lit("content"), F.col("event_type"))).when(I % 3 == 2, F.create_map(F.lit("text"), F.col("event_type"))).otherwise(F.create_map().cast("map<string,string>")), F.when(I % 2 == 0, F.create_map(F.lit("source"), F.lit("bm25"))).otherwise(F.create_map().cast("map<string,string>")))
+    payload = F.map_concat(F.create_map(F.lit("doc_id"), s(F.col("user_id")), F.lit("page"), s(F.col("event_id") % 9)), F.when(F.col("event_id") % 5 != 0, F.create_map(F.lit("chunk_id"), F.concat(F.lit("c"), s(F.col("event_id"))))).otherwise(F.create_map().cast("map<string,string>")), F.when(F.col("event_id") % 3 == 1, F.create_map(F.lit("content"), F.col("event_type"))).when(F.col("event_id") % 3 == 2, F.create_map(F.lit("text"), F.col("event_type"))).otherwise(F.create_map().cast("map<string,string>")), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("source"), F.lit("bm25"))).otherwise(F.create_map().cast("map<string,string>")))
     return R.hits(table(spark, d, "events").select(payload.alias("payload")))
 
 
@@ -61,20 +60,20 @@ def utc_times(spark, d):
 
 @query("x38_asset_keys", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE md5(doc_id::VARCHAR) || '/' || CASE WHEN doc_id % 3 = 1 THEN 'page_' || doc_id || '_x.png' ELSE 'source' END END AS key FROM documents")
 def asset_keys(spark, d):
-    h = F.md5(D.cast("string"))
-    name = F.when(D % 3 == 2, "../..").otherwise(F.concat(F.lit("../a b/.page "), D.cast("string"), F.lit("/..//page "), D.cast("string"), F.lit(" x.png")))
-    return table(spark, d, "documents").select("doc_id", R.asset_key(F.when(D % 3 == 0, F.concat(F.lit("../"), h)).otherwise(h), name).alias("key"))
+    h = F.md5(F.col("doc_id").cast("string"))
+    name = F.when(F.col("doc_id") % 3 == 2, "../..").otherwise(F.concat(F.lit("../a b/.page "), F.col("doc_id").cast("string"), F.lit("/..//page "), F.col("doc_id").cast("string"), F.lit(" x.png")))
+    return table(spark, d, "documents").select("doc_id", R.asset_key(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("../"), h)).otherwise(h), name).alias("key"))
 
 
 @query("k14_exported_spans", "SELECT trace_id, span_id, name, position, left_out FROM (SELECT user_id AS trace_id, event_id AS span_id, substr(event_type, 1, 4) AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position, greatest(count(*) OVER (PARTITION BY user_id) - 40, 0) AS left_out FROM events) WHERE position <= 40")
 def exported_spans(spark, d):
-    s = table(spark, d, "events").select(F.col("user_id").alias("trace_id"), I.alias("span_id"), F.col("event_type").alias("name"), F.col("ts").alias("start_time"))
+    s = table(spark, d, "events").select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), F.col("event_type").alias("name"), F.col("ts").alias("start_time"))
     return R.exported_spans(s, 40, 4)
 
 
 @query("p23_preferences", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'remember that I like tables of ' || event_type WHEN event_id % 3 = 1 THEN 'from now on: ' || event_type || ' answers' END AS preference FROM events")
 def preferences(spark, d):
-    t = F.concat(F.when(I % 3 == 0, F.concat(F.lit("Please remember that I like tables of "), "event_type")).when(I % 3 == 1, F.concat(F.lit("from now on: "), "event_type", F.lit(" answers. Thanks"))).otherwise("nothing to say"), F.when(I % 7 == 0, " my password is x").otherwise(""))
+    t = F.concat(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Please remember that I like tables of "), "event_type")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("from now on: "), "event_type", F.lit(" answers. Thanks"))).otherwise("nothing to say"), F.when(F.col("event_id") % 7 == 0, " my password is x").otherwise(""))
     return table(spark, d, "events").select("event_id", R.preference(t, ["remember that I like ([a-z ]+)", "from now on: ([a-z ]+)"], "(?i)password|secret|api key").alias("preference"))
 
 
@@ -82,7 +81,7 @@ def preferences(spark, d):
 def source_labels(spark, d):
     s = lambda u, t, o: F.struct(F.lit(u).alias("url"), t.alias("title"), F.lit(o).alias("source"))
     e, no = F.col("event_type"), F.lit("")
-    sources = F.when(I % 4 == 0, F.array(s("http://x", e, "kb"), s("", e, ""), s("http://x", no, ""))).when(I % 4 == 1, F.array(s("", e, "kb"), s("", no, ""))).when(I % 4 == 2, F.array(s("", no, "kb"), s("", no, "kb"))).otherwise(F.array(s("", no, "")))
+    sources = F.when(F.col("event_id") % 4 == 0, F.array(s("http://x", e, "kb"), s("", e, ""), s("http://x", no, ""))).when(F.col("event_id") % 4 == 1, F.array(s("", e, "kb"), s("", no, ""))).when(F.col("event_id") % 4 == 2, F.array(s("", no, "kb"), s("", no, "kb"))).otherwise(F.array(s("", no, "")))
     return table(spark, d, "events").select("event_id", F.array_join(R.source_labels(sources, F.concat(F.lit("task "), F.col("user_id").cast("string"))), ",").alias("labels"))
 
 
@@ -90,7 +89,7 @@ def source_labels(spark, d):
 def role_models(spark, d):
     roles = spark.createDataFrame([("view", "big"), ("click", "  ")], "event_type string, role_model string")
     e = table(spark, d, "events").join(roles, "event_type", "left")
-    return e.select("event_id", R.model_for(F.col("event_type"), roles, F.when(I % 2 == 0, "a-default").otherwise("b-default")).alias("model"))
+    return e.select("event_id", R.model_for(F.col("event_type"), roles, F.when(F.col("event_id") % 2 == 0, "a-default").otherwise("b-default")).alias("model"))
 
 
 @query("w14_rendered_messages", "SELECT conv_id, turn, md5(substr(l, 1, (600 - before)::INT)) AS digest FROM (SELECT conv_id, turn, role || ': ' || text AS l, coalesce(sum(length(role || ': ' || text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) WHERE before < 600")

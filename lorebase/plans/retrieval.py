@@ -85,7 +85,7 @@ def semantic_chunks(spark, d):
 ELEMENT_CHUNKS = CHUNKS.replace("FROM documents", "FROM els")
 
 
-@query("w6_element_chunks", f"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS element FROM documents),
+@query("w6_element_chunks", rf"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS element FROM documents),
 o AS (SELECT *, CASE WHEN element % 4 = 1 THEN 'table' ELSE 'text' END AS kind, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY element ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
 els AS (SELECT doc || ':' || element AS doc_id, text, doc, element, kind, start FROM o WHERE NOT (kind = 'table' AND length(text) <= 512) AND regexp_replace(text, '\s+', '', 'g') <> ''),
 {ELEMENT_CHUNKS}

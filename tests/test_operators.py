@@ -57,17 +57,40 @@ def test_knn_excludes_itself_and_takes_ties_by_id(spark):
     assert [r["id"] for r in rows] == [1, 3]
 
 
-def test_entry_survives_without_llm(tmp_path):
+def test_entry_and_tests_survive_without_llm(tmp_path):
+    """Without the corpus operators, their tests and the pipeline, the rest imports and its tests pass."""
+    import os
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parent.parent
-    shutil.copytree(root / "lorebase", tmp_path / "lorebase", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for folder in ("lorebase", "tests"):
+        shutil.copytree(root / folder, tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'j3_bm25_topk' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    some = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-k", "a1_catalog or k1_document or rrf_shared"], cwd=tmp_path, env=env, timeout=300, capture_output=True, text=True)
+    assert some.returncode == 0 and "3 passed" in some.stdout, some.stdout[-2000:]
+
+
+def test_a_broken_import_of_the_corpus_operators_shows(tmp_path):
+    """Only the absence of the package is passed over."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "lorebase", tmp_path / "lorebase", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "lorebase/llm").mkdir()
+    (tmp_path / "lorebase/llm/__init__.py").touch()
+    (tmp_path / "lorebase/llm/queries.py").write_text("import lorebase.llm.not_there\n")
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, timeout=120, capture_output=True, text=True)
+    assert done.returncode != 0 and "not_there" in done.stderr
 
 
 def test_waves_of_deep_plans_and_deadlocks(spark):
