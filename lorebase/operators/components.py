@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lorebase.operators.shared import drop_written, written
 
+#: Rows of a written table's file, about.
+_ROWS = 100_000
+
 
 def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """Return (node, root) for every node of ``edges`` (columns a, b of one type).
@@ -16,7 +19,8 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     by these parents; loops and repeated edges fall out.  An edge (u, parent of u) becomes
     (parent, grandparent), so no connection is lost and hub nodes only ever meet a partial
     aggregate or a join against a table with one row a node.  All tables stay distributed
-    and are written in the shared folder; an empty edge table gives an empty result.
+    and are written in the shared folder, in as many files as their rows call for, as the
+    edges shrink from round to round; an empty edge table gives an empty result.
     Edges with a null end are ignored.
     """
     now = written(
@@ -25,27 +29,29 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
         .distinct(),
         "cc-edges",
     )
-    found = None
-    while now.limit(1).count():
+    found, first = None, 0
+    while rows := now.count():
+        first = first or rows
+        save = lambda df, name: written(df.coalesce(1 + rows // _ROWS), name)  # noqa: B023, E731
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             now.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
         parents = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("up"))
-        hooked = parents = written(parents, "cc-parents")
+        hooked = parents = save(parents, "cc-parents")
         for _ in range(jumps):
             upper = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
             parents = parents.join(upper, "up").select("node", F.col("top").alias("up"))
-        parents = written(parents, "cc-jumped")
+        parents = save(parents, "cc-jumped")
         left = parents.select(F.col("node").alias("a"), F.col("up").alias("pa"))
         right = parents.select(F.col("node").alias("b"), F.col("up").alias("pb"))
         renamed = now.join(left, "a").join(right, "b").where("pa <> pb")
-        after = written(renamed.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
+        after = save(renamed.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
         drop_written(now, hooked)
         if found is None:
             found = parents.withColumnRenamed("up", "root")
         else:
             step = parents.select(F.col("node").alias("root"), F.col("up").alias("top"))
-            before, found = found, written(found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "cc-found")
+            before, found = found, written(found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")).coalesce(1 + first // _ROWS), "cc-found")
             drop_written(before, parents)
         now = after
     if found is None:
