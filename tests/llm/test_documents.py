@@ -371,6 +371,33 @@ def test_toxicity(spark):
     assert toxicity.score_documents(d, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_scores_by_plain_recomputation(spark):
+    """Matching, exceptions and the score of a given lexicon, told without an automaton."""
+    rng = random.Random(3)
+    weights = {" grott": 3.0, " vile ": 2.5, " vilest": 4.0, " mud ": 1.0}
+    lex = toxicity.Lexicon(weights, [" vile cheese ", " old mud "], -4.0, 1.2)
+    vocabulary = ["grotty", "grott", "vile", "vilest", "vilestuff", "mud", "cheese", "old", "plain", "muddy", "a", "vi1e"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", None]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lex).collect()}
+    for i, t in enumerate(texts):
+        words = toxicity.folded(t)
+        starts = [k for k in range(len(words)) if words[k] == " " and k + 1 < len(words)]
+        excused = [(k, k + len(p)) for p in lex.exceptions for k in range(len(words)) if words.startswith(p, k)]
+        hits = {}
+        for k in starts:
+            fit = [(w, e) for e, w in weights.items() if words.startswith(e, k) and not any(a <= k and k + len(e) <= b for a, b in excused)]
+            if fit:
+                hits[k] = max(fit)
+        used, total = collections.Counter(), 0.0
+        for k in sorted(hits):
+            w, e = hits[k]
+            used[e] += 1
+            total += w if used[e] <= 3 else 0.0
+        n = max(0, words.count(" ") - 1)
+        x = -4.0 + 1.2 * (total / (1 + np.log2(1 + n / 256)) if hits else 0.0)
+        assert abs(got[i] - 1 / (1 + np.exp(-x))) < 1e-9, (i, t)
+
+
 def test_pieces(spark):
     got = pieces.encode_documents(docs(spark), drop=0.3).collect()
     assert len(got) == 13 and all(r["lossless"] for r in got)

@@ -136,13 +136,52 @@ def test_zip64_directory():
     assert packed[members[0]["begin"] :][:50] == b"x" * 50
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
+    """Planted rows: toxic ones, copies and near copies go, clean ones stay, columns and names are kept."""
+    import random
+
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        if name != "pieces":
+    rng = random.Random(5)
+    heads = [f"{a}{b}" for a in "mtbskdnlrp" for b in ("ar", "el", "on", "if")]
+    clean = [f"{a}{b}" for a in heads for b in ("ado", "ile", "une", "ast", "oth")]
+    word = lambda: rng.choice(clean)
+    rows, toxic = [], set()
+    for i in range(600):
+        w = [word() for _ in range(60)]
+        if i % 5 == 0:
+            toxic.add(i)
+            for _ in range(3):
+                w[rng.randrange(60)] = rng.choice(["vilestuff", "grottyman"])
+        rows.append((i, " ".join(w), f"s{i % 3}", "kept as it is"))
+    base = {i: t for i, t, _, _ in rows}
+    rows += [(1000 + i, base[i].replace(" ", "  ", 4), "s0", "x") for i in range(1, 60, 5)]  # copies but for spaces
+    near = {}
+    for i in range(2, 60, 5):
+        w = base[i].split()
+        w[30] = "changed"
+        near[2000 + i] = i
+        rows.append((2000 + i, " ".join(w), "s1", "x"))
+    rows += [(3000, None, "s2", "x"), (3001, "", None, "x"), (None, " ".join(word() for _ in range(50)), "s2", "x")]
+    sf = tmp_path / "sf"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __copy string")
+    docs.write.parquet(str(sf / "documents.parquet"))
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(600)], "doc_id long, toxic int").write.parquet(str(sf / "labels.parquet"))
+    docs, seen = spark.read.parquet(str(sf / "documents.parquet")), {}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(sf))
+        if n < 4:
             assert out.columns == docs.columns
-        docs = spark.createDataFrame(out.toPandas(), out.schema) if name != "pieces" else out
-    assert docs.count() > 0
+        out.write.parquet(str(tmp_path / f"stage{n}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{n}"))
+        seen[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
+    ids = {k: set(v) for k, v in seen.items()}
+    assert len(toxic & ids["toxicity"]) <= 0.05 * len(toxic) and len(set(base) - toxic - ids["toxicity"]) <= 5
+    assert not any(1000 <= i < 2000 for i in ids["exact dedup"] if i) and set(range(1, 60, 5)) & ids["toxicity"] <= ids["exact dedup"]
+    assert not [i for i, of in near.items() if i in ids["SimHash near-dedup"] and of in ids["SimHash near-dedup"]]
+    assert len(ids["exact dedup"] - set(near) - ids["SimHash near-dedup"]) <= 2 and None in ids["SimHash near-dedup"]
+    assert ids["mixing"] <= ids["SimHash near-dedup"] and len(seen["pieces"]) == len(seen["mixing"]) > 0
+    assert docs.where("NOT lossless").count() == 0
+    assert {r["source"] for r in spark.read.parquet(str(tmp_path / "stage3")).select("source").distinct().collect()} >= {"s0", "s1", "s2"}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(str(sf / "documents.parquet")).limit(0), str(sf)).count() == 0
