@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
-from lorebase.operators import chunking, citations, context, elements, graph, knowledge, memory, outcomes, planning, questions, records, retrieval, traces, versions
+from lorebase.operators import chunking, citations, context, elements, extraction, graph, knowledge, memory, outcomes, planning, questions, records, retrieval, traces, versions
 from lorebase.sources import pages, payloads
 from lorebase.streaming import tables
 
@@ -170,3 +170,41 @@ def test_several_text_queries(spark):
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
     assert got.groupBy("query_id").count().count() == 6
     assert got.withColumn("r", F.row_number().over(w)).where("r <> rank").count() == 0
+
+
+def test_entry_needs_no_session():
+    """Queries are told before a session is there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > len(e.oracle_sql()) > 200"], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
+
+
+def test_summary_trees(spark):
+    """Clusters by brute force, levels until nothing is made, and a passed summary."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(d, n, [float(x) for x in rng.normal(size=3)] if n % 6 else None) for d in range(5) for n in range(3 + 4 * d)]
+    got = {(r["doc_id"], r["n"]): r["cluster"] for r in extraction.clustered(spark.createDataFrame(data, "doc_id long, n long, v array<double>"), 0.5).collect()}
+    for d in range(5):
+        v, used = {n: np.array(x) if x else None for i, n, x in data if i == d}, {}
+        for i in sorted(v):
+            if i not in used:
+                used[i] = i
+                for j in sorted(v):
+                    if j > i and j not in used and v[i] is not None and v[j] is not None and v[i] @ v[j] / (np.linalg.norm(v[i]) * np.linalg.norm(v[j]) + 1e-8) > 0.5:
+                        used[j] = i
+        assert {n: got[d, n] for n in v} == (used if len(v) > 3 else dict.fromkeys(v, 0))
+    chunks = spark.createDataFrame([(1, n, t) for n, t in enumerate(["a a", "a a", "b b", "b b", "c c"])] + [(2, 0, "x")], "doc_id long, n long, text string")
+    tree = extraction.summary_tree(chunks, summarise=lambda t: F.array_join(t, "+")).orderBy("doc_id", "level", "n").collect()
+    assert [(r["doc_id"], r["level"], r["n"], r["n_children"], r["text"]) for r in tree] == [(1, 1, 0, 2, "a a+a a"), (1, 1, 2, 2, "b b+b b"), (1, 2, 0, 3, "a a+a a+b b+b b+c c")]
+
+
+def test_json_in_text(spark):
+    texts = ["[1, [2]]", "so: [1, [2] ] and [3]", "[1", "none", None, "x [oops] y"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r["x"] for r in d.select(extraction.first_json_list("t").alias("x")).collect()] == ["[1, [2]]", "[1, [2] ]", None, None, None, None]
+    d = spark.createDataFrame([("{bad} {\"a\": {\"b\": 1}} {}",), ("}",), (None,)], "t string").coalesce(1)
+    assert [r["x"] for r in d.select(extraction.first_json_object("t").alias("x")).collect()] == ['{"a": {"b": 1}}', None, None]
