@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import words
+from lorebase.operators.shared import written
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,7 +35,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     q = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     p = postings(docs, id_col, text_col)
     totals = docs.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size(words(F.coalesce(F.col(text_col), F.lit(""))))).alias("avgdl"))
-    hits = p.join(q.select("term").distinct(), "term")
+    hits = written(p.join(q.select("term").distinct(), "term"), "bm25-hits")  # read twice, and small beside the texts
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = hits.join(q.join(df, "term"), "term").crossJoin(F.broadcast(totals))
     idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
