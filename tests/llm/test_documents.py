@@ -259,7 +259,7 @@ def test_paragraphs(spark):
         data.append((i, "\n".join(out)))
     data += [(r["doc_id"], r["text"]) for r in docs(spark).collect()]
     d = spark.createDataFrame(data, "doc_id long, text string")
-    for crowd, radius, least in ((2, 12, 14), (24, 12, 14), (24, 5, 1), (24, None, 1)):
+    for crowd, radius, least in ((2, 10, 14), (24, 12, 14), (24, 5, 1), (24, None, 1)):
         got = paragraphs.dedup_paragraphs(d, bands=12, rows=2, radius=radius, least=least, crowd=crowd, tile=8).collect()
         assert len(got) == len(data)
         total, removed = _slow_removed(data, radius, least)
@@ -302,7 +302,7 @@ def test_paragraphs_recall_of_embedded_passages(spark):
         around = [rng.choice(" \n").join(word() for _ in range(rng.randint(1, 80))) for _ in range(2)]
         data.append((i, around[0] + rng.choice(" \n") + inside + " " + around[1]))
     got = {r["doc_id"]: r["n_removed"] for r in paragraphs.dedup_paragraphs(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert sum(got[i] > 0 for i in range(100, 300)) >= 0.9 * 200
+    assert sum(got[i] > 0 for i in range(100, 300)) >= 0.95 * 200
     assert not any(got[i] for i in range(300, 600))
 
 
