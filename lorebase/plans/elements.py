@@ -18,7 +18,7 @@ def _elements(spark, d):
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3).alias("page"), F.when(F.col("l_returnflag") == "A", "text").when(F.col("l_returnflag") == "R", "table").otherwise("image").alias("kind"),
         F.when(F.col("l_linestatus") == "F", "ocr").otherwise("native_text").alias("method"), F.when(q > 5, F.col("l_tax")).alias("confidence"), F.when(q < 48, q * 7).alias("left"), F.when(q < 48, F.col("l_extendedprice")).alias("top"),
-        (F.col("l_linenumber") * 100 + nth).alias("reading_order"), F.when(F.col("l_partkey") % 10 == 0, "  ").otherwise(F.concat(F.repeat(F.lit("x"), (F.col("l_partkey") % 40).cast("int")), F.col("l_partkey").cast("string"))).alias("content"),
+        (F.col("l_linenumber") * 100 + nth).cast("long").alias("reading_order"), F.when(F.col("l_partkey") % 10 == 0, "  ").otherwise(F.concat(F.repeat(F.lit("x"), (F.col("l_partkey") % 40).cast("int")), F.col("l_partkey").cast("string"))).alias("content"),
     )
 
 
