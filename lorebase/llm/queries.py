@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm import embedding_dedup, exact_dedup, mixing, paragraphs, pieces, sharding, simhash, substrings, toxicity, warc
+from lorebase.llm import ball_kmeans, chat_format, conversation_repair, embedding_dedup, exact_dedup, mixing, paragraphs, pieces, sharding, simhash, substrings, toxicity, turn_sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,20 @@ def op10_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat_format.laid_out(chat_format.control_case(_table(spark, sf_dir, "conversations")))
+    return chat_format.read_back(chat_format.format_records(records))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ball_kmeans.clusters(_table(spark, sf_dir, "embeddings"))
+    return out.drop("compared")
+
+
 SQL_OP6 = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
@@ -119,8 +133,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_packages": op8_warc_packages,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_simhash_popcount": op10_simhash_popcount,
+        "op11_chat_formatting": op11_chat_formatting,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_ball_kmeans": op13_ball_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_pareto_mixing": SQL_OP6, "op9_exact_dedup": SQL_OP9}
+    return {"op6_pareto_mixing": SQL_OP6, "op9_exact_dedup": SQL_OP9, "op11_chat_formatting": turn_sql.SQL_OP11, "op12_conversation_repair": turn_sql.SQL_OP12, "op13_ball_kmeans": turn_sql.SQL_OP13}
