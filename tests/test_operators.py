@@ -71,7 +71,8 @@ def test_entry_and_tests_survive_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'j3_bm25_topk' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    kept = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() != root]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(kept)}
     some = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-k", "a1_catalog or k1_document or rrf_shared"], cwd=tmp_path, env=env, timeout=300, capture_output=True, text=True)
     assert some.returncode == 0 and "3 passed" in some.stdout, some.stdout[-2000:]
 
