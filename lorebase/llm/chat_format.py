@@ -170,6 +170,11 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit(START), F.regexp_replace(escaped(role), "\n", BREAK), F.lit("\n"))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with the value made once however often ``f`` names it, in functions of elements too."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _skip(cut: Column, i: Column, bare: Callable[[Column], Column]) -> Column:
     """Code points between the end of turn i - 1's run under the mask and the text of turn i."""
     last = F.get(cut, i - 1)
@@ -185,33 +190,37 @@ def formatted(turns: Column, loss_role: str = "assistant") -> Column:
     loss covers the texts of ``loss_role``, as escaped, and no mark.  Null turns give nulls.
     """
     cut = F.transform(turns, lambda t: F.struct(_head(t["role"]).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == loss_role).alias("loss")))
-    text = F.array_join(F.transform(cut, lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
 
-    def run(t: Column, i: Column) -> Column:
-        take = F.when(t["loss"], F.length(t["body"])).otherwise(F.lit(0))
-        return F.struct(_skip(cut, i, lambda last: ~last["loss"]).cast("long").alias("skip"), take.cast("long").alias("take"))
+    def whole(c: Column) -> Column:
+        def run(t: Column, i: Column) -> Column:
+            take = F.when(t["loss"], F.length(t["body"])).otherwise(F.lit(0))
+            return F.struct(_skip(c, i, lambda last: ~last["loss"]).cast("long").alias("skip"), take.cast("long").alias("take"))
+
+        text = F.array_join(F.transform(c, lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
+        return F.struct(text.alias("text"), F.transform(c, run).alias("mask"))
 
-    return F.struct(text.alias("text"), F.transform(cut, run).alias("mask"))
+    return _let(cut, whole)
 
 
 def read_turns(text: Column, mask: Column) -> Column:
     """Array of (role, text, loss) read back from a formatted text and its mask; loss is a text's part under the mask, unescaped."""
-    parts = F.filter(F.split(text, r"<\|im_start\|>"), lambda p: p != "")
 
-    def turn(p: Column, i: Column) -> Column:
+    def turn(p: Column, m: Column) -> Column:
         role = F.substring_index(p, "\n", 1)
         body = F.substring(p, F.length(role) + 2, F.length(p) - F.length(role) - 1 - F.lit(len(END) + 1))
-        return F.struct(F.concat(F.lit(START), role, F.lit("\n")).alias("head"), role.alias("role"), body.alias("body"), F.get(mask, i)["skip"].alias("skip"), F.get(mask, i)["take"].alias("take"))
+        return F.struct(F.concat(F.lit(START), role, F.lit("\n")).alias("head"), role.alias("role"), body.alias("body"), m["skip"].alias("skip"), m["take"].alias("take"))
 
-    cut = F.transform(parts, turn)
+    def whole(c: Column) -> Column:
+        def masked(t: Column, i: Column) -> Column:
+            off = t["skip"].cast("int") - _skip(c, i, lambda last: last["take"] == 0)
+            loss = F.when(t["take"] > 0, F.substring(t["body"], off + 1, t["take"].cast("int"))).otherwise(F.lit(""))
+            role = F.regexp_replace(t["role"], r"<\|nl\|>", "\n")
+            return F.struct(unescaped(role).alias("role"), unescaped(t["body"]).alias("text"), unescaped(loss).alias("loss"))
 
-    def masked(t: Column, i: Column) -> Column:
-        off = t["skip"].cast("int") - _skip(cut, i, lambda last: last["take"] == 0)
-        loss = F.when(t["take"] > 0, F.substring(t["body"], off + 1, t["take"].cast("int"))).otherwise(F.lit(""))
-        role = F.regexp_replace(t["role"], r"<\|nl\|>", "\n")
-        return F.struct(unescaped(role).alias("role"), unescaped(t["body"]).alias("text"), unescaped(loss).alias("loss"))
+        return F.transform(c, masked)
 
-    return F.transform(cut, masked)
+    parts = F.filter(F.split(text, r"<\|im_start\|>"), lambda p: p != "")
+    return _let(F.zip_with(parts, mask, turn), whole)
 
 
 def format_records(records: DataFrame, record_col: str = "record", loss_role: str = "assistant", layouts: tuple[Layout, ...] = LAYOUTS, ignored: tuple[str, ...] = ()) -> DataFrame:
