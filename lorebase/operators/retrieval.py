@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +17,38 @@ from lorebase.functions.text import words
 from lorebase.operators.shared import written
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, dl, term, tf) of batches of (id, words); terms are counted as numbers, a batch at a time."""
+    for b in batches:
+        ids, listed = b.columns
+        sizes = pc.fill_null(pc.list_value_length(listed), 0)
+        named = listed.flatten().dictionary_encode()
+        at = np.repeat(np.arange(len(ids)), sizes.to_numpy(zero_copy_only=False)) * max(1, len(named.dictionary)) + named.indices.to_numpy(zero_copy_only=False)
+        at, tf = np.unique(at, return_counts=True)
+        row, term = np.divmod(at, max(1, len(named.dictionary)))
+        for lo in range(0, len(at), 50_000):
+            some = slice(lo, lo + 50_000)
+            r = pa.array(row[some])
+            yield pa.RecordBatch.from_arrays([ids.take(r), sizes.take(r).cast(pa.int32()), named.dictionary.take(pa.array(term[some])), pa.array(tf[some], pa.int64())], ["id", "dl", "term", "tf"])
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, dl, term, tf) of every row: terms are sorted and counted inside it, so nothing is shuffled.
+    """(id, dl, term, tf) of every row: terms are counted inside it, so nothing is shuffled.
 
     Rows of a repeated id are documents of their own; null texts have no terms.
     """
-    w = docs.select(F.col(id_col), F.array_sort(words(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    size = F.size("w")
-    at = F.when(size > 0, F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1))))))
-    w = w.withColumn("at", at)
-    count = lambda i, k: F.struct(F.element_at("w", i).alias("term"), (F.coalesce(F.get("at", k + 1), size + 1) - i).cast("long").alias("tf"))
-    return w.select(id_col, size.alias("dl"), F.explode(F.transform("at", count)).alias("x")).select(id_col, "dl", "x.term", "x.tf")
+    w = docs.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    kind = dict(w.dtypes)["id"]
+    return w.mapInArrow(_term_counts, f"id {kind}, dl int, term string, tf long").withColumnRenamed("id", id_col)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank): the best ``k`` documents with a positive score.
+    """(query_id, id, score, rank): the best ``k`` of :func:`bm25_scores`."""
+    return top_k(bm25_scores(docs, queries, id_col, text_col, k1, b), ["query_id"], [F.round("score", 6).desc(), F.col(id_col)], k)
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) of every document with a positive score.
 
     ``queries`` has query_id and text.  Document frequencies and lengths cover all of
     ``docs``.  Postings are counted inside each row and meet the query terms first, by a
@@ -40,40 +63,90 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     scored = hits.join(q.join(df, "term"), "term").crossJoin(F.broadcast(totals))
     idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("query_id", id_col).agg(F.sum(idf * part).alias("score"))
-    return top_k(total.where("score > 0"), ["query_id"], [F.round("score", 6).desc(), F.col(id_col)], k)
+    return scored.groupBy("query_id", id_col).agg(F.sum(idf * part).alias("score")).where("score > 0")
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def keyword_matches(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", block: int = 1000) -> DataFrame:
-    """(query_id, id, score, rank): share of a query's terms that occur anywhere in the text.
+def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their exact place in their group, in which no task holds a whole group.
+
+    Rows are dealt by ranges of (group, order) and written; the rows of a group in each range are counted,
+    what the ranges before it hold is added up, and rows are numbered inside a range.
+    """
+    dealt = written(rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    keys = ["__range", *by]
+    counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.withColumn("__in", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    held = counts.select(*[F.col(c).alias("__k" + c) for c in keys], ahead.alias("__ahead"))
+    same = reduce(lambda a, b: a & b, [numbered[c].eqNullSafe(held["__k" + c]) for c in keys])
+    return numbered.join(held, same).select(*rows.columns, (F.col("__in") + F.col("__ahead")).cast("long").alias(name))
+
+
+def term_hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(row, id, term): which of ``terms`` occur anywhere in a text, in lower case; each text is scanned once for all of them.
 
-    A term may lie inside a word, so every query is held against every text: queries are
-    counted and broadcast in blocks of about ``block``.
+    ``row`` tells rows of one id apart.  The terms are sent to every executor, so their number has to be bounded.
     """
-    terms = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
-    low = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    found = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    n, hits = -(-queries.count() // block) or 1, None
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low")).where("low IS NOT NULL")
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = ahocorasick.Automaton()
+        for n, term in enumerate(sent.value):
+            trie.add_word(term, n)
+        trie.make_automaton()
+        for b in batches:
+            at, term = [], []
+            for n, low in enumerate(b.column("low").to_pylist()):
+                there = {t for _, t in trie.iter(low)}
+                at += [n] * len(there)
+                term += [sent.value[t] for t in there]
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("id").take(at), pa.array(term, pa.string())], ["row", "id", "term"])
+
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(scan, f"row long, id {kind}, term string")
+
+
+def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 200_000) -> DataFrame:
+    """(query_id, id, score) of every text that holds a query's term: share of the terms that occur anywhere in it.
+
+    A term may lie inside a word.  Distinct terms of all queries are looked for in one scan
+    of the texts, or in one for each ``block`` terms; hits are then joined to the queries.
+    """
+    q = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    q = q.select("query_id", F.size("terms").alias("__n"), F.explode("terms").alias("term"))
+    distinct = q.select("term").distinct()
+    n = -(-distinct.count() // block) or 1
+    hits = []
     for at in range(n):
-        q = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == at)
-        h = low.crossJoin(F.broadcast(q)).select("query_id", id_col, (found / F.size("terms")).alias("score")).where("score > 0")
-        hits = h if hits is None else hits.unionByName(h)
-    return top_k(hits, ["query_id"], [F.round("score", 6).desc(), F.col(id_col)], k)
+        some = [r.term for r in distinct.where(F.pmod(F.xxhash64("term"), F.lit(n)) == at).collect()]
+        if some:
+            hits.append(term_hits(docs, some, id_col, text_col))
+    if not hits:
+        return docs.select(F.lit(None).cast(dict(queries.dtypes)["query_id"]).alias("query_id"), id_col, F.lit(0.0).alias("score")).where("false")
+    found = reduce(DataFrame.unionByName, hits).join(q, "term").groupBy("query_id", "row", "id", "__n").agg(F.count(F.lit(1)).alias("__m"))
+    return found.select("query_id", F.col("id").alias(id_col), (F.col("__m") / F.col("__n")).alias("score"))
+
+
+def keyword_matches(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank): the best ``k`` of :func:`keyword_scores`."""
+    return top_k(keyword_scores(docs, queries, id_col, text_col), ["query_id"], [F.round("score", 6).desc(), F.col(id_col)], k)
 
 
 def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, id, score, rank) by cosine; a query never finds itself.
 
-    Vectors that are null, empty or hold a null or NaN are left out, and only vectors of one
+    Vectors that are null, empty or hold a null or a value that isn't finite are left out, and only vectors of one
     length meet.  Points and queries are dealt to blocks by hash.  Each pair of blocks is
     one matrix product whose ``k`` best a query go on, so what is shuffled after it is
     bounded by queries times blocks times ``k``.
     """
-    sound = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    sound = lambda c: F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     n_p = -(-points.count() // block) or 1
     n_q = -(-queries.count() // block) or 1
     p = points.where(sound(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("width"), F.pmod(F.xxhash64(id_col), F.lit(n_p)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
@@ -106,11 +179,12 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
 def rrf(rankings: DataFrame, weights: dict[str, float], k: int, base: int = 60) -> DataFrame:
     """(query_id, id, score, best_source, rank) of (query_id, ranking, rank, id).
 
-    An id counts once for each ranking, at its best rank; rankings without a weight weigh 1;
-    scores are divided by the query's largest.
+    An id counts once for each ranking, at its best rank; rankings without a weight weigh 1,
+    and with a column ``weight`` each row brings its own; scores are divided by the query's largest.
     """
-    once = rankings.groupBy("query_id", "ranking", "id").agg(F.min("rank").alias("rank"))
-    weight = F.coalesce(F.element_at(F.create_map(*[x for r, w in weights.items() for x in (F.lit(r), F.lit(float(w)))]), F.col("ranking")), F.lit(1.0))
+    own = [F.first("weight").alias("weight")] if "weight" in rankings.columns else []
+    once = rankings.groupBy("query_id", "ranking", "id").agg(F.min("rank").alias("rank"), *own)
+    weight = F.col("weight") if own else F.lit(1.0) if not weights else F.coalesce(F.element_at(F.create_map(*[x for r, w in weights.items() for x in (F.lit(r), F.lit(float(w)))]), F.col("ranking")), F.lit(1.0))
     fused = once.groupBy("query_id", "id").agg(F.sum(weight / (base + F.col("rank"))).alias("raw"), F.min("ranking").alias("best_source"))
     top = F.max("raw").over(Window.partitionBy("query_id"))
     scored = fused.withColumn("score", F.when(top > 0, F.col("raw") / top).otherwise(0.0))

@@ -149,10 +149,10 @@ def bm25_without_disabled(spark, d):
 k AS (SELECT 20 + count(DISTINCT doc_id) AS k FROM labels WHERE toxic = 1)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM r, k WHERE r <= k AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) WHERE rank <= 20""")
 def filtered_topk(spark, d):
-    """The k best with k enlarged by the number of excluded documents, then without these."""
+    """The k best without excluded documents: the same rows as k enlarged by their number and filtered after, but k doesn't grow with them."""
     off = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
-    more = retrieval.bm25(table(spark, d, "documents"), _queries(spark, d), 20 + off.count()).withColumnRenamed("rank", "r")
-    out = retrieval.top_k(more.join(off, "doc_id", "left_anti"), ["query_id"], [F.col("r")], 20)
+    left = retrieval.bm25_scores(table(spark, d, "documents"), _queries(spark, d)).join(off, "doc_id", "left_anti")
+    out = retrieval.top_k(left, ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], 20)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -181,22 +181,33 @@ RANKINGS = f"""{BM25}, {KEYWORDS}, rankings AS (
   UNION ALL SELECT query_id, 'keyword', rank + 1, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ks) WHERE doc_id % 10 = 0)"""
 
 
-def _rankings(spark, d):
-    """All ranks of BM25 and of keyword search; every tenth document comes up twice in the latter."""
-    docs, q, every = table(spark, d, "documents"), _queries(spark, d), 2**31 - 2
-    name = lambda r, n: r.select("query_id", F.lit(n).alias("ranking"), "rank", F.col("doc_id").alias("id"))
-    words = name(retrieval.keyword_matches(docs, q, every), "keyword")
-    again = words.where("id % 10 = 0").withColumn("rank", F.col("rank") + 1)
-    return name(retrieval.bm25(docs, q, every), "bm25").unionByName(words).unionByName(again)
+def _scores(spark, d):
+    docs, q = table(spark, d, "documents"), _queries(spark, d)
+    return {"bm25": retrieval.bm25_scores(docs, q), "keyword": retrieval.keyword_scores(docs, q)}
+
+
+def _rankings(spark, d, k=None):
+    """Ranks of BM25 and of keyword search, all or the first k; every tenth document comes up twice in the latter."""
+    order = lambda: [F.round("score", 6).desc(), F.col("doc_id")]
+    out = None
+    for name, scores in _scores(spark, d).items():
+        rows = retrieval.ranked(scores, ["query_id"], order()) if k is None else retrieval.top_k(scores, ["query_id"], order(), k)
+        again = F.array(F.lit(0), F.lit(1)) if name == "keyword" else F.array(F.lit(0))
+        twice = F.when(F.col("doc_id") % 10 == 0, again).otherwise(F.array(F.lit(0)))
+        rows = rows.select("query_id", F.lit(name).alias("ranking"), "rank", F.col("doc_id").alias("id"), F.explode(twice).alias("more"))
+        rows = rows.select("query_id", "ranking", (F.col("rank") + F.col("more")).cast("long").alias("rank"), "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("j1_rrf_fuse", f"""WITH {RANKINGS},
-o AS (SELECT query_id, ranking, id, min(rank) AS rank FROM rankings GROUP BY ALL),
+o AS (SELECT query_id, ranking, id, min(rank) AS rank FROM rankings WHERE rank <= 20 GROUP BY ALL),
 f AS (SELECT query_id, id, sum(CASE ranking WHEN 'keyword' THEN 0.7::DOUBLE WHEN 'bm25' THEN 0.3::DOUBLE END / (60 + rank)) AS raw, min(ranking) AS best_source FROM o GROUP BY ALL),
 n AS (SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS score FROM f)
 SELECT query_id, id, round(score, 6) AS score, best_source, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM n) WHERE rank <= 20""")
 def rrf_fuse(spark, d):
-    out = retrieval.rrf(_rankings(spark, d), {"keyword": 0.7, "bm25": 0.3}, 20)
+    """The first 20 of each ranking are fused, as many as a search takes for candidates."""
+    out = retrieval.rrf(_rankings(spark, d, 20).where("rank <= 20"), {"keyword": 0.7, "bm25": 0.3}, 20)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), "best_source", F.col("rank").cast("long").alias("rank"))
 
 
@@ -209,8 +220,8 @@ def rank_positions(spark, d):
 @query("u2_ranking_union", f"WITH {RANKINGS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY ranking, rank, id) AS position, ranking, id FROM rankings")
 def ranking_union(spark, d):
     """All rankings of a query under each other, in their order."""
-    w = Window.partitionBy("query_id").orderBy("ranking", "rank", "id")
-    return _rankings(spark, d).select("query_id", F.row_number().over(w).cast("long").alias("position"), "ranking", "id")
+    order = [F.col("ranking"), F.col("rank"), F.col("id")]
+    return retrieval.ranked(_rankings(spark, d), ["query_id"], order, "position").select("query_id", "position", "ranking", "id")
 
 
 @query("j23_document_chunks", f"WITH {CHUNKS} SELECT doc_id, count(*) AS n_chunks, min(chunk_id) AS first_id FROM chunks WHERE doc_id % 50 = 0 GROUP BY doc_id")

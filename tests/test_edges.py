@@ -81,7 +81,7 @@ def test_postings_count_inside_rows(spark):
 def test_keyword_blocks_agree(spark):
     d = spark.createDataFrame([(i, f"word{i} common") for i in range(9)], "doc_id int, text string")
     q = spark.createDataFrame([(i, f"ord{i} common") for i in range(9)], "query_id int, text string")
-    key = lambda b: sorted(tuple(r) for r in retrieval.keyword_matches(d, q, 20, block=b).collect())
+    key = lambda b: sorted(tuple(r) for r in retrieval.keyword_scores(d, q, block=b).collect())
     assert key(2) == key(1000) and len(key(2)) == 81
 
 
