@@ -49,7 +49,7 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     and the cosine of their vectors, in double precision, is at least ``threshold``.
     Vectors that are null, empty, zero, or hold a null or a value that is not finite link
     with nothing, as do rows with a null id, whose component is null; vectors of different
-    lengths never link.  n_links counts the other rows linked directly, equal vectors
+    lengths never link.  Rows of one id with different vectors are vectors of their own, each with its own links.  n_links counts the other rows linked directly, equal vectors
     included, so repeated rows count each other.  component_id is the smallest id that links
     reach; kept tells whether that is the row's own.  An empty table gives an empty result;
     other columns are not read.
@@ -66,25 +66,24 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = vectors.select(F.col(id_col).alias("__id"), label.alias("__label"), v.alias(vector_col))
     rows = rows.withColumn("__good", F.coalesce(good & fine, F.lit(False)))
     classes = rows.where("__good").groupBy("__label", F.col(vector_col).cast("array<double>").alias("__v")).agg(F.min("__id").alias("__rep"), F.count(F.lit(1)).alias("__n"))
-    classes = written(classes, "embedding-classes")
+    classes = written(classes.withColumn("__cid", F.monotonically_increasing_id()), "embedding-classes")
     sizes = classes.groupBy("__label", F.size("__v").alias("__dim")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("__tiles"))
     dealt = classes.withColumn("__dim", F.size("__v")).join(sizes, ["__label", "__dim"])
-    own = F.pmod(F.xxhash64("__rep"), F.col("__tiles")).cast("int")
+    own = F.pmod(F.xxhash64("__cid"), F.col("__tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("__tiles") - 1), lambda t: F.struct(F.least(t, own).alias("i"), F.greatest(t, own).alias("j")))
-    dealt = dealt.select("__label", "__dim", "__rep", "__n", "__v", own.alias("__own"), F.explode(pairs).alias("t"))
-    dealt = dealt.select("__label", "__dim", F.col("t.i").alias("__i"), F.col("t.j").alias("__j"), "__own", "__rep", "__n", F.col("__v").cast("array<float>").alias("__v") if dict(vectors.dtypes)[vector_col] == "array<float>" else "__v")
-    kind = dict(vectors.select(F.col(id_col).alias("i")).dtypes)["i"]
+    dealt = dealt.select("__label", "__dim", "__cid", "__n", "__v", own.alias("__own"), F.explode(pairs).alias("t"))
+    dealt = dealt.select("__label", "__dim", F.col("t.i").alias("__i"), F.col("t.j").alias("__j"), "__own", "__cid", "__n", F.col("__v").cast("array<float>").alias("__v") if dict(vectors.dtypes)[vector_col] == "array<float>" else "__v")
 
     def linked(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__rep", kind="stable")
+        group = group.sort_values("__cid", kind="stable")
         x = np.stack(group["__v"].to_numpy()).astype(np.float64)
         x /= np.abs(x).max(axis=1)[:, None]  # no overflow or underflow in the norm
         x /= np.linalg.norm(x, axis=1)[:, None]
-        rep, n, tile_of = group["__rep"].to_numpy(), group["__n"].to_numpy(), group["__own"].to_numpy()
+        cid, n, tile_of = group["__cid"].to_numpy(), group["__n"].to_numpy(), group["__own"].to_numpy()
         i, j = int(group["__i"].iloc[0]), int(group["__j"].iloc[0])
         mine = np.flatnonzero(tile_of == i)
         others = mine if i == j else np.flatnonzero(tile_of == j)
-        count, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        count, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
         if len(mine) and len(others):
             for p, r in tile_links(x[mine], x[others], threshold):
                 p, r = mine[p], others[r]
@@ -93,14 +92,15 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                 np.add.at(count, p, n[r])
                 np.add.at(count, r, n[p])
                 label = merged(label, p, r)
-        far, some = np.flatnonzero(label != np.arange(len(rep))), np.flatnonzero(count)
-        stars = pd.DataFrame({"a": rep[far], "b": rep[label[far]], "n": 0})
-        return pd.concat([stars, pd.DataFrame({"a": rep[some], "b": rep[some], "n": count[some]})])
+        far, some = np.flatnonzero(label != np.arange(len(cid))), np.flatnonzero(count)
+        stars = pd.DataFrame({"a": cid[far], "b": cid[label[far]], "n": 0})
+        return pd.concat([stars, pd.DataFrame({"a": cid[some], "b": cid[some], "n": count[some]})])
 
-    found = written(dealt.groupBy("__label", "__dim", "__i", "__j").applyInPandas(linked, f"a {kind}, b {kind}, n long"), "embedding-links")
-    counts = found.where("a = b").groupBy(F.col("a").alias("__rep")).agg(F.sum("n").alias("__links"))
-    roots = connected_components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("__rep"), "root")
-    told = classes.join(counts, "__rep", "left").join(roots, "__rep", "left").select("__label", F.col("__v"), (F.col("__n") - 1 + F.coalesce("__links", F.lit(0))).alias("n_links"), F.coalesce("root", "__rep").alias("component_id"))
+    found = written(dealt.groupBy("__label", "__dim", "__i", "__j").applyInPandas(linked, "a long, b long, n long"), "embedding-links")
+    counts = found.where("a = b").groupBy(F.col("a").alias("__cid")).agg(F.sum("n").alias("__links"))
+    roots = written(connected_components(found.where("a <> b").select("a", "b")).select(F.col("node").alias("__cid"), "root"), "embedding-roots")
+    least = classes.join(roots, "__cid").groupBy("root").agg(F.min("__rep").alias("__least"))  # one id may have several classes
+    told = classes.join(counts, "__cid", "left").join(roots, "__cid", "left").join(least, "root", "left").select("__label", F.col("__v"), (F.col("__n") - 1 + F.coalesce("__links", F.lit(0))).alias("n_links"), F.coalesce("__least", "__rep").alias("component_id"))
     told = told.withColumnRenamed("__label", "__l")
     keyed = rows.withColumn("__key", F.when(F.col("__good"), F.col(vector_col).cast("array<double>")))
     out = keyed.join(told, (keyed["__key"] == told["__v"]) & (keyed["__label"] == told["__l"]), "left")

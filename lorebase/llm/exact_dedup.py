@@ -9,7 +9,9 @@ watermark is set, so no key ever expires.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def stream_state(spark: SparkSession, log: str, schema, checkpoint: str, max_fil
         reader = spark.readStream.schema(schema)
         if max_files:
             reader = reader.option("maxFilesPerTrigger", max_files)
-        state = reader.parquet(log).groupBy("__digest").agg(F.min(_rank("__id", "__at")).alias("__first"), F.count(F.lit(1)).alias("__n"))
+        state = reader.option("recursiveFileLookup", "true").parquet(log).groupBy("__digest").agg(F.min(_rank("__id", "__at")).alias("__first"), F.count(F.lit(1)).alias("__n"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     kept = spark.read.format("statestore").load(checkpoint)
@@ -85,6 +87,16 @@ def stream_state(spark: SparkSession, log: str, schema, checkpoint: str, max_fil
     return kept.select(F.col("key").getField("__digest").alias("__digest"), F.col("value").getField(value[0]).alias("__first"), F.col("value").getField(value[1]).alias("__n"))
 
 
+def _is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write of ``path`` has ended: its files come in place at the end."""
+    try:
+        return bool(spark.read.parquet(path).inputFiles())
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
 def _rank(id_col: str, at: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(at).alias("at"))
 
@@ -100,7 +112,8 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, checkpoint: str | Non
 
     Texts are read twice: once for their digests, once if their digest is a group's.
     ``checkpoint`` names the folder of the stream and of the log it reads; with the same
-    one, keys of earlier tables count.  ``earlier`` is a scan of these tables' files, in which first texts are looked up.
+    one, keys of earlier tables count.  A table's log is named by the table's files, so a run that
+    is repeated after a crash, or by mistake, counts its rows once.  ``earlier`` is a scan of these tables' files, in which first texts are looked up.
     """
     if checkpoint and earlier is None:
         raise ValueError("full bytes of earlier rows cannot be checked without their table")
@@ -109,7 +122,9 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, checkpoint: str | Non
     home = checkpoint or scratch_path(spark, "dedup-state")
     if checkpoint:  # the stream goes on where it read before
         path = f"{home}/log"
-        log.write.mode("append").parquet(path)
+        own = f"{path}/{hashlib.sha256(chr(10).join(sorted(docs.inputFiles())).encode()).hexdigest()}"
+        if not _is_written(spark, own):
+            log.write.mode("overwrite").parquet(own)
     else:
         path = log.inputFiles()[0].rsplit("/", 1)[0]
     state = written(stream_state(spark, path, log.schema, f"{home}/stream"), "dedup-groups")

@@ -20,11 +20,16 @@ class Tree:
     regions: tuple[tuple[tuple[tuple[int, float], ...], ...], ...]
 
     @staticmethod
-    def of(n_shards: int, racks: int = 2, per_rack: int = 5) -> Tree:
-        """``n_shards`` shards of weight 1 in regions of ``racks`` racks of ``per_rack`` shards."""
+    def of(n_shards: int, racks: int = 2, per_rack: int = 5, base: int = 40) -> Tree:
+        """``n_shards`` shards of weight 1: the first ``base`` in regions of ``racks`` racks of ``per_rack``, the others grown one by one.
+
+        With the same base, the tree of n + 1 shards is that of n shards grown, for every n
+        from the base on, so one more shard only takes rows into itself.  A smaller table
+        begins with fewer shards: keep their number as its base from then on.
+        """
         ids = iter(range(n_shards))
         regions = []
-        left = n_shards
+        left = min(n_shards, base)
         while left:
             region = []
             for _ in range(racks):
@@ -33,7 +38,10 @@ class Tree:
                     region.append(tuple((next(ids), 1.0) for _ in range(take)))
                     left -= take
             regions.append(tuple(region))
-        return Tree(tuple(regions))
+        tree = Tree(tuple(regions))
+        for _ in range(n_shards - base):
+            tree = tree.grown()
+        return tree
 
     def grown(self, weight: float = 1.0) -> Tree:
         """One more shard, as the only leaf of a new region.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -24,8 +26,14 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
 
+#: Scripts that are written without spaces: each letter is a word here.
+UNSPACED = (("\u0e00", "\u0eff"), ("\u1000", "\u109f"), ("\u1780", "\u17ff"), ("\u3040", "\u30ff"), ("\u3400", "\u4dbf"), ("\u4e00", "\u9fff"), ("\uf900", "\ufaff"), ("\U00020000", "\U0003ffff"))
+#: Words of an entry at most in such scripts.
+RUN = 4
+
+
 class _Fold(dict):
-    """A translation table: letters fold to lower case, what is no letter becomes a space."""
+    """A translation table: letters fold to lower case, marks on them stay, what is neither becomes a space."""
 
     def __missing__(self, c: int):
         ch = chr(c)
@@ -38,28 +46,38 @@ class _Fold(dict):
             out = SUBSTITUTES[low]
         elif c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF):
             out = ""
+        elif 0x300 <= c < 0x370:  # accents that no letter takes up
+            out = ""
+        elif any(a <= ch <= b for a, b in UNSPACED):
+            out = low if unicodedata.category(ch)[0] == "M" else f" {low} " if ch.isalpha() else " "
         else:
-            out = low if low.isalpha() else " "
+            out = low if low.isalpha() or unicodedata.category(ch)[0] == "M" else " "
         self[c] = out
         return out
 
 
 _FOLD = _Fold()
+#: A space before a mark, as NFKC makes of a mark that stands alone.
+_DOTS = re.compile(" (?=[\u0300-\u036f])")
 
 
 def folded(text: str | None) -> str:
     """Words of letters between single spaces, with one at each end; "  " at least.
 
+    Texts are composed first (NFKC), so an accent is part of its letter however it is written.
     Look-alike letters, digits and signs that stand for letters, full-width forms and
-    invisible characters are folded.  A word of digits alone folds to letters too, which
+    invisible characters are folded.  A letter of a script without spaces is a word.  A word of digits alone folds to letters too, which
     no entry of the lexicon equals unless it was learned as such.
     """
-    return " " + " ".join((text or "").translate(_FOLD).split()) + " "
+    text = text or ""
+    if not text.isascii():
+        text = _DOTS.sub("", unicodedata.normalize("NFKC", text))
+    return " " + " ".join(text.translate(_FOLD).split()) + " "
 
 
 @dataclass
 class Lexicon:
-    """Weights of entries (" word " or " prefix"), phrases that excuse a hit, and the scale.
+    """Weights of entries (" word ", " few words " or " prefix"), phrases that excuse a hit, and the scale.
 
     score = 1 / (1 + exp(-(bias + slope * x))), x = sum of weights of hits, three at most of
     one entry, over 1 + log2(1 + words / 256).
@@ -89,11 +107,13 @@ def evidence(text: str | None, automaton) -> float:
     hits = [(end - n + 1, end, k, w) for end, (k, w, n) in automaton.iter(words)]
     if not hits:
         return 0.0
-    excused = [(a, b) for a, b, _, w in hits if w is None]
     seen: dict[str, int] = {}
     best: dict[int, tuple[float, str]] = {}
-    for a, b, k, w in hits:
-        if w is not None and not any(x <= a and b <= y for x, y in excused) and (a not in best or w > best[a][0]):
+    reach = -1  # how far the phrases that began so far excuse hits
+    for a, b, k, w in sorted(hits, key=lambda h: (h[0], h[3] is not None)):
+        if w is None:
+            reach = max(reach, b)
+        elif b > reach and (a not in best or w > best[a][0]):
             best[a] = (w, k)  # one hit a word: the entry of most weight
     total = 0.0
     for w, k in best.values():
@@ -108,14 +128,17 @@ def held_out(id_col: str) -> Column:
 
 
 def _entries(text: str | None) -> set[tuple[str, int]]:
-    """Words and word beginnings of a text, each with a 16-bit hash of the word before."""
-    found, before = set(), ""
+    """Words, word beginnings and runs of letters without spaces, each with a 16-bit hash of the word before."""
+    found, before, run = set(), [""], []
     for w in folded(text).split():
-        if len(w) >= 4:
-            at = zlib.crc32(before.encode()) & 0xFFFF
-            found.add((f" {w} ", at))
-            found.update((f" {w[:k]}", at) for k in range(4, min(9, len(w)) + 1))
-        before = w
+        at = zlib.crc32(before[-1].encode()) & 0xFFFF
+        found.add((f" {w} ", at))
+        found.update((f" {w[:k]}", at) for k in range(4, min(9, len(w)) + 1))
+        run = [*run[1 - RUN :], w] if any(a <= w[0] <= b for a, b in UNSPACED) else []
+        for k in range(2, len(run) + 1):
+            first = before[-k] if k <= len(before) else ""
+            found.add((f" {' '.join(run[-k:])} ", zlib.crc32(first.encode()) & 0xFFFF))
+        before = [*before[-RUN:], w]
     return found
 
 
@@ -125,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The rows of the sample are those whose id has the smallest hash, so it doesn't depend
     on the order of files; labels other than 0 and 1 and rows without one are left out.
     Of the entries of toxic rows, the ``candidates`` most frequent are counted in clean rows.
-    Entries are whole words and word beginnings of 4 to 9 letters.  One is taken if it is
+    Entries are whole words, word beginnings of 4 to 9 letters, and 2 to 4 letters on end in scripts without spaces.  One is taken if it is
     more frequent among toxic rows by ``least_odds`` (log odds) and by a likelihood ratio of
     ``least_g2``, where toxic rows count once for each word before the entry, so that near
     copies of one toxic text don't make all of its words toxic; and dropped if a shorter beginning does as well; ``entries`` at most stay.
@@ -188,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 words, mine = folded(t), set()
                 for end, (k, _, n) in automaton.iter(words):
                     begin = end - n + 1
-                    stop = words.index(" ", begin + 1)
+                    stop = end if k.endswith(" ") else words.index(" ", end)
                     before, after = words.rfind(" ", 0, begin), words.find(" ", stop + 1)
                     if before >= 0:
                         mine.add((words[before : stop + 1], k))
@@ -260,7 +283,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **how) -> DataFrame:
-    """The rows of ``docs`` whose text scores under ``threshold``, all columns kept."""
+    """The rows of ``docs`` whose text scores under ``threshold``, all columns kept.
+
+    Null and empty texts have no hit and stay, null ids are never learned from, repeated rows
+    and equal texts go or stay together, a score at the threshold goes, and an empty table stays empty.
+    """
     lexicon = learn(docs, labels, id_col, text_col, **how)
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.bias, lexicon.slope))

@@ -34,19 +34,20 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<{_ID}{'' if page_id is None else page_id}>"
+def _name(page_id: int | None, row: str | None = None) -> str:
+    """A record's identifier: the page's id, and what tells the rows of one id apart."""
+    return f"<{_ID}{'' if page_id is None else page_id}{'' if row is None else '#' + row}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, revisits: bool, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, revisits: bool, refers_to: int | None, date: str = "2024-01-01T00:00:00Z", row: str | None = None, refers_to_row: str | None = None) -> bytes:
     """One WARC/1.1 record; a revisit holds the HTTP header only, with the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisits else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisits else 'response'}", f"WARC-Record-ID: {_name(page_id, row)}", f"WARC-Date: {date}"]
     if url:
         head.append("WARC-Target-URI: " + urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]"))
     if revisits:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_name(refers_to, refers_to_row)}"]
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest32(payload)}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -72,9 +73,9 @@ class PackageWriter:
         self._member, self._n, self._lines = io.BytesIO(), 0, []
         self.size = 0
 
-    def add(self, page_id, url, payload: bytes, revisits: bool, refers_to) -> None:
+    def add(self, page_id, url, payload: bytes, revisits: bool, refers_to, row=None, refers_to_row=None) -> None:
         gz = zlib.compressobj(4, zlib.DEFLATED, 31)
-        raw = gz.compress(record(page_id, url, payload, revisits, refers_to)) + gz.flush()
+        raw = gz.compress(record(page_id, url, payload, revisits, refers_to, row=row, refers_to_row=refers_to_row)) + gz.flush()
         place = {"url": url, "page": page_id, "type": "revisit" if revisits else "response", "offset": self._member.tell(), "length": len(raw), "filename": f"data-{self._n:05d}.warc.gz"}
         self._lines.append(f"{url or '-'} 20240101000000 {json.dumps(place)}".replace("\n", " "))
         self._member.write(raw)
@@ -102,6 +103,8 @@ def read_directory(f, size: int) -> list[dict]:
     f.seek(tail_at)
     tail = f.read(size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)  # bytes of a comment: the record's own comment ends the file
     if end < 0:
         raise ValueError("no end of central directory")
     n, length, offset = struct.unpack_from("<HII", tail, end + 10)
@@ -138,8 +141,32 @@ def read_directory(f, size: int) -> list[dict]:
     return members
 
 
+def _walk_plain(f, begin: int, end: int):
+    """(offset, length) of each record that isn't compressed, by the lengths that their headers tell."""
+    while begin < end:
+        f.seek(begin)
+        head = b""
+        while b"\r\n\r\n" not in head:
+            block = f.read(min(4096, end - begin - len(head)))
+            if not block:
+                raise ValueError("a record ends in its header")
+            head += block
+        at = head.index(b"\r\n\r\n") + 4
+        told = [line.partition(b":")[2] for line in head[:at].split(b"\r\n") if line.lower().startswith(b"content-length:")]
+        if not head.startswith(b"WARC/") or not told:
+            raise ValueError("not a WARC record")
+        length = at + int(told[0]) + 4
+        yield begin, min(length, end - begin)
+        begin += length
+
+
 def _walk(f, begin: int, end: int):
-    """(offset, length) of each gzip member from begin to end of the file."""
+    """(offset, length) of each gzip member, or plain record, from begin to end of the file."""
+    if begin < end:
+        f.seek(begin)
+        if f.read(2) != b"\x1f\x8b":
+            yield from _walk_plain(f, begin, end)
+            return
     while begin < end:
         gz, used = zlib.decompressobj(31), 0
         while not gz.eof and begin + used < end:
@@ -151,22 +178,39 @@ def _walk(f, begin: int, end: int):
         begin += used
 
 
+def _lines(f, begin: int, end: int, block: int = 1 << 20):
+    """Lines of a part of a file, read a block at a time."""
+    left = b""
+    while begin < end:
+        f.seek(begin)
+        got = f.read(min(block, end - begin))
+        begin += len(got)
+        *whole, left = (left + got).split(b"\n")
+        yield from (x.decode() for x in whole)
+    yield left.decode()
+
+
 def places(f, size: int):
     """Yield (offset, length) in the file of every record of a package, once each.
 
     Places are taken from the index.  What no index line covers of a stored archive member,
     all of it at times, is walked through record by record.  Lines that name a member the
-    package doesn't hold are passed over.
+    package doesn't hold, or no place in it, are passed over.  An archive or index member
+    that the package compresses can't be read by range, so it is an error.
     """
-    members = {m["name"]: m for m in read_directory(f, size) if m["method"] == 0}
-    named: dict[str, set[tuple[int, int]]] = {name: set() for name in members if name.startswith("archive/") and name.endswith(".warc.gz")}
+    archives, indexes = lambda n: n.startswith("archive/") and n.endswith((".warc.gz", ".warc")), lambda n: n.startswith("indexes/") and n.endswith((".cdxj", ".cdx"))
+    members = {m["name"]: m for m in read_directory(f, size) if archives(m["name"]) or indexes(m["name"])}
+    packed = sorted(n for n, m in members.items() if m["method"])
+    if packed:
+        raise ValueError(f"compressed members: {', '.join(packed)}")
+    named: dict[str, set[tuple[int, int]]] = {name: set() for name in members if archives(name)}
     for name, m in members.items():
-        if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx")):
-            f.seek(m["begin"])
-            for line in f.read(m["size"]).decode().split("\n"):
+        if indexes(name):
+            for line in _lines(f, m["begin"], m["begin"] + m["size"]):
                 if "{" in line:
                     place = json.loads(line[line.index("{") :])
-                    if (archive := "archive/" + place["filename"]) in named:
+                    archive = f"archive/{place.get('filename')}"
+                    if archive in named and "offset" in place and "length" in place:
                         named[archive].add((members[archive]["begin"] + int(place["offset"]), int(place["length"])))
     for name, found in named.items():
         at, end = members[name]["begin"], members[name]["begin"] + members[name]["size"]
@@ -178,7 +222,7 @@ def places(f, size: int):
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(__id, __url, __payload, __first, __type): which pages become responses, which revisits.
+    """(__id, __url, __payload, __first, __type, __row, __first_row): which pages become responses, which revisits.
 
     Of pages with equal payloads of ``least_bytes`` or more, the one with the largest id is
     the response and the others revisit it; null ids rank lowest.  Of repeated rows of one
@@ -193,7 +237,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     groups = written(long.groupBy("__sha").agg(F.max(rank).alias("__top"), F.count(F.lit(1)).alias("__n")).where("__n > 1"), "warc-groups")
     out = rows.join(groups, "__sha", "left")
     top = F.col("__top.row").isNull() | (F.col("__top.row") == F.col("__row"))
-    return out.select("__id", "__url", "__payload", F.when(~top, F.col("__top.id")).alias("__first"), F.when(top, "response").otherwise("revisit").alias("__type"))
+    told = lambda r: F.concat_ws("-", F.hex(F.xxhash64(r["file"])), r["row"].cast("string"))
+    return out.select("__id", "__url", "__payload", F.when(~top, F.col("__top.id")).alias("__first"), F.when(top, "response").otherwise("revisit").alias("__type"), told(F.col("__row")).alias("__row"), F.when(~top, told(F.col("__top.row"))).alias("__first_row"))
 
 
 def write_packages(planned: DataFrame, folder: str, package_bytes: int = 256 << 20, member_bytes: int = 16 << 20) -> DataFrame:
@@ -217,12 +262,12 @@ def write_packages(planned: DataFrame, folder: str, package_bytes: int = 256 <<
             return pa.RecordBatch.from_pydict({"path": [path], "bytes": [info.size], "records": [n]}, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
         for b in batches:
-            for page_id, url, payload, first, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, payload, first, kind, row, first_row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if package is None:
                     path = f"{root}/{uuid.uuid4().hex}.wacz"
                     stream = store.open_output_stream(path)
                     package, n = PackageWriter(stream, member_bytes), 0
-                package.add(page_id, url, payload, kind == "revisit", first)
+                package.add(page_id, url, payload, kind == "revisit", first, row, first_row)
                 n += 1
                 if package.size >= package_bytes:
                     yield close()
@@ -230,7 +275,7 @@ def write_packages(planned: DataFrame, folder: str, package_bytes: int = 256 <<
         if package is not None:
             yield close()
 
-    rows = planned.select("__id", "__url", "__payload", "__first", "__type")
+    rows = planned.select("__id", "__url", "__payload", "__first", "__type", "__row", "__first_row")
     return written(rows.mapInArrow(write, "path string, bytes long, records long"), "warc-packages")
 
 
@@ -268,7 +313,8 @@ def read_packages(packages: DataFrame, folder: str, keep_payload: bool = True) -
                     rows, held = [], 0
                     for at, n in zip(offsets, lengths, strict=True):
                         f.seek(at)
-                        r = parse_record(zlib.decompress(f.read(n), 31))
+                        raw = f.read(n)
+                        r = parse_record(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
                         h, payload = r["headers"], r["payload"]
                         rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-payload-digest"), int(r["http"].get("content-length", len(payload))), len(payload), digest32(payload), payload if keep_payload else None))
                         held += len(payload)
@@ -294,7 +340,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     folder = scratch_path(spark, "warc")
     planned = plan_records(pages, id_col, url_col, html_col, least_bytes)
     read = read_packages(write_packages(planned, folder), folder, keep_payload=False)
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<{_ID}(-?[0-9]+)>$', 1) as long)")
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<{_ID}(-?[0-9]+)(?:#[^>]*)?>$', 1) as long)")
     revisit = F.col("record_type") == "revisit"
     return read.select(
         number("record_id").alias(id_col),

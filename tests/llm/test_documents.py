@@ -284,8 +284,9 @@ def _slow_removed(data, radius, least):
     sets = []
     for _, t in data:
         words = re.findall("[^\x20\x09-\x0d]+", t or "")
-        for a, b in [] if not words else _slow_cut(words, radius) if radius else [(0, len(words))]:
-            if b - a >= least:
+        cut = [] if not words else _slow_cut(words, radius) if radius else [(0, len(words))]
+        for a, b in cut if any(b - a >= least for a, b in cut) else [(0, len(words))] if words else []:
+            if b - a >= least or b - a == len(words):
                 sets.append({tuple(words[i : min(i + 5, b)]) for i in range(a, max(a + 1, b - 4))})
     near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     return len(sets), len(sets) - len(set(union(len(sets), near)))
