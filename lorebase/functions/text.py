@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,16 +54,32 @@ def point_id(key: Column) -> Column:
 
 
 def hash_embedding(text: Column, bits: int = 6) -> Column:
-    """Counts of white-space words by the low ``bits`` of their MD5, scaled to unit norm."""
+    """Counts of white-space words by the low ``bits`` of their MD5, scaled to unit norm; a null text has none.
+
+    One pass over a batch's words; a word that comes again isn't hashed again.
+    """
     size = 1 << bits
-    tokens = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
-    slots = F.transform(tokens, lambda w: (F.conv(F.substring(F.md5(w), 29, 4), 16, 10).cast("int") % size))
-    # a one-element array holds each step's value, so that it is made once
-    one = lambda value, f: F.transform(F.array(value), f)[0]
-    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
-    scaled = lambda c: one(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
-    return one(slots, lambda s: one(count(s), scaled))
+
+    @F.pandas_udf("array<double>")
+    def counted(low: pd.Series) -> pd.Series:
+        slots: dict[str, int] = {}
+        out = []
+        for t in low:
+            if t is None:
+                out.append(None)
+                continue
+            at = []
+            for w in re.split("[ \t\n\x0b\f\r]+", t):
+                if w:
+                    if w not in slots:
+                        slots[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[-4:]) % size
+                    at.append(slots[w])
+            c = np.bincount(np.array(at, np.int64), minlength=size).astype(np.float64)
+            norm = np.sqrt((c * c).sum())
+            out.append(c / norm if norm > 0 else c)
+        return pd.Series(out)
+
+    return counted(F.lower(text))
 
 
 def cosine(a: Column, b: Column) -> Column:

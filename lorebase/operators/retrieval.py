@@ -138,8 +138,8 @@ def keyword_matches(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "
     return top_k(keyword_scores(docs, queries, id_col, text_col), ["query_id"], [F.round("score", 6).desc(), F.col(id_col)], k)
 
 
-def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096) -> DataFrame:
-    """(query_id, id, score, rank) by cosine; a query never finds itself.
+def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, itself: bool = False) -> DataFrame:
+    """(query_id, id, score, rank) by cosine; a query never finds the point of its own id, unless ``itself`` is set.
 
     Vectors that are null, empty or hold a null or a value that isn't finite are left out, and only vectors of one
     length meet.  Points and queries are dealt to blocks by hash.  Each pair of blocks is
@@ -151,7 +151,7 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     n_q = -(-queries.count() // block) or 1
     p = points.where(sound(vector_col)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("width"), F.pmod(F.xxhash64(id_col), F.lit(n_p)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
     q = queries.where(sound(vector_col)).select(F.col(id_col).alias("qid"), F.col(vector_col).alias("qv"), F.size(vector_col).alias("width"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"), F.pmod(F.xxhash64(id_col), F.lit(n_q)).cast("int").alias("qb"))
-    kind = dict(points.dtypes)[id_col]
+    kind, asking = dict(points.dtypes)[id_col], dict(queries.dtypes)[id_col]
 
     def unit(v) -> np.ndarray:
         x = np.stack(v.to_numpy()).astype(np.float64)
@@ -165,14 +165,14 @@ def exact_knn(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
                 low = -np.round(s[r], 6)
                 few = np.flatnonzero(low <= np.partition(low, k)[k]) if len(low) > k + 1 else np.arange(len(low))
                 best = few[np.lexsort((ids[few], low[few]))]
-                best = best[ids[best] != qid][:k]
+                best = best[(ids[best] != qid) | itself][:k]
                 out["query_id"] += [qid] * len(best)
                 out["id"] += ids[best].tolist()
                 out["score"] += s[r][best].tolist()
         return pd.DataFrame(out)
 
     keys = ["pb", "qb", "width"]
-    near = p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(product, f"query_id {kind}, id {kind}, score double")
+    near = p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(product, f"query_id {asking}, id {kind}, score double")
     return top_k(near, ["query_id"], [F.round("score", 6).desc(), F.col("id")], k)
 
 
