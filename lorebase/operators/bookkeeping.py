@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.operators.retrieval import ranked
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, value, change): rows of ``new`` replace rows of ``old`` by key; others are added."""
@@ -13,20 +15,36 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return merged.select(key, F.coalesce("__new", "__old").alias("value"), F.when(F.col("__n").isNull(), "kept").when(F.col("__o").isNull(), "added").otherwise("replaced").alias("change"))
 
 
+def upsert_in_order(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """(key, value, position): rows of ``new`` replace rows of ``old`` in their places; others come behind all of these, in ``order``.
+
+    old: (key, value, position); new: (key, value, and what ``order`` names), one row a key.
+    """
+    known = old.select(key, "position", F.col("value").alias("__old"))
+    kept = known.join(new.select(key, F.col("value").alias("__new"), F.lit(True).alias("__is")), key, "left").select(key, F.when(F.col("__is"), F.col("__new")).otherwise(F.col("__old")).alias("value"), "position")
+    added = ranked(new.join(old.select(key), key, "left_anti").withColumn("__all", F.lit(0)), ["__all"], order, "__nth")
+    last = old.agg(F.coalesce(F.max("position"), F.lit(0)).alias("__last"))
+    return kept.unionByName(added.crossJoin(F.broadcast(last)).select(key, "value", (F.col("__last") + F.col("__nth")).cast("long").alias("position")))
+
+
 def replace_group(old: DataFrame, new: DataFrame, group: str) -> DataFrame:
     """All rows of the groups in ``new`` are replaced by its rows."""
     return old.join(new.select(group).distinct(), group, "left_anti").unionByName(new)
 
 
-def signatures(rows: DataFrame, by: str, id_col: str, line: Column, ties: list[str], block: int = 1000) -> DataFrame:
-    """(by, signature): SHA-256 over the digests of blocks of ids, in order, of each group.
+def signatures(rows: DataFrame, by: str, id_col: str, line: Column, ties: list[str], block: int = 1000, levels: int = 3) -> DataFrame:
+    """(by, signature): SHA-256 over the lines of each group in order of ids, taken in levels.
 
-    Lines meet in blocks of ``block`` ids, so a large group is never one row of text.
+    Lines meet in blocks of ``block`` ids, the blocks' digests in blocks of ``block`` of
+    these, and so on for ``levels`` levels; what is left, one digest for each ``block ** levels`` ids,
+    meets in the signature.  No row holds more than a block however large a group is.
     """
     of = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), *ties, line.alias("line"))))
     blocks = rows.groupBy(by, F.floor(F.col(id_col) / block).alias("block")).agg(F.sha2(F.array_join(F.transform(of, lambda x: x["line"]), ";"), 256).alias("h"))
-    every = F.array_sort(F.collect_list(F.struct("block", "h")))
-    return blocks.groupBy(by).agg(F.sha2(F.array_join(F.transform(every, lambda x: x["h"]), ";"), 256).alias("signature"))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ";")
+    for _ in range(levels - 1):
+        blocks = blocks.groupBy(by, F.floor(F.col("block") / block).alias("above")).agg(F.sha2(every, 256).alias("h")).withColumnRenamed("above", "block")
+    return blocks.groupBy(by).agg(F.sha2(every, 256).alias("signature"))
 
 
 def dedupe_facts(facts: DataFrame) -> DataFrame:

@@ -36,12 +36,14 @@ def checked_markers(reports: DataFrame, sources: DataFrame) -> DataFrame:
     index_out_of_range (under 1 or above the report's largest index), missing_source,
     empty_source, insufficient_source_content (a URL alone), valid for a provider's own
     citation, unsupported_claim.  A report's claims of one index meet their source once.
+    Sources that are used often may bring their terms (have), and then need no more of title and content than whether they are blank.
     """
     marks = claims(reports).select("report_id", "sentence", citation_terms(F.col("claim")).alias("terms"), F.explode("markers").alias("index"))
     asked = marks.groupBy("report_id", "index").agg(F.collect_list(F.struct("sentence", "terms")).alias("asked"))
     most = sources.groupBy("report_id").agg(F.max("index").alias("most"))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    s = sources.select("report_id", "index", (blank("title") & blank("content")).alias("bare"), blank("url").alias("no_url"), F.coalesce("native", F.lit(False)).alias("native"), citation_terms(F.concat_ws(" ", "title", "content")).alias("have"), F.lit(True).alias("known"))
+    have = F.col("have") if "have" in sources.columns else citation_terms(F.concat_ws(" ", "title", "content"))
+    s = sources.select("report_id", "index", (blank("title") & blank("content")).alias("bare"), blank("url").alias("no_url"), F.coalesce("native", F.lit(False)).alias("native"), have.alias("have"), F.lit(True).alias("known"))
     j = asked.join(s, ["report_id", "index"], "left").join(most, "report_id", "left").select("*", F.explode("asked").alias("a"))
     issue = (
         F.when((F.col("index") < 1) | (F.col("index") > F.coalesce("most", F.lit(0))), "index_out_of_range")

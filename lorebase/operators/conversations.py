@@ -70,6 +70,15 @@ def visible(messages: DataFrame, newest: int) -> DataFrame:
     return said.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= newest).drop("__r")
 
 
+def visible_or_selected(messages: DataFrame, deleted: Column, selected: DataFrame, newest: int, key: list[str]) -> DataFrame:
+    """Messages that aren't deleted: the newest of each conversation, and those that ``selected`` names by ``key``, with which it was (``why``)."""
+    there = messages.where(F.col("role").isin("user", "assistant") & ~F.coalesce(deleted, F.lit(False)))
+    picked = there.join(selected.select(*key).distinct().withColumn("__picked", F.lit(True)), key, "left")
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    told = picked.withColumn("why", F.when(F.row_number().over(w) <= newest, "newest").when(F.col("__picked"), "selected"))
+    return told.where("why IS NOT NULL").drop("__picked")
+
+
 def refresh_window(messages: DataFrame, threshold: int, keep: int) -> DataFrame:
     """(conv_id, from_turn, to_turn, n): what a summary of all but the last ``keep`` messages covers.
 

@@ -42,7 +42,7 @@ def first_json_list(raw: pd.Series) -> pd.Series:
             try:
                 if t is not None and isinstance(json.loads(t), list):
                     return t
-            except ValueError:
+            except (ValueError, RecursionError):  # nested too deep to be an answer
                 pass
         return None
 
@@ -59,7 +59,7 @@ def first_json_object(raw: pd.Series) -> pd.Series:
         while at >= 0:
             try:
                 return json.dumps(decoder.raw_decode(text, at)[0])
-            except ValueError:
+            except (ValueError, RecursionError):
                 at = text.find("{", at + 1)
         return None
 
@@ -137,20 +137,19 @@ def greedy_clusters(vectors: list, threshold: float) -> list[int]:
     n = len(vectors)
     if n <= 3:
         return [0] * n
-    out = [-1] * n
-    for i in range(n):
-        if out[i] >= 0:
-            continue
-        out[i] = i
-        if vectors[i] is None:
-            continue
-        a = np.asarray(vectors[i], float)
-        for j in range(i + 1, n):
-            if out[j] < 0 and vectors[j] is not None:
-                b = np.asarray(vectors[j], float)
-                if a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-8) > threshold:
-                    out[j] = i
-    return out
+    out = np.full(n, -1)
+    some = np.array([i for i, v in enumerate(vectors) if v is not None], int)
+    x = np.array([vectors[i] for i in some], float)
+    norm = np.linalg.norm(x, axis=1) if len(some) else np.zeros(0)
+    free = np.ones(len(some), bool)
+    for k, i in enumerate(some):
+        if free[k]:  # a leader: one product with all that are left
+            left = np.flatnonzero(free[k:]) + k
+            near = left[x[left] @ x[k] / (norm[left] * norm[k] + 1e-8) > threshold]
+            out[some[near]] = i
+            free[near] = False
+            out[i], free[k] = i, False
+    return np.where(out < 0, np.arange(n), out).tolist()
 
 
 def clustered(nodes: DataFrame, threshold: float) -> DataFrame:

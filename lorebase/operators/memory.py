@@ -70,6 +70,21 @@ def budget_fold(rows: DataFrame, by: str, order: list, text: str, total: int, ea
     return rows.withColumn("taken", F.when(left > 0, F.substring(cut, F.lit(1), left.cast("int"))).otherwise(""))
 
 
+def first_texts(rows: DataFrame, by: str, key: str, text: str, total: int, block: int = 1000) -> DataFrame:
+    """The rows with which the texts of a group, in order of ``key``, begin to fill ``total`` characters, and taken, what of each is used.
+
+    Lengths are summed by blocks of keys first, so only texts of blocks that the budget reaches are sorted.
+    """
+    at = F.floor(F.col(key) / block)
+    sizes = rows.groupBy(F.col(by).alias("__by"), at.alias("__block")).agg(F.sum(F.length(text)).alias("__chars"))
+    upto = Window.partitionBy("__by").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    near = sizes.withColumn("__ahead", F.coalesce(F.sum("__chars").over(upto), F.lit(0))).where(F.col("__ahead") < total).select("__by", "__block")
+    few = rows.join(near, F.col(by).eqNullSafe(F.col("__by")) & (at == F.col("__block")), "left_semi")
+    w = Window.partitionBy(by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    left = few.withColumn("__left", F.lit(total) - F.coalesce(F.sum(F.length(text)).over(w), F.lit(0))).where("__left > 0")
+    return left.withColumn("taken", F.substring(F.col(text), F.lit(1), F.col("__left").cast("int"))).drop("__left")
+
+
 def working_view(items: DataFrame, by: str, mandatory: str, score: str, importance: str, time: str, tie: str, most: int) -> DataFrame:
     """The ``most`` items of each group: mandatory ones first, then by relevance, importance and time."""
     w = Window.partitionBy(by).orderBy(F.desc(mandatory), F.desc(score), F.desc(importance), F.desc(time), tie)

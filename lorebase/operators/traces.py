@@ -26,6 +26,13 @@ def nested_spans(events: DataFrame) -> DataFrame:
     return n.select(F.col("user_id").alias("tree"), F.col("event_id").alias("id"), parent.alias("parent"), F.col("ts").cast("timestamp_ntz").alias("start"))
 
 
+def rooted(spans: DataFrame) -> DataFrame:
+    """(tree, id, parent, orphan) of (tree, id, parent): spans whose parent isn't in their tree become roots, and are told."""
+    known = spans.select(F.col("tree").alias("__tree"), F.col("id").alias("__id")).distinct()
+    j = spans.join(known, (F.col("tree") == F.col("__tree")) & (F.col("parent") == F.col("__id")), "left")
+    return j.select("tree", "id", F.col("__id").alias("parent"), (F.col("parent").isNotNull() & F.col("__id").isNull()).alias("orphan"))
+
+
 def collapsed(roots: DataFrame, start_ms: int, duration_ms: int) -> DataFrame:
     """(label, id): roots that no richer root of their label duplicates.
 

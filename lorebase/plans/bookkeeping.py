@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators import bookkeeping as B
 from lorebase.operators import retrieval
+from lorebase.operators.retrieval import ranked
 from lorebase.plans.registry import query, table
 
 
@@ -26,7 +27,9 @@ def catalog_backfill(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.max(F.when(F.col("n_chars") > 100, F.col("doc_id"))).alias("last_doc"), F.sum("n_chars").alias("chars"))
 
 
-@query("a22_index_signature", "WITH b AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg(doc_id || ':' || n_chars, ';' ORDER BY doc_id, n_chars)) AS h FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(h, ';' ORDER BY block)) AS signature FROM b GROUP BY source")
+@query("a22_index_signature", """WITH b AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg(doc_id || ':' || n_chars, ';' ORDER BY doc_id, n_chars)) AS h FROM documents GROUP BY ALL),
+b2 AS (SELECT source, block // 1000 AS block2, sha256(string_agg(h, ';' ORDER BY block)) AS h FROM b GROUP BY ALL), b3 AS (SELECT source, block2 // 1000 AS block3, sha256(string_agg(h, ';' ORDER BY block2)) AS h FROM b2 GROUP BY ALL)
+SELECT source, sha256(string_agg(h, ';' ORDER BY block3)) AS signature FROM b3 GROUP BY source""")
 def index_signature(spark, d):
     row = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"))
     return B.signatures(table(spark, d, "documents"), "source", "doc_id", row, ["n_chars"])
@@ -73,6 +76,40 @@ def replace_group(spark, d):
     return B.replace_group(o, o.where("o_orderstatus = 'P'"), "grp").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("k7_ordered_upsert", """WITH o AS (SELECT doc_id, n_chars AS value, row_number() OVER (ORDER BY source, doc_id) AS position FROM documents WHERE doc_id % 3 <> 1),
+n AS (SELECT doc_id, max(quality)::BIGINT AS value FROM labels GROUP BY doc_id),
+a AS (SELECT doc_id, value, (SELECT max(position) FROM o) + row_number() OVER (ORDER BY value DESC, doc_id) AS position FROM n WHERE doc_id NOT IN (SELECT doc_id FROM o))
+SELECT doc_id, coalesce(n.value, o.value) AS value, position FROM o LEFT JOIN n USING (doc_id) UNION ALL SELECT * FROM a""")
+def ordered_upsert(spark, d):
+    """Labels put into a corpus that is in an order of its own: what is there keeps its place, the rest comes behind."""
+    old = ranked(table(spark, d, "documents").where("doc_id % 3 <> 1").select("doc_id", F.col("n_chars").alias("value"), "source", F.lit(0).alias("all")), ["all"], [F.col("source"), F.col("doc_id")], "position")
+    new = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("long").alias("value"))
+    return B.upsert_in_order(old.select("doc_id", "value", "position"), new, "doc_id", [F.col("value").desc(), F.col("doc_id")])
+
+
+@query("k8_replaced_chunks", """WITH p AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'),
+r AS (SELECT o_custkey AS grp, o_orderkey AS chunk, o_orderstatus AS text FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM p)
+  UNION ALL SELECT o_custkey, -1 - o_orderkey, 'new ' || o_orderpriority FROM orders WHERE o_custkey IN (SELECT o_custkey FROM p) AND o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, 0, 'head' FROM p)
+SELECT grp, count(*) AS n, sum(chunk)::BIGINT AS chunks, md5(string_agg(text, '|' ORDER BY chunk)) AS digest FROM r GROUP BY grp""")
+def replaced_chunks(spark, d):
+    """All chunks of some documents are replaced by new ones, fewer or more, of other ids and texts."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("chunk"), F.col("o_orderstatus").alias("text"), "o_orderpriority")
+    touched = o.where("text = 'P'").select("grp").distinct()
+    new = o.join(touched, "grp", "left_semi").where("chunk % 2 = 0").select("grp", (-1 - F.col("chunk")).alias("chunk"), F.concat(F.lit("new "), "o_orderpriority").alias("text"))
+    new = new.unionByName(touched.select("grp", F.lit(0).cast("long").alias("chunk"), F.lit("head").alias("text")))
+    g = B.replace_group(o.drop("o_orderpriority"), new, "grp").groupBy("grp")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"])
+    return g.agg(F.count(F.lit(1)).alias("n"), F.sum("chunk").alias("chunks"), F.md5(F.array_join(in_order, "|")).alias("digest"))
+
+
+@query("a19_recalled_episodes", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts >= TIMESTAMP '2024-01-10')
+SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS episode, count(*) AS n FROM k WHERE r <= 30 GROUP BY ALL""")
+def recalled_episodes(spark, d):
+    """The latest episode of exactly a task, among a user's newest thirty that haven't expired."""
+    kept = B.prune(table(spark, d, "events"), ["user_id"], "ts", "event_id", F.lit("2024-01-10").cast("timestamp_ntz"), 30)
+    return kept.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("episode"), F.count(F.lit(1)).alias("n"))
+
+
 @query("k9_delete_document", "SELECT count(*) AS kept, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')) AS deleted FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def delete_document(spark, d):
     gone = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("gone"))

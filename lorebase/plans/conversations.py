@@ -34,6 +34,15 @@ def visible_messages(spark, d):
     return C.visible(table(spark, d, "conversations"), 4).select("conv_id", "turn", "role")
 
 
+@query("p8_selected_messages", """WITH m AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role IN ('user', 'assistant') AND (conv_id * 7 + turn) % 10 <> 0)
+SELECT conv_id, turn, role, CASE WHEN r <= 2 THEN 'newest' ELSE 'selected' END AS why FROM m WHERE r <= 2 OR (conv_id + turn) % 3 = 0""")
+def selected_messages(spark, d):
+    """Every tenth message was deleted, every third picked; a message that was deleted stays away though it was picked."""
+    c = table(spark, d, "conversations")
+    deleted = (F.col("conv_id") * 7 + F.col("turn")) % 10 == 0
+    return C.visible_or_selected(c, deleted, c.where("(conv_id + turn) % 3 = 0"), 2, ["conv_id", "turn"]).select("conv_id", "turn", "role", "why")
+
+
 @query("w21_summary_refresh", "SELECT conv_id, min(turn) AS from_turn, max(turn) AS to_turn, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n_all, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE n_all > 4 AND r > 2 GROUP BY conv_id")
 def summary_refresh(spark, d):
     return C.refresh_window(table(spark, d, "conversations"), 4, 2)

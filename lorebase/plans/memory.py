@@ -62,7 +62,7 @@ def recall_budget(spark, d):
 @query("w24_evidence_budget", "SELECT source, doc_id, length(substr(text, 1, greatest(0, 12000 - before)::INT))::BIGINT AS chars FROM (SELECT source, doc_id, text, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) WHERE before < 12000")
 def evidence_budget(spark, d):
     """The last source that fits is cut, later ones are dropped."""
-    t = M.budget_fold(table(spark, d, "documents"), "source", ["doc_id"], "text", 12_000).where("taken <> '' OR text = ''")
+    t = M.first_texts(table(spark, d, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", 12_000)
     return t.select("source", "doc_id", F.length("taken").cast("long").alias("chars"))
 
 

@@ -31,6 +31,12 @@ s AS (SELECT tree, id, ts, CASE WHEN n = 0 THEN NULL WHEN n % 10 = 0 THEN root E
 t AS (SELECT tree, id, 0 AS depth, [(ts, id)] AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.tree, s.id, t.depth + 1, list_append(t.path, (s.ts, s.id)) FROM t JOIN s ON s.tree = t.tree AND s.parent = t.id)"""
 
 
+@query("j14_orphan_spans", f"WITH {NESTED.split('t AS (')[0].rstrip().rstrip(',')}, k AS (SELECT * FROM s WHERE id % 9 <> 4) SELECT a.tree, a.id, b.id AS parent, a.parent IS NOT NULL AND b.id IS NULL AS orphan FROM k a LEFT JOIN k b ON a.tree = b.tree AND a.parent = b.id")
+def orphan_spans(spark, d):
+    """Every ninth span was lost; the spans below it become roots."""
+    return R.rooted(R.nested_spans(table(spark, d, "events")).where("id % 9 <> 4").select("tree", "id", "parent"))
+
+
 @query("g13_span_depths", f"WITH RECURSIVE {NESTED} SELECT id, least(depth, 8)::INT AS depth FROM t")
 def span_depths(spark, d):
     return G.tree_depths(R.nested_spans(table(spark, d, "events")).select("id", "parent"), 8)
