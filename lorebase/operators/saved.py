@@ -96,3 +96,8 @@ def qa_markdown(pairs: DataFrame, by: str, order: list[str]) -> DataFrame:
     rows = pairs.withColumn("__i", nth).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", block.alias("b")))), lambda x: x["b"]), "").alias("b"))
     head = F.concat(F.lit("# "), F.col(by).cast("string"), F.lit(" QA 测试集\n> 共 "), F.col("n").cast("string"), F.lit(" 条问答对\n"))
     return rows.select(by, "n", F.concat(head, "b").alias("markdown"))
+
+
+def settings_signature(settings: dict[str, Column]) -> Column:
+    """SHA-256 of settings as JSON: keys in order, no spaces, nulls told; what changes a setting changes the signature."""
+    return F.sha2(F.to_json(F.struct(*[settings[k].alias(k) for k in sorted(settings)]), {"ignoreNullFields": "false"}), 256)

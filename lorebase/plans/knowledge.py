@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorebase.operators import kept_graph as KG
 from lorebase.operators import knowledge as K
+from lorebase.operators.kept import Store
+from lorebase.operators.shared import scratch_path
 from lorebase.plans.registry import query, table
 
 CONTRIBUTIONS = "c AS (SELECT l_orderkey % 500 AS doc_id, CASE WHEN l_partkey % 97 = 0 THEN '' ELSE 'p' || l_partkey END AS source, 's' || l_suppkey AS target, l_returnflag AS type, l_discount AS weight FROM lineitem)"
@@ -90,3 +93,20 @@ def summary_node_ids(spark, d):
     kids = F.transform(F.array_sort(F.collect_list("turn")), lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string")))
     g = c.groupBy("conv_id").agg(kids.alias("kids"), F.max("text").alias("summary"), F.count(F.lit(1)).alias("n"))
     return g.select("conv_id", K.summary_node_id(F.col("n") % 3, F.col("conv_id") % 10, F.col("kids"), F.col("summary")).alias("node_id"))
+
+
+@query("g11_kept_graph", """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, 1000000 + c_custkey % 97 * 1000 + floor(c_acctbal / 100)::BIGINT AS b FROM customer WHERE c_custkey % 10 <> 3),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.node)
+SELECT node AS entity_id, min(c) AS root FROM r GROUP BY node""")
+def kept_graph(spark, d):
+    """A graph that is built, then takes in more documents and forgets others: only components they touch are found anew."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("a"), (F.lit(1000000) + F.col("c_custkey") % 97 * 1000 + F.floor(F.col("c_acctbal") / 100)).cast("long").alias("b"))
+    path = scratch_path(spark, "kept-graph")
+
+    def said(docs):
+        named = docs.select("doc_id", F.explode(F.array("a", "b")).alias("entity_id"))
+        return named.select("*", F.concat(F.lit("node "), F.col("entity_id").cast("string")).alias("name"), F.lit("t").alias("type"), F.lit("").alias("description")), docs.select("doc_id", F.col("a").alias("source"), F.col("b").alias("target"), F.lit("near").alias("type"), F.lit(1.0).alias("weight"))
+
+    KG.update(spark, path, *said(c.where("doc_id % 10 <> 7")))
+    last = KG.update(spark, path, *said(c.where("doc_id % 10 = 7")), gone=c.where("doc_id % 10 = 3").select("doc_id"))
+    return KG.members(Store(spark, path), last)

@@ -91,3 +91,11 @@ def qa_markdown(spark, d):
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(a, ["conv_id", "turn"])
     return saved.qa_markdown(q, "conv_id", ["turn"]).select("conv_id", "n", F.md5("markdown").alias("digest"))
+
+
+@query("a25_settings_signatures", """SELECT p_partkey, sha256('{"chunk_overlap":64,"chunk_size":' || (256 + p_size) || ',"embedding_model":"' || p_brand || '","raptor_levels":' || CASE WHEN p_partkey % 2 = 0 THEN (p_size % 4)::VARCHAR ELSE 'null' END || ',"strategy":"' || lower(p_type) || '","use_raptor":' || (p_partkey % 2 = 0)::VARCHAR || '}') AS signature FROM part""")
+def settings_signatures(spark, d):
+    """Settings of an index, some of which count only if another is on."""
+    on = F.col("p_partkey") % 2 == 0
+    settings = {"strategy": F.lower("p_type"), "chunk_size": F.col("p_size") + 256, "chunk_overlap": F.lit(64), "embedding_model": F.col("p_brand"), "use_raptor": on, "raptor_levels": F.when(on, F.col("p_size") % 4)}
+    return table(spark, d, "part").select("p_partkey", saved.settings_signature(settings).alias("signature"))
