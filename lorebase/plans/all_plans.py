@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "rules", "streams", "context", "citations", "versions", "planning", "memory", "elements", "questions", "knowledge", "payloads", "outcomes", "records", "extraction", "indexes", "adaptive", "sources", "saved")
+MODULES = ("retrieval", "conversations", "graph", "traces", "bookkeeping", "rules", "streams", "context", "citations", "versions", "planning", "memory", "elements", "questions", "knowledge", "payloads", "outcomes", "records", "extraction", "indexes", "adaptive", "sources", "saved", "comparisons")
 
 
 def load() -> None:
