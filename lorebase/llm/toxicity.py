@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -142,6 +143,13 @@ def _entries(text: str | None) -> set[tuple[str, int]]:
     return found
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: a text has thousands of entries, all of which are held while a batch is counted."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 30_000, candidates: int = 100_000, entries: int = 4_000, least_g2: float = 16.0, least_odds: float = 2.5) -> Lexicon:
     """Fit a lexicon on at most ``sample`` labelled rows that are not held out.
 
@@ -167,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Lexicon({})
 
     def among_toxic(batches):
-        for b in batches:
+        for b in _slices(batches):
             seen: Counter[tuple[str, int]] = Counter()
             for t in b.column(0).to_pylist():
                 found = _entries(t)
@@ -183,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(known)
 
     def among_clean(batches):
-        for b in batches:
+        for b in _slices(batches):
             seen = Counter(e for t in b.column(0).to_pylist() for e in {e for e, _ in _entries(t)} & shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["e", "c0"])
 
@@ -205,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     automaton = lexicon.automaton()
 
     def phrases(batches):
-        for b in batches:
+        for b in _slices(batches):
             seen: dict[str, list[int]] = {}
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words, mine = folded(t), set()
