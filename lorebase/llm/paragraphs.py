@@ -57,10 +57,18 @@ def _whole_if_short(words: Words, begins: np.ndarray, least: int) -> np.ndarray:
     return begins[long[of] | np.isin(begins, words.first)]
 
 
-def split_paragraphs(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int, radius: int | None, least: int) -> DataFrame:
+def _joined(words: Words, begins: np.ndarray, least: int) -> np.ndarray:
+    """``begins`` without those of paragraphs under ``least`` words, which become part of the one before, at the head of a text of the one behind."""
+    begins = begins[(np.append(begins[1:], len(words)) - begins >= least) | np.isin(begins, words.first)]
+    head = np.isin(begins, words.first)
+    short = head & (np.append(begins[1:], len(words)) - begins < least)
+    return begins[~np.append(False, short[:-1] & ~head[1:])] if len(begins) else begins
+
+
+def split_paragraphs(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, seed: int, radius: int | None, least: int, joined: bool = False) -> DataFrame:
     """(file, row, id, start, words, k1, k2, bands) of every paragraph of ``least`` words or more, or that is a whole text.
 
-    k1 and k2 tell a paragraph's words apart.  Each document also has a line with start -1,
+    If ``joined`` is set, shorter ones are part of a neighbour, so every word is in a paragraph.  k1 and k2 tell a paragraph's words apart.  Each document also has a line with start -1,
     whose ``words`` counts its paragraphs, so that none is lost.
     """
     short_batches(docs.sparkSession)
@@ -70,7 +78,7 @@ def split_paragraphs(docs: DataFrame, id_col: str, text_col: str, width: int, ba
     def split(batches):
         for b in batches:
             words = Words(b.column(3).to_pylist())
-            begins = _whole_if_short(words, _begins(words, radius), least)
+            begins = (_joined if joined else _whole_if_short)(words, _begins(words, radius), least)
             stop = np.append(begins[1:], len(words))
             h, at = _shingled(words, begins, width) if len(begins) else (np.zeros(0, np.uint64), begins)
             hashes = band_hashes(h, at, bands, rows, factors) if len(begins) else np.zeros((0, bands), np.int64)
@@ -139,14 +147,15 @@ def _tile_stars(cid: np.ndarray, sets: list[np.ndarray], threshold: float) -> tu
     return cid[far], cid[label[far]]
 
 
-def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 5, rows: int = 2, seed: int = 17, radius: int | None = 10, least: int = 14, crowd: int = 24, tile: int = 256) -> DataFrame:
+def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 5, rows: int = 2, seed: int = 17, radius: int | None = 10, least: int = 14, crowd: int = 24, tile: int = 256, joined: bool = False) -> DataFrame:
     """(id, n_paragraphs, n_removed, removed, removed_words, keep_ids) of every row.
 
     Paragraphs are cut by content: a word begins one if the hash of it and the next is the
     smallest within ``radius`` words (``radius`` None: a whole text is one paragraph).  A
     passage is so cut alike in every text, in longer lines and between other words too.
-    Paragraphs of under ``least`` words are not compared and stay, but a text without a longer
-    one is compared whole, however short, so copies of short texts are found.  Two paragraphs link if
+    If ``joined`` is set, one of under ``least`` words is compared as a part of the one before it (at the
+    head of a text, of the one behind), so that every word is compared; else such paragraphs stay.
+    A text without a longer one is compared whole, however short, so copies of short texts are found.  Two paragraphs link if
     the exact Jaccard similarity of their sets of ``width``-word shingles is at least
     ``threshold``, or they are equal but for white space; candidates collide in one of
     ``bands`` bands of ``rows`` minima (5 by 2: a pair at 0.8 is missed once in 165, one at
@@ -164,7 +173,7 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``tile``, whose pairs of tiles each give stars of their components, never all pairs.
     """
     docs = as_scan(docs, "para-docs")
-    paras = written(split_paragraphs(docs, id_col, text_col, width, bands, rows, seed, radius, least), "para-lines")
+    paras = written(split_paragraphs(docs, id_col, text_col, width, bands, rows, seed, radius, least, joined), "para-lines")
     real = paras.where("start >= 0")
     place = F.struct("file", "row", "start", "words")
     classes = real.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))

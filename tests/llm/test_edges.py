@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.llm import embedding_dedup, exact_dedup, paragraphs, sharding, toxicity, warc
+from lorebase.llm import embedding_dedup, exact_dedup, paragraphs, queries, sharding, toxicity, warc
 
 
 def test_paragraphs_of_short_texts(spark):
@@ -25,6 +25,23 @@ def test_paragraphs_of_short_texts(spark):
         assert {i for r in range(3, 9) for i in got[r]["keep_ids"]} == {0, 1, 2}
 
 
+def test_every_word_is_in_a_compared_paragraph(spark, tmp_path):
+    """Short paragraphs are compared as a part of a neighbour; the query leaves no word out."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(n)) for n in (1, 5, 12, 30, 80, 200, 900, 2500)] + ["", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    d.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for least in (11, 14, 40):
+        p = paragraphs.split_paragraphs(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text", 5, 5, 2, 17, 10, least, joined=True).where("start >= 0").collect()
+        for i, t in enumerate(texts):
+            parts = sorted((r["start"], r["start"] + r["words"]) for r in p if r["id"] == i)
+            assert [a for a, _ in parts] + [len((t or "").split())] == [0] * bool(parts) + [b for _, b in parts] if parts else not t
+            assert len(parts) < 2 or min(b - a for a, b in parts) >= least
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts[3:8] * 2)], "doc_id long, text string").write.parquet(f"{tmp_path}/twice/documents.parquet")
+    got = queries.op1_paragraph_minhash(spark, f"{tmp_path}/twice").collect()
+    assert all(sum(r["removed_words"]) == len(texts[3 + r["doc_id"] % 5].split()) * (r["doc_id"] > 4) for r in got)
+
+
 def test_recall_of_the_bands_in_use(spark):
     """With the bands of production, pairs at 0.8 to 0.9 are found but for one in a hundred."""
     rng, data = random.Random(4), []
