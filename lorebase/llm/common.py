@@ -8,9 +8,9 @@ loss of any executor and cuts the lineage; nothing is kept in an executor's own
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from lorebase.operators.shared import drop_written, scratch_path, written
+from lorebase.operators.shared import drop_written, scratch_path, short_batches, written
 
 __all__ = ["SPACE", "as_scan", "drop_written", "free_name", "scratch_path", "short_batches", "written"]
 
@@ -32,16 +32,6 @@ def as_scan(docs: DataFrame, name: str) -> DataFrame:
     return docs
 
 
-def short_batches(spark: SparkSession, rows: int = 256, size: str = "1m") -> None:
-    """Bound the rows and bytes of an Arrow batch, so that batches of very long texts stay small.
-
-    Spark takes these settings from the session when a query runs, which for a lazy result is
-    after the operator has returned; so they stay set, and the last operator called holds.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def free_name(taken: list[str], name: str) -> str:
     """``name``, lengthened until it clashes with no column that the caller brings."""
     low = {c.lower() for c in taken}

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,13 @@ def test_restore_and_delete(spark):
     now = {r["doc_id"]: tuple(r) for r in indexing.census(store, last).collect()}
     assert now[1] == was[1] and now[2] == was[2] and now[5][1] == "deleted"
     assert sorted(map(tuple, indexing.census(store, store.current(second.number)).collect()))[0][3] == 1  # an earlier version still reads
+
+
+def test_lists_of_blocks_are_made_where_their_texts_are(spark):
+    """Blocks that go on over Arrow batches, documents without words, and several batches of lists; one block is held at a time."""
+    rows = [(1, 10, ["a", "b", "a"]), (1, 11, ["b"]), (2, 12, []), (2, 13, ["c"] * 5), (3, 14, ["a"])]
+    t = pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "id": [r[1] for r in rows], "words": pa.array([r[2] for r in rows], pa.list_(pa.string()))})
+    for size in (1, 2, 5):
+        got = [x for b in keyword_index._block_lists(iter(t.to_batches(size))) for x in b.to_pylist()]
+        flat = sorted((x["block"], x["term"], x["n"], x["top_tf"], x["low_dl"], sorted((d["id"], d["tf"], d["dl"]) for d in x["docs"])) for x in got)
+        assert flat == [(1, "a", 1, 2, 3, [(10, 2, 3)]), (1, "b", 2, 1, 1, [(10, 1, 3), (11, 1, 1)]), (2, "c", 1, 5, 5, [(13, 5, 5)]), (3, "a", 1, 1, 1, [(14, 1, 1)])]
