@@ -1,11 +1,13 @@
 """Passed functions and adaptive retrieval on small fixtures; ranks by ranges; one-scan keyword search."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lorebase.operators import adaptive, answers, retrieval
+from lorebase.operators import adaptive, answers, memory, retrieval
 from lorebase.operators.kept import Store
 from lorebase.operators.shared import scratch_path
 
@@ -111,3 +113,31 @@ def test_vectors_that_are_not_finite_are_left_out(spark):
     p = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 1.0]), (3, [0.9, 0.1]), (4, [float("nan"), 1.0])], "vec_id long, embedding array<double>")
     got = retrieval.exact_knn(p, p, 5).collect()
     assert {(r["query_id"], r["id"]) for r in got} == {(1, 3), (3, 1)} and all(r["score"] is not None for r in got)
+
+
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_searches_by_blocks_keep_whole_results(spark, block):
+    """The best by pairs of blocks are the best of all pairs: ties, repeated and missing ids, documents left out, many queries."""
+    rng = random.Random(block)
+    text = lambda n: " ".join(f"w{int(rng.paretovariate(0.8)) % 50}" for _ in range(n))
+    docs = spark.createDataFrame([(i % 37, text(rng.randint(0, 30))) for i in range(60)] + [(90, None), (91, "w1 w2"), (92, "w1 w2")], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, text(4)) for i in range(9)] + [(3, "w1 other"), (20, None), (21, "nothing")], "query_id int, text string")
+    off = spark.createDataFrame([(5,), (91,)], "id long")
+    every = retrieval.bm25_scores(docs, queries).join(off.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti")
+    want = retrieval.top_k(every, ["query_id"], [F.round("score", 6).desc(), F.col("doc_id")], 5)
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in rows.collect())
+    assert key(retrieval.bm25(docs, queries, 5, without=off, block=block)) == key(want)
+    terms = lambda t: set(re.findall("[a-z0-9_]+", t))
+    facts = [(i, text(6), text(1), rng.random(), rng.uniform(-5, 60)) for i in range(50)]
+    asked = [(i, text(3)) for i in range(8)]
+    best = []
+    for q, t in asked:
+        qt, found = terms(t), []
+        for i, content, task, sure, age in facts:
+            n = [(len(qt & terms(x)), len(terms(x))) for x in (content, task)]
+            sim = max(a / math.sqrt(len(qt) * max(1, b)) for a, b in n)
+            if max(a for a, _ in n) / len(qt) >= 0.5 and sim >= 0.2:
+                found.append((-round(min(1.0, sim * sure * (1.0 + max(0.0, 0.1 - max(0.0, age) / 300.0))), 9), i))
+        best += [(q, r, i, round(-s, 6)) for r, (s, i) in enumerate(sorted(found)[:4], 1)]
+    got = memory.recall_facts(spark.createDataFrame(facts, "fact_id long, content string, task string, confidence double, age_days double"), spark.createDataFrame(asked, "query_id long, query string"), 4, block=block)
+    assert sorted((r["query_id"], r["rank"], r["fact_id"], round(r["score"], 6)) for r in got.collect()) == best
