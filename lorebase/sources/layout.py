@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Fixed values, in points: least tolerance of a line and its share of the height; least gap between segments and how
 # many times the word before; least gap between columns; most gap and least shift inside a block, and its share of the width.
@@ -72,17 +76,36 @@ def blocks(segments: list[Line]) -> list[tuple[Line, int]]:
 def page_blocks(words: DataFrame, page_col: str = "page") -> DataFrame:
     """(page, block_no, content, x0, top, x1, bottom, n_lines) of word boxes (page, x0, top, x1, bottom, text).
 
-    A page's words meet in one task.  Words without a text or a coordinate are passed over;
-    words of equal place go by their text.
+    A page's words come to one task in order, and are laid out as they come; one page is held at a time.  Words without
+    a text or a coordinate are passed over; words of equal place go by their text.
     """
     kind = dict(words.dtypes)[page_col]
     fields = ["x0", "top", "x1", "bottom", "text"]
-
-    def laid_out(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0", "text"], kind="stable")
-        found = blocks(lines(list(page[fields].itertuples(index=False, name=None))))
-        rows = [(page[page_col].iloc[0], k, b[4], *b[:4], n) for k, (b, n) in enumerate(found)]
-        return pd.DataFrame(rows, columns=[page_col, "block_no", "content", "x0", "top", "x1", "bottom", "n_lines"])
-
-    told = words.select(page_col, *fields).dropna(subset=fields)
-    return told.groupBy(page_col).applyInPandas(laid_out, f"`{page_col}` {kind}, block_no long, content string, x0 double, top double, x1 double, bottom double, n_lines long")
+    names = [page_col, "block_no", "content", "x0", "top", "x1", "bottom", "n_lines"]
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, page = None, []
+        for b in itertools.chain(batches, [None]):
+            done = []
+            if b is None:
+                done.append((now, page))
+            else:
+                of, kept = b.schema.field(0).type, list(zip(*[c.to_pylist() for c in b.columns[1:]], strict=True))
+                pages = b.column(0).to_pylist()
+                lo = 0
+                for n, p in enumerate([*pages, None]):
+                    if n == len(pages) or p != now:
+                        page += kept[lo:n]
+                        lo = n
+                        if n < len(pages):
+                            done.append((now, page))
+                            now, page = p, []
+            rows = [(p, k, c[4], *c[:4], n) for p, boxes in done if boxes for k, (c, n) in enumerate(blocks(lines(boxes)))]
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                kinds = [of, pa.int64(), pa.string(), *[pa.float64()] * 4, pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    told = words.select(page_col, *[F.col(f).cast("double").alias(f) for f in fields[:4]], "text").dropna(subset=fields)
+    dealt = told.repartition(page_col).sortWithinPartitions(page_col, "top", "x0", "text")
+    return dealt.mapInArrow(laid_out, f"`{page_col}` {kind}, block_no long, content string, x0 double, top double, x1 double, bottom double, n_lines long")

@@ -94,6 +94,19 @@ def test_layout_reads_columns_in_order(spark):
     assert got == {"p": [("left-one\nleft-two", 2), ("right-one\nright-two", 2)], "q": [("A headline", 1), ("left-one\nleft-two", 2), ("right-one\nright-two", 2)], "r": [("alone", 1)]}
 
 
+def test_pages_of_many_words_go_on_over_batches(spark):
+    """A page longer than an Arrow batch, and many short ones and one without a name in one task, are laid out as if alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(p, float(10 * (i % 5)), float(14 * (i // 5)), float(10 * (i % 5) + 8), float(14 * (i // 5) + 10), f"w{i}") for p, n in ((None, 3), (1, 40), (2, 1), (3, 7), (4, 8)) for i in range(n)]
+        got = layout.page_blocks(spark.createDataFrame(rows, "page int, x0 double, top double, x1 double, bottom double, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for p in (None, 1, 2, 3, 4):
+        want = layout.blocks(layout.lines([r[1:] for r in rows if r[0] == p]))
+        assert [(r["content"], r["n_lines"]) for r in sorted(got, key=lambda r: r["block_no"]) if r["page"] == p] == [(b[4], n) for b, n in want]
+
+
 def test_lines_follow_the_mean_of_their_tops():
     drift = [(10.0 * k, 1.0 * k, 10.0 * k + 8, 1.0 * k + 10, f"w{k}") for k in range(20)]
     # each top is 1 below the last; a line's mean lags behind by half, and ends it after 4.5
