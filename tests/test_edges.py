@@ -105,6 +105,20 @@ def test_postings_count_inside_rows(spark):
     assert sorted((r["doc_id"], r["dl"], r["term"], r["tf"]) for r in retrieval.postings(d).collect()) == [(1, 1, "a", 1), (1, 3, "a", 1), (1, 3, "b", 2)]
 
 
+def test_postings_bound_what_a_worker_holds(spark):
+    """Words of thousands of documents never come to a Python worker in one batch."""
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        for c, v in (("Records", "10000"), ("Bytes", "64m")):
+            spark.conf.set(f"spark.sql.execution.arrow.max{c}PerBatch", v)
+        retrieval.postings(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
 def test_keyword_blocks_agree(spark):
     d = spark.createDataFrame([(i, f"word{i} common") for i in range(9)], "doc_id int, text string")
     q = spark.createDataFrame([(i, f"ord{i} common") for i in range(9)], "query_id int, text string")
