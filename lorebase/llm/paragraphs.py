@@ -124,14 +124,15 @@ def _shingles(docs: DataFrame, text_col: str, wanted: DataFrame, width: int) ->
     return _numbered(docs, F.col(text_col).alias("text")).join(ask, ["file", "row"]).select("text", "ask").mapInArrow(read, "cid long, h array<long>")
 
 
-def _tile_stars(cid: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of the components of "exact Jaccard >= threshold" among shingle sets."""
+def _tile_stars(cid: np.ndarray, sets: list[np.ndarray], threshold: float, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the components of "exact Jaccard >= threshold" among shingle sets; ``size`` tells how many of each they stand for."""
     n = len(cid)
-    size = np.fromiter(map(len, sets), np.int64, n)
+    held = np.fromiter(map(len, sets), np.int64, n)
+    size = held if size is None else size
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     label = np.arange(n)
     common = np.zeros((n, n), np.float32)
-    rows = np.repeat(np.arange(n), size)
+    rows = np.repeat(np.arange(n), held)
     order = np.argsort(at, kind="stable")
     at, rows = at[order], rows[order]
     for lo in range(0, len(values), 8192):  # a slab of shingles at a time
@@ -147,6 +148,64 @@ def _tile_stars(cid: np.ndarray, sets: list[np.ndarray], threshold: float) -> tu
     return cid[far], cid[label[far]]
 
 
+def _tiled(cells: DataFrame, by: list[str], tile: int, *columns: str) -> DataFrame:
+    """Rows of crowds (``by``) of ``n`` members, dealt to the pairs (i, j) of tiles that their tile is in."""
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    own = F.pmod(F.xxhash64(columns[0]), tiles).cast("int")
+    pairing = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, own).alias("i"), F.greatest(t, own).alias("j")))
+    return cells.select(*by, *columns, F.explode(pairing).alias("t")).select(*by, *columns, "t.i", "t.j")
+
+
+def crowd_heads(sets: DataFrame, threshold: float) -> DataFrame:
+    """(cid, g, size, rest): each shingle g among the first of a set (cid, h) that another set has among its first too.
+
+    Shingles go by how many sets hold them, rare ones first; a set of ``size`` shingles that has
+    ``threshold`` in common with another shares one of its first size - ceil(threshold * size) + 1.
+    rest holds g and all that come behind it.
+    """
+    each = sets.select("cid", F.explode("h").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    ranked = each.join(often, "g").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("x"))
+    ranked = ranked.select("cid", F.size("x").alias("size"), F.transform("x", lambda y: y["g"]).alias("x"))
+    first = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    heads = written(ranked.select("cid", "size", "x", F.posexplode(F.slice("x", F.lit(1), first)).alias("at", "g")).select("cid", "g", "size", F.slice("x", F.col("at") + 1, F.col("size")).alias("rest")), "para-heads")
+    met = heads.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    return heads.join(met, "g", "left_semi").select("cid", "g", "size", "rest")
+
+
+def crowd_links(sets: DataFrame, threshold: float, crowd: int, tile: int) -> DataFrame:
+    """(a, b): links with the components of "exact Jaccard >= threshold" among the sets (cid, h), cid 0 or more.
+
+    If g is the first shingle that two sets share, they share what their rests share and no more, so
+    sets of one g, size and rest are one class: what links one of two classes links all of both.
+    Nodes below 0 are classes.  Sets that hold a common passage and little else are so compared once,
+    however many they are.
+    """
+    heads = written(crowd_heads(sets, threshold), "para-crowds")
+    kinds = written(heads.groupBy("g", "size", "rest").agg(F.count(F.lit(1)).alias("copies")).withColumn("kind", -1 - F.monotonically_increasing_id()), "para-kinds")
+    enough = lambda both, x, y: both >= threshold * (x + y - both) - 1e-12
+    alike = kinds.where((F.col("copies") > 1) & enough(F.size("rest"), F.col("size"), F.col("size"))).select("kind")
+
+    per = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = kinds.join(per, "g").select("g", "n", "kind", "size", "rest")
+    few = members.where(F.col("n") <= crowd).drop("n")
+    x, y = few.select("g", *[F.col(c).alias(c + "_a") for c in few.columns[1:]]), few.select("g", *[F.col(c).alias(c + "_b") for c in few.columns[1:]])
+    most = F.least(F.size("rest_a"), F.size("rest_b"))
+    pairs = x.join(y, "g").where((F.col("kind_a") < F.col("kind_b")) & enough(most, F.col("size_a"), F.col("size_b")))
+    close = pairs.where(enough(F.size(F.array_intersect("rest_a", "rest_b")), F.col("size_a"), F.col("size_b"))).select(F.col("kind_a").alias("a"), F.col("kind_b").alias("b"))
+
+    def stars(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("kind").sort_values("kind")
+        far, near = _tile_stars(group["kind"].to_numpy(), [np.asarray(h, np.int64) for h in group["rest"]], threshold, group["size"].to_numpy().astype(np.int64))
+        return pd.DataFrame({"a": near, "b": far})
+
+    dealt = _tiled(members.where(F.col("n") > crowd), ["g"], tile, "kind", "size", "rest")
+    between = written(close.unionByName(dealt.groupBy("g", "i", "j").applyInPandas(stars, "a long, b long")), "para-between")
+    linked = alike.union(between.select("a")).union(between.select("b")).distinct()
+    of = heads.join(kinds.join(linked, "kind", "left_semi").select("g", "size", "rest", "kind"), ["g", "size", "rest"])
+    return between.unionByName(of.select(F.col("kind").alias("a"), F.col("cid").alias("b")))
+
+
 def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 5, rows: int = 2, seed: int = 17, radius: int | None = 10, least: int = 14, crowd: int = 24, tile: int = 256, joined: bool = False) -> DataFrame:
     """(id, n_paragraphs, n_removed, removed, removed_words, keep_ids) of every row.
 
@@ -169,8 +228,9 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other; an empty table gives an empty result; other columns are not read.
 
     Equal paragraphs become one class before banding.  A band's bucket of up to ``crowd``
-    classes gives its pairs, once over all buckets; a larger one is cut into tiles of about
-    ``tile``, whose pairs of tiles each give stars of their components, never all pairs.
+    classes gives its pairs, once over all buckets.  Paragraphs of larger ones meet by their
+    rarest shingles (:func:`crowd_links`), which loses no link.  Whole texts of larger ones are cut into tiles of
+    about ``tile``, whose pairs of tiles each give stars of their components, never all pairs.
     """
     docs = as_scan(docs, "para-docs")
     paras = written(split_paragraphs(docs, id_col, text_col, width, bands, rows, seed, radius, least, joined), "para-lines")
@@ -193,17 +253,17 @@ def dedup_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     close = pairs.join(x, "a").join(y, "b").where(both >= threshold * (F.size("ha") + F.size("hb") - both) - 1e-12).select("a", "b")
 
     many = members.where(F.col("n") > crowd)
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("cid"), tiles).cast("int")
-    pairing = F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(t, own).alias("i"), F.greatest(t, own).alias("j")))
-    dealt = many.select("band", "bucket", "cid", F.explode(pairing).alias("t")).join(sets, "cid").select("band", "bucket", "t.i", "t.j", "cid", "h")
 
     def stars(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("cid").sort_values("cid")
         far, near = _tile_stars(group["cid"].to_numpy(), [np.asarray(h, np.int64) for h in group["h"]], threshold)
         return pd.DataFrame({"a": near, "b": far})
 
-    crowded = dealt.groupBy("band", "bucket", "i", "j").applyInPandas(stars, "a long, b long")
+    if radius:
+        crowded = crowd_links(sets.join(many.select("cid").distinct(), "cid", "left_semi"), threshold, crowd, tile)
+    else:  # whole texts have many shingles, and so many first ones
+        dealt = _tiled(many, ["band", "bucket"], tile, "cid").join(sets, "cid").select("band", "bucket", "i", "j", "cid", "h")
+        crowded = dealt.groupBy("band", "bucket", "i", "j").applyInPandas(stars, "a long, b long")
     links = written(close.unionByName(crowded).distinct(), "para-links")
     drop_written(sets, members)
     roots = written(connected_components(links).select(F.col("node").alias("cid"), "root"), "para-roots")

@@ -453,3 +453,26 @@ def test_pieces_of_very_long_units_equal_the_library():
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     for t in ("a" * 700, "".join(random.Random(3).choice("information日本語x9") for _ in range(3000)), "internationalization" * 80 + " and on"):
         assert plain.encode(t) == sp.encode(t)
+
+
+def test_op1_crowds_of_a_common_passage(spark):
+    """Sets that hold one passage and little else meet as few classes, and their components equal brute force."""
+    rng = random.Random(4)
+    passage, data = list(range(9)), []
+    for i in range(400):
+        own = [100 + 3 * i + k for k in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+        data.append((i, passage[: rng.choice([9, 9, 9, 8])] + own + rng.choice([[], [], [50], [50, 51]])))
+    for i in range(400, 460):
+        data.append((i, [rng.randrange(2000, 2030) for _ in range(rng.randint(8, 20))]))
+    data = [(i, sorted(set(h))) for i, h in data]
+    sets = [set(h) for _, h in data]
+    near = [(i, j) for i in range(460) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = union(460, near)
+    df = spark.createDataFrame(data, "cid long, h array<long>")
+    for crowd in (2, 24):
+        links = [(r["a"], r["b"]) for r in paragraphs.crowd_links(df, 0.8, crowd, 8).collect()]
+        at = {n: k for k, n in enumerate(dict.fromkeys([*range(460), *(n for e in links for n in e)]))}
+        roots = union(len(at), [(at[a], at[b]) for a, b in links])[:460]
+        assert len(set(roots)) == len(set(want)) == len(set(zip(roots, want, strict=True)))
+    kinds = paragraphs.crowd_heads(df.where("cid < 400"), 0.8).groupBy("g").agg(F.count_distinct("size", "rest").alias("n")).agg(F.max("n")).first()[0]
+    assert kinds < 60
