@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -152,18 +154,70 @@ def greedy_clusters(vectors: list, threshold: float) -> list[int]:
     return np.where(out < 0, np.arange(n), out).tolist()
 
 
-def clustered(nodes: DataFrame, threshold: float) -> DataFrame:
+def _by_document(batches):
+    """Arrow batches of whole documents (doc_id first) from sorted ones: each with the row that each document begins at, and the end."""
+    rest = None
+    for b in chain(batches, [None]):
+        if b is not None:
+            rest = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+            ids = rest.column(0).to_pylist()
+        elif rest is None:
+            return
+        begins = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+        if b is None:
+            begins.append(len(ids))
+        if len(begins) > 1:  # the last document may go on in the next batch
+            yield rest.slice(0, begins[-1]).combine_chunks().to_batches()[0], begins
+            rest, ids = rest.slice(begins[-1]), ids[begins[-1] :]
+
+
+def _vectors(column: pa.Array) -> list:
+    """Rows of a list column as views of one array of doubles, null for null."""
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return [flat[a:e] if some else None for a, e, some in zip(at, at[1:], column.is_valid().to_pylist(), strict=False)]
+
+
+def _in_order(nodes: DataFrame, v: Column | None) -> DataFrame:
+    """Each document's nodes come to one task in order of n, v first vectored there if it is told how."""
+    sorted_nodes = nodes.repartition("doc_id").sortWithinPartitions("doc_id", "n")
+    return sorted_nodes if v is None else sorted_nodes.withColumn("v", v)
+
+
+def clustered(nodes: DataFrame, threshold: float, v: Column | None = None) -> DataFrame:
     """Adds cluster to (doc_id, n, v, ...): greedy clusters of each document's nodes in order of n.
 
-    A document's nodes are bounded by its chunks, so each document is one pandas call.
+    Nodes stream to their document's task in order, and one document is held at a time.
+    ``v`` makes the vector column there.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema)
+    x = _in_order(nodes, v).select("doc_id", "n", "v", *[c for c in nodes.columns if c not in ("doc_id", "n", "v")])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+
+    def cut(batches):
+        for b, begins in _by_document(batches):
+            n, vectors = b.column(1).to_numpy(), _vectors(b.column(2))
+            named = [n[i:j][greedy_clusters(vectors[i:j], threshold)] for i, j in zip(begins, begins[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(named), pa.int64())], names=[*b.schema.names, "cluster"])
+
+    return x.mapInArrow(cut, f"{fields}, cluster long")
+
+
+def gathered(nodes: DataFrame, threshold: float, v: Column) -> DataFrame:
+    """(doc_id, n, v, texts): the texts of each cluster of (doc_id, n, text) in order, named by its first member; v of those that are alone."""
+    x = _in_order(nodes, v).select("doc_id", "n", "v", "text")
 
-    def cut(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("n", ignore_index=True)
-        return g.assign(cluster=g["n"].to_numpy()[greedy_clusters(g["v"].tolist(), threshold)] if len(g) else [])
+    def cut(batches):
+        for b, begins in _by_document(batches):
+            vectors = _vectors(b.column(2))
+            first = np.concatenate([np.array(greedy_clusters(vectors[i:j], threshold), np.int64) + i for i, j in zip(begins, begins[1:], strict=False)])
+            order = np.argsort(first, kind="stable")
+            heads, at = np.unique(first[order], return_index=True)
+            texts = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)), pa.int32()), b.column(3).take(pa.array(order)))
+            alone = pa.array(heads, mask=np.diff(np.append(at, len(first))) > 1)
+            heads = pa.array(heads)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(heads), b.column(1).take(heads), b.column(2).take(alone), texts], names=["doc_id", "n", "v", "texts"])
 
-    return nodes.groupBy("doc_id").applyInPandas(cut, f"{fields}, cluster long")
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    return x.mapInArrow(cut, f"doc_id {kind}, n long, v {x.schema['v'].dataType.simpleString()}, texts array<string>")
 
 
 def summary_tree(chunks: DataFrame, levels: int = 3, threshold: float = 0.7, summarise: Callable[[Column], Column] | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -172,20 +226,19 @@ def summary_tree(chunks: DataFrame, levels: int = 3, threshold: float = 0.7, sum
     Nodes of a level are clustered; a cluster of several makes a node above, named by its
     first member, and single ones are carried up.  It ends after ``levels`` levels or when a
     level makes no node.  ``summarise`` makes a text of an array of texts, ``embed`` a vector
-    of a text; without them a summary is the beginnings of its children, and vectors are hashes.
+    of a text, once for each node; without them a summary is the beginnings of its children, and vectors are hashes.
     """
     summarise = summarise or (lambda texts: F.array_join(F.transform(texts, lambda t: F.substring(t, 1, 80)), " "))
     embed = embed or hash_embedding
     now = chunks.select("doc_id", F.col("n").cast("long").alias("n"), "text")
     made = None
     for level in range(1, levels + 1):
-        c = clustered(now.withColumn("v", embed(F.col("text"))), threshold)
-        kids = F.array_sort(F.collect_list(F.struct("n", "text")))
-        up = c.groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("n_children"), kids.alias("kids"))
-        up = written(up.select("doc_id", F.col("cluster").alias("n"), "n_children", F.when(F.col("n_children") > 1, summarise(F.transform("kids", lambda k: k["text"]))).otherwise(F.col("kids")[0]["text"]).alias("text")), "summaries")
+        vector = embed(F.col("text")) if made is None else F.coalesce("v", embed(F.when(F.col("v").isNull(), F.col("text"))))
+        up = gathered(now, threshold, vector).withColumn("n_children", F.size("texts").cast("long"))
+        up = written(up.select("doc_id", "n", "v", "n_children", F.when(F.col("n_children") > 1, summarise(F.col("texts"))).otherwise(F.col("texts")[0]).alias("text")), "summaries")
         new = up.where("n_children > 1").select("doc_id", F.lit(level).alias("level"), "n", "n_children", "text")
         made = new if made is None else made.unionByName(new)
         if new.isEmpty():
             break
-        now = up.select("doc_id", "n", "text")
+        now = up.select("doc_id", "n", "v", "text")
     return made

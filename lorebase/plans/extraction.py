@@ -92,7 +92,7 @@ def _chunk_nodes(spark, d):
 def chunk_clusters(spark, d):
     """Greedy clusters are sequential, which SQL can't say: see tests/test_edges.py."""
     n = _chunk_nodes(spark, d)
-    return X.clustered(n.withColumn("v", X.hash_embedding(F.col("text"))), 0.7).select("doc_id", "n", "cluster")
+    return X.clustered(n.select("doc_id", "n", X.hash_embedding(F.col("text")).alias("v")), 0.7).select("doc_id", "n", "cluster")
 
 
 @query("m3_summary_tree")
