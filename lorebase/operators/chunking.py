@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import cosine, hash_embedding, short_id
+from lorebase.operators.shared import short_batches
 
 # Places to cut, best first.
 SEPARATORS = ("\n\n", "\n", "。", ".", "，", ",", " ")
@@ -48,8 +49,9 @@ def fixed_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, chunk_no, chunk_start, chunk_end, chunk_id, content), offsets in code points.
 
     Each start depends on the end before, so a document is cut in one Arrow call; documents
-    spread over tasks as they were scanned, without a shuffle.
+    spread over tasks as they were scanned, without a shuffle.  Arrow batches of texts are bounded.
     """
+    short_batches(docs.sparkSession)
     overlap = overlap if overlap < size else size // 4
     kind = docs.schema[id_col].dataType.simpleString()
 
