@@ -22,11 +22,15 @@ def claims(reports: DataFrame) -> DataFrame:
     return parts.select("report_id", "sentence", F.regexp_replace("text", MARKER, "").alias("claim"), numbers.alias("markers"))
 
 
-def supported(claim: Column, source: Column) -> Column:
-    """Whether source terms support claim terms: all of up to two, else two and a fifth of them."""
+def supported(claim: Column, source: Column, some: Column | None = None) -> Column:
+    """Whether source terms support claim terms: all of up to two, else two and a fifth of them.
+
+    ``some`` tells whether the source has terms, where ``source`` holds only those that claims may share.
+    """
+    some = F.size(source) > 0 if some is None else some
     both = F.size(F.array_intersect(claim, source))
     enough = F.when(F.size(claim) <= 2, both == F.size(claim)).otherwise((both >= 2) & (both >= F.size(claim) * F.lit(0.2)))
-    return (F.size(claim) > 0) & (F.size(source) > 0) & enough
+    return (F.size(claim) > 0) & some & enough
 
 
 def checked_markers(reports: DataFrame, sources: DataFrame) -> DataFrame:
@@ -35,7 +39,8 @@ def checked_markers(reports: DataFrame, sources: DataFrame) -> DataFrame:
     sources: (report_id, index, title, url, content, native).  The first rule that holds:
     index_out_of_range (under 1 or above the report's largest index), missing_source,
     empty_source, insufficient_source_content (a URL alone), valid for a provider's own
-    citation, unsupported_claim.  A report's claims of one index meet their source once.
+    citation, unsupported_claim.  A report's claims of one index meet their source once,
+    and each then meets only what all of them share with it.
     Sources that are used often may bring their terms (have), and then need no more of title and content than whether they are blank.
     """
     marks = claims(reports).select("report_id", "sentence", citation_terms(F.col("claim")).alias("terms"), F.explode("markers").alias("index"))
@@ -44,14 +49,16 @@ def checked_markers(reports: DataFrame, sources: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     have = F.col("have") if "have" in sources.columns else citation_terms(F.concat_ws(" ", "title", "content"))
     s = sources.select("report_id", "index", (blank("title") & blank("content")).alias("bare"), blank("url").alias("no_url"), F.coalesce("native", F.lit(False)).alias("native"), have.alias("have"), F.lit(True).alias("known"))
-    j = asked.join(s, ["report_id", "index"], "left").join(most, "report_id", "left").select("*", F.explode("asked").alias("a"))
+    j = asked.join(s, ["report_id", "index"], "left").join(most, "report_id", "left")
+    claimed = F.array_distinct(F.flatten(F.transform("asked", lambda a: a["terms"])))
+    j = j.select("*", F.array_intersect(claimed, "have").alias("shared"), (F.size("have") > 0).alias("some")).drop("have").select("*", F.explode("asked").alias("a"))
     issue = (
         F.when((F.col("index") < 1) | (F.col("index") > F.coalesce("most", F.lit(0))), "index_out_of_range")
         .when(F.col("known").isNull(), "missing_source")
         .when(F.col("bare") & F.col("no_url"), "empty_source")
         .when(F.col("bare"), "insufficient_source_content")
         .when(F.col("native"), F.lit(None))
-        .when(~supported(F.col("a.terms"), F.col("have")), "unsupported_claim")
+        .when(~supported(F.col("a.terms"), F.col("shared"), F.col("some")), "unsupported_claim")
     )
     return j.select("report_id", "a.sentence", "index", issue.alias("issue"))
 
