@@ -7,16 +7,42 @@ loss of any executor and cuts the lineage; nothing is kept in an executor's own
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from functools import lru_cache
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from lorebase.operators.shared import drop_written, scratch_path, short_batches, written
 
-__all__ = ["SPACE", "as_scan", "drop_written", "free_name", "scratch_path", "short_batches", "written"]
+__all__ = ["SPACE", "as_scan", "drop_written", "forget_kept", "free_name", "kept_by_worker", "scratch_path", "short_batches", "written"]
 
 #: ``[\x20\x09-\x0D]+`` as a Java regular expression: the white space of all word rules here.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
+_KEPT: list = []
+
+
+def kept_by_worker(size: int = 1):
+    """As ``lru_cache``, for what the tasks of a Python worker share, until :func:`forget_kept`."""
+
+    def cached(f):
+        _KEPT.append(lru_cache(maxsize=size)(f))
+        return _KEPT[-1]
+
+    return cached
+
+
+def forget_kept() -> None:
+    """Let go what this worker keeps for another operator's tasks, as Spark uses workers again and again."""
+    if any(f.cache_info().currsize for f in _KEPT):
+        for f in _KEPT:
+            f.cache_clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # else the C library keeps what was freed
+            trim(0)
+
 
 def as_scan(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` itself if it is a plain scan of files, else written and read again.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import as_scan, drop_written, short_batches, written
+from lorebase.llm.common import as_scan, drop_written, forget_kept, short_batches, written
 from lorebase.operators.components import connected_components
 from lorebase.llm.rolling import Words, mix
 from lorebase.llm.simhash import merged
@@ -76,6 +76,7 @@ def split_paragraphs(docs: DataFrame, id_col: str, text_col: str, width: int, ba
     factors = _factors(bands * rows, seed)
 
     def split(batches):
+        forget_kept()
         for b in batches:
             words = Words(b.column(3).to_pylist())
             begins = (_joined if joined else _whole_if_short)(words, _begins(words, radius), least)
@@ -110,6 +111,7 @@ def _shingles(docs: DataFrame, text_col: str, wanted: DataFrame, width: int) ->
     ask = wanted.groupBy("file", "row").agg(F.collect_list(F.struct("start", "words", "cid")).alias("ask"))
 
     def read(batches):
+        forget_kept()
         for b in batches:
             words = Words(b.column(0).to_pylist())
             cid, h = [], []

@@ -7,7 +7,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import free_name, short_batches
+from lorebase.llm.common import free_name, kept_by_worker, short_batches
 
 #: What a space becomes inside pieces.
 SPACE = "▁"
@@ -451,12 +450,12 @@ class Encoder:
         return self.encode_many([text], [doc_key])[0].tolist()
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(2)
 def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker()
 def _encoder(path: str, drop: float, seed: int) -> Encoder:
     """One encoder for all tasks of a worker: what it remembers changes no result."""
     return Encoder(_pieces(path), drop, seed)

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import free_name, short_batches, written
+from lorebase.llm.common import forget_kept, free_name, short_batches, written
 from lorebase.operators.components import connected_components
 
 #: A-Z to a-z; tab, line feed, vertical tab, form feed and carriage return to space.
@@ -45,6 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     short_batches(docs.sparkSession)
 
     def hashed(batches):
+        forget_kept()
         for b in batches:
             fp = [_fingerprint(t, width, seed) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=[id_col, "__fp"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import short_batches, written
+from lorebase.llm.common import forget_kept, short_batches, written
 
 # Cyrillic and Greek letters that look like Latin ones.
 HOMOGLYPHS = {
@@ -175,6 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Lexicon({})
 
     def among_toxic(batches):
+        forget_kept()
         for b in _slices(batches):
             seen: Counter[tuple[str, int]] = Counter()
             for t in b.column(0).to_pylist():
@@ -270,6 +271,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.bias, lexicon.slope))
 
     def scored(batches):
+        forget_kept()
         lex = Lexicon(*shared.value)
         automaton = lex.automaton()
         for b in batches:
@@ -302,6 +304,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def clean(batches):
+        forget_kept()
         lex = Lexicon(*shared.value)
         automaton = lex.automaton()
         for b in batches:

@@ -476,3 +476,23 @@ def test_op1_crowds_of_a_common_passage(spark):
         assert len(set(roots)) == len(set(want)) == len(set(zip(roots, want, strict=True)))
     kinds = paragraphs.crowd_heads(df.where("cid < 400"), 0.8).groupBy("g").agg(F.count_distinct("size", "rest").alias("n")).agg(F.max("n")).first()[0]
     assert kinds < 60
+
+
+def test_workers_let_the_encoder_go(spark):
+    """What a worker keeps for one operator doesn't stay in memory while another one runs."""
+    import pyarrow as pa
+
+    from lorebase.llm import pieces, simhash, toxicity
+
+    def kept(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([pieces._encoder.cache_info().currsize] * b.num_rows)], names=["n"]) for b in batches)
+
+    docs = spark.range(1).selectExpr("id AS doc_id", "'some words of a text' AS text").coalesce(1)
+    count = lambda: docs.select("doc_id").mapInArrow(kept, "n long").head()["n"]
+    for other in (lambda: simhash.fingerprints(docs), lambda: toxicity.score(docs, toxicity.Lexicon({}))):
+        for _ in range(8):  # a task may get any idle worker
+            pieces.encode_documents(docs).collect()
+        assert count() == 1
+        for _ in range(8):
+            other().collect()
+        assert count() == 0
