@@ -11,12 +11,55 @@ from lorebase.operators.graph import _saved, plan_waves
 TASK_TYPES = ["research", "verify", "code", "analysis", "comparison"]
 
 
+def _waves(rows: Column) -> Column:
+    """array(task, deps, wave) of an array(task, deps) with one row a task: :func:`plan_waves` inside one row.
+
+    Tasks that are in a deadlock have a null wave.
+    """
+    told = lambda x, wave: F.struct(x["task"].alias("task"), x["deps"].alias("deps"), wave.cast("int").alias("wave"))
+    none = F.slice(rows, 1, 0)
+    start = F.struct(rows.alias("left"), F.transform(none, lambda x: x["task"]).alias("done"), F.transform(none, lambda x: told(x, F.lit(0))).alias("waves"))
+
+    def step(state: Column, wave: Column) -> Column:
+        waits = lambda x: F.size(F.array_except(x["deps"], state["done"])) > 0
+        ready = F.filter(state["left"], lambda x: ~waits(x))
+        return F.struct(
+            F.filter(state["left"], waits).alias("left"),
+            F.concat(state["done"], F.transform(ready, lambda x: x["task"])).alias("done"),
+            F.concat(state["waves"], F.transform(ready, lambda x: told(x, wave))).alias("waves"),
+        )
+
+    steps = F.slice(F.sequence(F.lit(0), F.size(rows)), F.lit(1), F.size(rows))
+    return F.aggregate(steps, start, step, lambda state: F.concat(state["waves"], F.transform(state["left"], lambda x: told(x, F.lit(None)))))
+
+
+def waves_by_plan(tasks: DataFrame, crowd: int = 64) -> DataFrame:
+    """(plan_id, task, deps, wave) of (plan_id, task, deps): :func:`plan_waves` of each plan, whose tasks depend on its own only.
+
+    One row a task, deps not null.  Plans of up to ``crowd`` tasks are one row each, in which
+    all waves are found without a join; larger ones take one join a wave.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("plan_id"))
+    t = tasks.select("plan_id", "task", "deps").withColumn("__n", n)
+    few = F.collect_list(F.when(F.col("__n") <= crowd, F.struct("task", "deps")))
+    plans = _saved(t.groupBy("plan_id").agg(F.max("__n").alias("n"), few.alias("rows")))
+    small = plans.where(F.col("n") <= crowd).select("plan_id", F.explode(_waves(F.col("rows"))).alias("x")).select("plan_id", "x.*")
+    large = plans.where(F.col("n") > crowd).select("plan_id")
+    if large.isEmpty():
+        return small
+    rows = _saved(t.drop("__n").join(large, "plan_id", "left_semi"))
+    key = lambda task: F.struct(F.col("plan_id").alias("plan_id"), task.alias("task"))
+    waves = plan_waves(rows.select(key(F.col("task")).alias("task"), F.transform("deps", key).alias("deps"))).select("task.*", "wave")
+    return small.unionByName(rows.join(waves, ["plan_id", "task"]))
+
+
 def plan_problems(tasks: DataFrame, most: int = 5) -> DataFrame:
     """(plan_id, problem): the first rule that a plan breaks, null for a valid one.
 
     tasks: (plan_id, task_id, description, task_type, priority, deps).  In order: too_many,
     empty_id, duplicate_id, empty_description, task_type, priority (1 to 10), empty_dependency,
-    unknown_dependency, self_dependency, cycle.
+    unknown_dependency, self_dependency, cycle.  A plan that breaks no rule has at most ``most`` tasks,
+    so its cycles are looked for in one row.
     """
     of = tasks.groupBy("plan_id").agg(F.count(F.lit(1)).alias("__n"), F.count_distinct("task_id").alias("__ids"), F.collect_set("task_id").alias("__known"))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -33,11 +76,10 @@ def plan_problems(tasks: DataFrame, most: int = 5) -> DataFrame:
         ("self_dependency", F.array_contains("deps", F.col("task_id"))),
     ]
     level = F.coalesce(*[F.when(F.coalesce(rule, F.lit(True)), F.lit(k)) for k, (_, rule) in enumerate(rules)])
-    first = _saved(t.groupBy("plan_id").agg(F.min(level).alias("level")))
-    sound = tasks.join(first.where("level IS NULL"), "plan_id").select(F.struct("plan_id", "task_id").alias("task"), F.transform("deps", lambda d: F.struct(F.col("plan_id").alias("plan_id"), d.alias("task_id"))).alias("deps"))
-    stuck = plan_waves(sound).where("wave IS NULL").select(F.col("task.plan_id").alias("plan_id")).distinct().withColumn("cycle", F.lit(True))
+    rows = F.collect_list(F.when(F.col("__n") <= most, F.struct(F.col("task_id").alias("task"), "deps")))
+    first = t.groupBy("plan_id").agg(F.min(level).alias("level"), rows.alias("rows"))
     name = F.element_at(F.array(*[F.lit(n) for n, _ in rules]), (F.col("level") + 1).cast("int"))
-    return first.join(stuck, "plan_id", "left").select("plan_id", F.when(F.col("level").isNotNull(), name).when(F.col("cycle"), "cycle").alias("problem"))
+    return first.select("plan_id", F.when(F.col("level").isNotNull(), name).when(F.exists(_waves(F.col("rows")), lambda x: x["wave"].isNull()), "cycle").alias("problem"))
 
 
 def descendants(edges: DataFrame, start: DataFrame, by: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ tasks AS (SELECT a.plan_id, a.n, a.task, a.q, a.p, CASE WHEN a.q = 4 THEN ' ' EL
 
 
 def _tasks(spark, d):
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_shipdate").alias("d"), F.col("l_partkey").alias("p"), "l_extendedprice")  # noqa: E741
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_shipdate").alias("d"), F.col("l_partkey").alias("p"), "l_extendedprice").repartition("plan_id")  # noqa: E741
     l = l.withColumn("twin", F.row_number().over(Window.partitionBy("plan_id", "n").orderBy("p", "q", "l_extendedprice")))  # noqa: E741
     lines = l.where("twin = 1").groupBy("plan_id").agg(F.collect_list(F.struct("n", "d")).alias("lines"))
     name = lambda n: F.concat(F.lit("t"), n.cast("string"))
@@ -62,10 +62,9 @@ def task_depths(spark, d):
     t = _sound(spark, d)
     known = t.groupBy("plan_id").agg(F.collect_set("task").alias("known"))
     t = t.join(known, "plan_id").withColumn("deps", F.array_intersect("deps", "known"))
-    key = lambda task: F.struct(F.col("plan_id").alias("plan_id"), task.alias("task"))
-    w = G.plan_waves(t.select(key(F.col("task")).alias("task"), F.transform("deps", key).alias("deps"))).select("task.*", F.col("wave").alias("depth"))
+    w = P.waves_by_plan(t).withColumnRenamed("wave", "depth")
     place = F.row_number().over(Window.partitionBy("plan_id", "depth").orderBy("task"))
-    return w.join(t.select("plan_id", "task", F.size("deps").cast("long").alias("n_deps")), ["plan_id", "task"]).select("plan_id", "task", "depth", place.cast("long").alias("place"), "n_deps")
+    return w.select("plan_id", "task", "depth", place.cast("long").alias("place"), F.size("deps").cast("long").alias("n_deps"))
 
 
 @query("j13_dependency_context", f"""WITH {SOUND}, o AS (SELECT *, CASE WHEN q % 3 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN q % 7 = 0 THEN '' ELSE 'found ' || q END AS output FROM t),

@@ -49,6 +49,18 @@ def test_plans_with_cycles_and_bad_dependencies(spark):
     assert {r["plan_id"]: r["problem"] for r in planning.plan_problems(t).collect()} == {1: None, 2: "cycle", 3: "self_dependency", 4: "unknown_dependency", 5: "duplicate_id", 6: "too_many"}
 
 
+def test_waves_by_plan_equal_joins_and_cost_no_join(spark):
+    rows = [(1, "a", []), (1, "b", ["a"]), (1, "c", ["b", "a"]), (2, "a", ["b"]), (2, "b", ["a"]), (2, "c", []), (3, "x", ["gone"]), (3, "y", ["x"]), (4, "a", ["a"])] + [(5, f"t{i}", [f"t{i - 1}"] if i else []) for i in range(6)]
+    t = spark.createDataFrame(rows, "plan_id int, task string, deps array<string>")
+    deps = {(p, task): d for p, task, d in rows}
+    want = {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (2, "a"): None, (2, "b"): None, (2, "c"): 0, (3, "x"): None, (3, "y"): None, (4, "a"): None} | {(5, f"t{i}"): i for i in range(6)}
+    for crowd in (64, 5, 0):  # all plans in rows, one by joins, all by joins
+        got = planning.waves_by_plan(t, crowd)
+        assert {(r["plan_id"], r["task"]): (r["wave"], r["deps"]) for r in got.collect()} == {k: (w, deps[k]) for k, w in want.items()}
+    plan = planning.waves_by_plan(t)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_pruning_keeps_a_plan_that_would_be_empty(spark):
     t = spark.createDataFrame([(1, "a", []), (1, "b", ["a"]), (1, "end", ["b"]), (2, "end", []), (2, "x", ["end"]), (3, "end", [])], "plan_id int, task string, deps array<string>")
     got = {(r["plan_id"], r["task"]) for r in planning.pruned(t, F.col("task") == "end").collect()}
