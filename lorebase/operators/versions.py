@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def changed(old: DataFrame, changes: DataFrame, key: list[str], replace: dict[str, Column], insert: dict[str, Column]) -> DataFrame:
-    """Rows of ``old`` with columns replaced where ``changes`` has their key, and new keys added.
+def changed(old: DataFrame, changes: DataFrame, key: list[str], replace: dict[str, Column], insert: dict[str, Column], grows: bool = True) -> DataFrame:
+    """Rows of ``old`` with columns replaced where ``changes`` has their key, and, if it ``grows``, new keys added.
 
     ``replace`` and ``insert`` give values by column; they may use the old columns and those
     of ``changes``, whose names begin with new_.  Columns without a rule stay, or are null.
+    A table that doesn't grow is hashed by key, and changes stream past it, as their texts would
+    fill a sort.
     """
     c = changes.select(*key, *[F.col(k).alias("new_" + k) for k in changes.columns if k not in key], F.lit(True).alias("__new"))
-    j = old.withColumn("__old", F.lit(True)).join(c, key, "full")
+    known = old.withColumn("__old", F.lit(True))
+    j = known.join(c, key, "full") if grows else known.hint("shuffle_hash").join(c, key, "left")
     has = F.col("__new").isNotNull()
     value = lambda k: F.when(F.col("__old").isNull(), insert[k] if k in insert else F.lit(None)).when(has, replace[k] if k in replace else F.col(k)).otherwise(F.col(k))
     return j.select(*key, *[value(k).alias(k) for k in old.columns if k not in key])
@@ -135,12 +138,12 @@ def update_jobs(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     ended = F.col("status").isin("completed", "failed", "cancelled")
     rules = {
         "progress": F.when(F.col("new_progress").isNull(), F.col("progress")).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("new_progress")))),
-        "error": F.coalesce(F.substring("new_error", 1, 2000), F.col("error")),
+        "error": F.coalesce("new_error", "error"),
         "seconds": F.coalesce(F.round("new_seconds", 3), F.col("seconds")),
         "status": F.coalesce("new_status", "status"),
         "cancel": F.col("cancel") | (F.coalesce("new_cancel", F.lit(False)) & ~ended),
     }
-    return changed(jobs, updates.join(jobs.select("job_id"), "job_id", "left_semi"), ["job_id"], rules, {})
+    return changed(jobs, updates.withColumn("error", F.substring("error", 1, 2000)), ["job_id"], rules, {}, grows=False)
 
 
 def recover_jobs(jobs: DataFrame) -> DataFrame:

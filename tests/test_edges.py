@@ -305,3 +305,12 @@ def test_claims_meet_what_they_share(spark):
     no = "unsupported_claim"
     assert got == [(0, 1, None), (1, 1, no), (2, 1, None), (3, 2, no), (4, 2, no), (5, 1, None)]
     assert "array_intersect(array_distinct(flatten(" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_job_updates_are_not_sorted_with_their_texts(spark):
+    jobs = spark.createDataFrame([(1, "running", 10.0, None, 1.5, False), (2, "completed", 10.0, "old", 1.5, False), (3, "queued", 10.0, None, 1.5, False)], "job_id int, status string, progress double, error string, seconds double, cancel boolean")
+    updates = spark.createDataFrame([(1, 150.0, "x" * 3000, 2.00049, None, True), (2, None, None, None, None, True), (9, 1.0, "none", 1.0, "failed", True)], "job_id int, progress double, error string, seconds double, status string, cancel boolean")
+    done = versions.update_jobs(jobs, updates)
+    assert {tuple(r) for r in done.collect()} == {(1, "running", 100.0, "x" * 2000, 2.0, True), (2, "completed", 10.0, "old", 1.5, False), (3, "queued", 10.0, None, 1.5, False)}
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
