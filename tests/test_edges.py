@@ -1,6 +1,7 @@
 """Cases that the tables don't hold: Han terms, cycles, nested pages, ragged vectors, restarts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -314,3 +315,12 @@ def test_job_updates_are_not_sorted_with_their_texts(spark):
     assert {tuple(r) for r in done.collect()} == {(1, "running", 100.0, "x" * 2000, 2.0, True), (2, "completed", 10.0, "old", 1.5, False), (3, "queued", 10.0, None, 1.5, False)}
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_relations_without_documents_keep_no_map_of_documents(spark):
+    rows = [(d, 1, 2, d / 1000) for d in range(130)] + [(3, 1, 2, 0.9), (5, 1, 2, 1.0), (None, 1, 2, 0.5), (5, 7, 8, 1.0)]
+    left = graph.without_documents(spark.createDataFrame(rows, "doc_id int, source int, target int, weight double"), spark.createDataFrame([(5,), (5,)], "doc_id int"))
+    kept = [d for d in range(130) if d != 5][:99]  # the document without an id is the first of the hundred
+    assert [tuple(r) for r in left.select("source", "target", "weight", "doc_ids", "n_docs").collect()] == [(1, 2, 0.9, ",".join(map(str, kept)), 130)]
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan) if "source" in k and "doc_id" in k]
