@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.operators.shared import drop_written, written
+from lorebase.operators.shared import by_shuffle, drop_written, written
 
 #: Rows of a written table's file, about.
 _ROWS = 100_000
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     (parent, grandparent), so no connection is lost and hub nodes only ever meet a partial
     aggregate or a join against a table with one row a node.  All tables stay distributed
     and are written in the shared folder, in as many files as their rows call for, as the
-    edges shrink from round to round; an empty edge table gives an empty result.
+    edges shrink from round to round; an empty edge table gives an empty result.  A round of many edges
+    sends none of them through the driver.
     Edges with a null end are ignored.
     """
     now = written(
@@ -40,18 +41,18 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
         hooked = parents = save(parents, "cc-parents")
         for _ in range(jumps):
             upper = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parents = parents.join(upper, "up").select("node", F.col("top").alias("up"))
+            parents = parents.join(by_shuffle(upper, rows), "up").select("node", F.col("top").alias("up"))
         parents = save(parents, "cc-jumped")
         left = parents.select(F.col("node").alias("a"), F.col("up").alias("pa"))
         right = parents.select(F.col("node").alias("b"), F.col("up").alias("pb"))
-        renamed = now.join(left, "a").join(right, "b").where("pa <> pb")
+        renamed = now.join(by_shuffle(left, rows), "a").join(by_shuffle(right, rows), "b").where("pa <> pb")
         after = save(renamed.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
         drop_written(now, hooked)
         if found is None:
             found = parents.withColumnRenamed("up", "root")
         else:
             step = parents.select(F.col("node").alias("root"), F.col("up").alias("top"))
-            before, found = found, written(found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")).coalesce(1 + first // _ROWS), "cc-found")
+            before, found = found, written(found.join(by_shuffle(step, rows), "root", "left").select("node", F.coalesce("top", "root").alias("root")).coalesce(1 + first // _ROWS), "cc-found")
             drop_written(before, parents)
         now = after
     if found is None:

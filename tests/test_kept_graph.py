@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lorebase.operators import kept_graph as K
+from lorebase.operators import shared
 from lorebase.operators.kept import Store
 from lorebase.operators.shared import scratch_path
 
@@ -93,3 +94,25 @@ def test_graph_hits(spark):
     got = {(r["query_id"], r["id"]): round(r["score"], 4) for r in K.graph_hits(queries, entities, relations, members, 2, 1).collect()}
     # a: red in the name 2, wood in the description 1; b: wood in the name 2; c: red in the description 1
     assert got == {(1, "entity_a"): 1.0, (1, "entity_b"): round(2 / 3, 4), (1, "community_0"): round((1 + 2 / 3) / 2, 4), (1, "rel_a_b_in"): 0.5}
+
+
+def test_large_batches_are_not_broadcast(spark, monkeypatch):
+    """No table of more than a few rows is broadcast, however few bytes Spark takes it for."""
+    monkeypatch.setattr(shared, "FEW", 0, raising=False)
+    said = spark.sparkContext._jsc.sc().listenerBus()
+    runs = spark._jsparkSession.sharedState().statusStore()
+    said.waitUntilEmpty()
+    first, path = runs.executionsCount(), scratch_path(spark, "graph")
+    ents = lambda *docs: spark.createDataFrame([(d, x, x, "t", "") for d, xs in docs for x in xs], E)
+    rels = lambda *docs: spark.createDataFrame([(d, a, b, "r", 1.0) for d, (a, b) in docs], R)
+    one = [(1, "ab"), (2, "bc"), (3, "de")]
+    two = [(4, "ef"), (5, "gh")]
+    K.update(spark, path, ents(*one), rels(*one))
+    v = K.update(spark, path, ents(*two), rels(*two), spark.createDataFrame([(2,)], "doc_id long"))
+    roots = {r["entity_id"]: r["root"] for r in K.members(Store(spark, path), v).collect()}
+    assert roots == {"a": "a", "b": "a", "d": "d", "e": "d", "f": "d", "g": "g", "h": "g"}
+    said.waitUntilEmpty()
+    plans = runs.executionsList(first, 10_000)
+    plans = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
