@@ -15,9 +15,11 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """Return (node, root) for every node of ``edges`` (columns a, b of one type).
 
     ``root`` is the smallest node that links reach.  In each round every node hooks to its
-    smallest neighbour, follows its new parents ``jumps`` times, and the edges are renamed
-    by these parents; loops and repeated edges fall out.  An edge (u, parent of u) becomes
-    (parent, grandparent), so no connection is lost and hub nodes only ever meet a partial
+    smallest neighbour and follows its new parents, ``jumps`` times before each look, until no
+    node moves; each jump doubles the way, so a chain of n nodes takes log n of them.  The edges are then renamed
+    by these parents; loops and repeated edges fall out.  A node that nothing hooked to has smaller
+    neighbours only after the round, so nodes are halved in two rounds at most.
+    Hub nodes only ever meet a partial
     aggregate or a join against a table with one row a node.  All tables stay distributed
     and are written in the shared folder, in as many files as their rows call for, as the
     edges shrink from round to round; an empty edge table gives an empty result.  A round of many edges
@@ -38,16 +40,21 @@ def connected_components(edges: DataFrame, jumps: int = 2) -> DataFrame:
             now.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
         parents = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("up"))
-        hooked = parents = save(parents, "cc-parents")
-        for _ in range(jumps):
-            upper = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parents = parents.join(by_shuffle(upper, rows), "up").select("node", F.col("top").alias("up"))
-        parents = save(parents, "cc-jumped")
+        parents, moving = save(parents, "cc-parents"), True
+        while moving:
+            start = parents
+            for _ in range(jumps):
+                upper = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
+                parents = parents.join(by_shuffle(upper, rows), "up").select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved"))
+            moved = save(parents, "cc-jumped")
+            moving = not moved.where("moved").isEmpty()
+            drop_written(start)
+            parents = moved.select("node", "up")
         left = parents.select(F.col("node").alias("a"), F.col("up").alias("pa"))
         right = parents.select(F.col("node").alias("b"), F.col("up").alias("pb"))
         renamed = now.join(by_shuffle(left, rows), "a").join(by_shuffle(right, rows), "b").where("pa <> pb")
         after = save(renamed.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
-        drop_written(now, hooked)
+        drop_written(now)
         if found is None:
             found = parents.withColumnRenamed("up", "root")
         else:

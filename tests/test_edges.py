@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import text as T
-from lorebase.operators import chunking, citations, context, elements, extraction, graph, knowledge, memory, outcomes, planning, questions, records, retrieval, traces, versions
+from lorebase.operators import chunking, citations, components, context, elements, extraction, graph, knowledge, memory, outcomes, planning, questions, records, retrieval, traces, versions
 from lorebase.sources import pages, payloads
 from lorebase.streaming import tables
 from tests.llm.fixtures import union
@@ -97,6 +97,24 @@ def test_chains_of_duplicate_roots_make_no_pairs(spark, start_ms, duration_ms):
         assert [x["id"] for x in traces.collapsed(crowd, start_ms, duration_ms).collect()] == [4]
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain in order of its nodes, as cells along the time are, is one component after a round, not after one for each few nodes."""
+    rounds, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: rounds.append(name) or write(df, name))
+    e = spark.range(150).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.range(200, 220).select("id", F.lit(230)))
+    assert {(r["root"], r["count"]) for r in components.connected_components(e).groupBy("root").count().collect()} == {(0, 151), (200, 21)}
+    assert rounds.count("cc-edges") <= 4
+
+
+def test_the_best_of_a_chain_is_no_order_of_one_task(spark):
+    """A label's roots may all be one chain; the richest, earliest, smallest of it is found by partial aggregates."""
+    r = spark.range(3000).select(F.lit("a").alias("label"), "id", F.expr("id div 2").alias("start_ms"), F.lit(1.0).alias("duration_ms"), F.when(F.col("id") != 7, F.col("id") % 5).alias("richness"))
+    out = traces.collapsed(r, 100, 10)
+    assert [x["id"] for x in out.collect()] == [4]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
 def test_html_is_parsed():
     html = "<html><title>A &amp; B</title><nav>x<nav>y</nav>z</nav><p>one&nbsp;&lt;two</p><script>if (a<b) {}</script><div>three<header>no</div><p>four"
     assert pages.parse_html(html) == ("A & B", "A & B\none\xa0<two\nthree")
