@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,30 +13,23 @@ from lorebase.operators.shared import short_batches
 SEPARATORS = ("\n\n", "\n", "。", ".", "，", ",", " ")
 
 
-class _Places:
-    """Where a text may be cut: the sorted places of each separator, best separator first."""
-
-    def __init__(self, text: str):
-        self.text = text
-        self.of = [(len(x), [m.start() for m in re.finditer(f"(?={re.escape(x)})", text)]) for x in SEPARATORS]
-
-    def cut(self, start: int, stop: int) -> int:
-        """The end of a chunk that may reach from ``start`` to ``stop``: after the last place of the best separator."""
-        if stop >= len(self.text):
-            return len(self.text)
-        for width, at in self.of:
-            n = bisect_right(at, stop - width)
-            if n and at[n - 1] > start:
-                return at[n - 1] + width
-        return stop
+def _cut(text: str, start: int, stop: int) -> int:
+    """The end of a chunk that may reach from ``start`` to ``stop``: after the last place of the best separator."""
+    if stop >= len(text):
+        return len(text)
+    for x in SEPARATORS:
+        at = text.rfind(x, start + 1, stop)
+        if at >= 0:
+            return at + len(x)
+    return stop
 
 
 def _bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Chunks as (start, end): each overlaps the one before, where that leaves it further on."""
-    places, ends = _Places(text), [0]
+    ends = [0]
     starts = [0] if text else []
     while starts and len(ends) <= len(starts):
-        ends.append(places.cut(starts[-1], starts[-1] + size))
+        ends.append(_cut(text, starts[-1], starts[-1] + size))
         if ends[-1] < len(text):
             starts.append(max(ends[-1] - overlap, 0) if ends[-1] - overlap > starts[-1] else ends[-1])
     return [(a, b) for a, b in zip(starts, ends[1:], strict=True) if not text[a:b].isspace()]

@@ -18,6 +18,7 @@ from lorebase.functions.text import hash_embedding, point_id
 from lorebase.operators import keyword_index
 from lorebase.operators.chunking import fixed_chunks
 from lorebase.operators.kept import Store, Version
+from lorebase.operators.shared import drop_written, written
 
 CATALOG = "doc_id long, content_id string, n_chunks long, status string, error string, generation long, at long"
 #: Steps of a batch in order; each may fail, and only the last one makes anything visible.
@@ -59,12 +60,16 @@ def index_documents(spark: SparkSession, path: str, docs: DataFrame, embed: Call
     now = store.current()
     at = now.number + 1
     embed = embed or hash_embedding
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
-    given = given.withColumn("content_id", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 24))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    if not given.groupBy("doc_id").count().where("count > 1").isEmpty():
+        given = given.groupBy("doc_id").agg(F.max("text").alias("text"))
     known = catalog(store, now).select("doc_id", F.col("content_id").alias("__content"), F.col("status").alias("__status"))
-    fresh = given.join(known, "doc_id", "left").where("__status IS NULL OR __status <> 'indexed' OR __content <> content_id")
+    told = written(given.select("doc_id", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 24).alias("content_id")), "batch-contents")
+    new_ids = written(told.join(known, "doc_id", "left").where("__status IS NULL OR __status <> 'indexed' OR __content <> content_id").drop("__content"), "batch-fresh")
+    # texts are as they were scanned; they meet the catalog only if some of them are passed over
+    fresh = given if told.count() == new_ids.count() else given.join(new_ids.select("doc_id"), "doc_id", "left_semi")
     before("chunks")
-    cut = fixed_chunks(fresh.select("doc_id", "text")).withColumn("generation", F.lit(at).cast("long"))
+    cut = fixed_chunks(fresh).withColumn("generation", F.lit(at).cast("long"))
     new = now.with_parts(chunks=store.write("chunks", cut))
     chunks = store.read(Version(at, {"chunks": new.tables["chunks"][-1:]}), "chunks")
     before("points")
@@ -77,18 +82,19 @@ def index_documents(spark: SparkSession, path: str, docs: DataFrame, embed: Call
     new = keyword_index.staged(store, new, chunks.select(_key(), F.col("content").alias("text")), gone, "id", "text", block)
     before("catalog")
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    rows = fresh.drop("text").join(counts, "doc_id", "left")
+    rows = new_ids.join(counts, "doc_id", "left")
     rows = rows.where("n_chunks IS NOT NULL OR __status IS NULL OR __status <> 'indexed'")
     good = F.col("n_chunks").isNotNull()
     rows = rows.select("doc_id", "content_id", F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), F.when(good, "indexed").otherwise("failed").alias("status"), F.when(~good, "empty document").alias("error"), F.lit(at).cast("long").alias("generation"), F.lit(at).cast("long").alias("at"))
     new = new.with_parts(catalog=store.write("catalog", rows))
+    drop_written(told, new_ids)
     before("commit")
     return store.commit(Version(at, new.tables, new.facts))
 
 
 def _key() -> Column:
-    """Key of a chunk in the keyword index."""
-    return F.concat_ws(":", F.col("doc_id").cast("string"), "chunk_id").alias("id")
+    """Key of a chunk in the keyword index: numbers, as every posting has one."""
+    return F.struct("doc_id", "chunk_no").alias("id")
 
 
 def delete_documents(spark: SparkSession, path: str, ids: DataFrame, id_col: str = "doc_id", before: Callable[[str], None] = _none) -> Version:
@@ -139,7 +145,7 @@ def census(store: Store, version: Version) -> DataFrame:
     keyed = lengths if dead is None else lengths.join(dead.select("seg", "id"), ["seg", "id"], "left_anti")
     of = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_alive"), F.md5(F.array_join(F.array_sort(F.collect_list("chunk_id")), ",")).alias("digest"))
     pts = points.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_points"))
-    kys = keyed.groupBy(F.substring_index("id", ":", 1).cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_keyed"))
+    kys = keyed.groupBy(F.col("id.doc_id")).agg(F.count(F.lit(1)).alias("n_keyed"))
     out = catalog(store, version).join(of, "doc_id", "left").join(pts, "doc_id", "left").join(kys, "doc_id", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_chunks", "n_alive", "n_points", "n_keyed")]
     return out.select("doc_id", "status", "content_id", *zero, "digest")

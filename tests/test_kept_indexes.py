@@ -132,6 +132,22 @@ def test_a_failure_at_any_step_leaves_the_version_before(spark, step):
         assert all(r["n_chunks"] == r["n_alive"] == r["n_points"] == r["n_keyed"] for r in told.values())
 
 
+def test_texts_are_cut_where_they_were_scanned(spark, monkeypatch):
+    """A batch of new documents shuffles no text by id; of rows of one id the greatest text counts all the same. Postings hold numbers."""
+    plans, write = {}, Store.write
+    monkeypatch.setattr(Store, "write", lambda self, name, df: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(self, name, df))
+    path = scratch_path(spark, "documents")
+    store = Store(spark, path)
+    docs = spark.createDataFrame([(1, "one " * 300), (2, "two."), (3, None)], DOCS).repartition(2)
+    first = indexing.index_documents(spark, path, docs)
+    assert "text" not in plans["catalog"] and plans["chunks"].count("Exchange") <= docs._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert "id:string" not in dict(store.read(first, "postings").dtypes)["docs"]
+    second = indexing.index_documents(spark, path, spark.createDataFrame([(2, "two."), (2, "a"), (4, "x. y"), (4, "z"), (1, "less")], DOCS))
+    told = {r["doc_id"]: (r["status"], r["n_chunks"], r["n_alive"], r["n_points"], r["n_keyed"]) for r in indexing.census(store, second).collect()}
+    assert told == {1: ("indexed", 1, 1, 1, 1), 2: ("indexed", 1, 1, 1, 1), 3: ("failed", 0, 0, 0, 0), 4: ("indexed", 1, 1, 1, 1)}
+    assert {(r["doc_id"], r["content"]) for r in indexing.alive(store, second, "chunks").collect()} == {(1, "less"), (2, "two."), (4, "z")}
+
+
 def test_restore_and_delete(spark):
     path = scratch_path(spark, "documents")
     store = Store(spark, path)
