@@ -79,6 +79,29 @@ def test_documents_that_are_off_come_up_nowhere(spark):
         adaptive.retrieve(queries, chunks, points, final_k=51)
 
 
+def test_a_text_that_several_ask_is_searched_once(spark, monkeypatch):
+    """All modes of a question share its searches, and each still gets its rows; a null text is one too."""
+    sent = []
+    monkeypatch.setattr(adaptive, "exact_knn", lambda p, q, *a, **k: sent.append(q.count()) or retrieval.exact_knn(p, q, *a, **k))
+    monkeypatch.setattr(adaptive, "bm25", lambda d, q, *a, **k: sent.append(q.count()) or retrieval.bm25(d, q, *a, **k))
+    chunks = spark.createDataFrame([("a", "1", "fox"), ("b", "1", "fox fox den"), ("c", "2", "owl den")], CHUNKS)
+    points = chunks.select("id", "doc_id", F.array(F.lit(1.0), F.length("text").cast("double")).alias("vector"))
+    q = spark.createDataFrame([(1, "fox", "factual"), (2, "fox", "factual"), (3, "den", "factual"), (4, None, "factual"), (5, None, None)], "query_id long, text string, mode string")
+    embed = lambda t: F.array(F.lit(1.0), F.coalesce(F.length(t), F.lit(0)).cast("double"))
+    by = {}
+    for r in adaptive.retrieve(q, chunks, points, embed=embed).collect():
+        by.setdefault(r["query_id"], set()).add((r["rank"], r["id"], r["score"]))
+    assert sent == [3, 3]
+    assert by[1] == by[2] and by[4] == by[5] and len(by[1]) == len(by[3]) == len(by[4]) == 3
+
+
+def test_rows_are_sent_to_few_blocks_of_queries():
+    """With few blocks of rows, blocks of queries are small, so that there are tasks enough; with many they are large."""
+    assert retrieval.block_counts(50_000, 1500, 8192) == (7, 2)
+    assert retrieval.block_counts(3_000_000, 92_000, 8192) == (367, 12)
+    assert retrieval.block_counts(0, 0, 8192) == (1, 1)
+
+
 def test_a_passed_scorer_orders_the_candidates(spark):
     chunks = spark.createDataFrame([("a", "1", "fox"), ("b", "1", "fox fox"), ("c", "2", "fox den")], CHUNKS)
     points = chunks.select("id", "doc_id", F.array(F.lit(1.0), F.lit(0.5)).alias("vector"))
